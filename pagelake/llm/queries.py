@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagelake.llm import ngram_join, packing
+from pagelake.llm import ngram_join, packing, secrets
 from pagelake.llm.common import table
 
 
@@ -14,6 +15,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"))
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Packing with the vocabulary that the contract names."""
     import public_tokenizers
@@ -27,6 +32,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op8_secret_scan": op8_secret_scan,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
