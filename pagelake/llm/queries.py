@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import ngram_join, packing, secrets
-from pagelake.llm.common import table
+from pagelake.llm import ngram_join, packing, secrets, warc
+from pagelake.llm.common import Scratch, table
+
+
+PAGE = "urn:page:"
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    path = Scratch(spark, "warc").path("archives")
+    rows = warc.archive_records(table(spark, sf_dir, "pages"), "page_id", "url", "html", 1000, PAGE, "2024-01-01T00:00:00Z")
+    rows.write.format("warc").mode("append").save(path)
+    back = spark.read.format("warc").option("payload", "false").load(path).filter(F.col("record_type").isin("response", "revisit"))
+    number = lambda c: F.expr(f"try_cast(substr({c}, {len(PAGE) + 1}) AS bigint)")
+    return back.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +44,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op8_secret_scan": op8_secret_scan,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
+        k AS (SELECT digest, max(page_id) AS kept FROM d WHERE n >= 1000 GROUP BY digest)
+        SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN kept IS NOT NULL AND d.page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN kept IS NOT NULL AND d.page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+        FROM d LEFT JOIN k ON n >= 1000 AND d.digest = k.digest""",
+}
