@@ -16,6 +16,9 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_REGEX = rf"[^{SPACE_CLASS}]+"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,7 +52,12 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        was = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")  # this job's shuffle files go when it ends
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if was is None else self.spark.conf.set(_CLEANUP, was)
         saved = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(saved)] = (path, saved)
         return saved
@@ -67,6 +75,11 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def bounded(ids: DataFrame, rows: int) -> DataFrame:
+    """ids, marked for broadcast if there are at most ``rows`` of them (counted here); else it joins by shuffle."""
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+
+
 def words_column(text: Column) -> Column:
     """array<string>: words of a text with A-Z lower-cased; null and blank give an empty array."""
     lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

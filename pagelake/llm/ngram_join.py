@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import Scratch, components, mix64, shingle_sets
+from pagelake.llm.common import Scratch, bounded, components, mix64, shingle_sets
 
 SHINGLE = 5
 #: A hash in the extended prefixes of at most so many nodes is rare.
@@ -52,7 +52,7 @@ COMBINED = 3
 PER_CLASS = 8
 #: An entry with more nodes than this gets another hub before its pairs are compared.
 LONG = 32
-#: Up to so many frequent hashes (8 bytes each) are broadcast; beyond it they are joined by shuffle.
+#: Up to so many hashes or ids (8 bytes each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 HUB_ROUNDS = 1
 
@@ -171,21 +171,20 @@ def entries(nodes: DataFrame, docs: DataFrame, num: int, den: int, k: int, rare:
     """(sig, doc): the index. An entry with one node only can't give a link."""
     tokens = nodes.select("doc_id", "n", F.explode("prefix").alias("token"))
     counts = scratch.save(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
-    scratch.free_shuffles()
     frequent = counts.filter(F.col("c") > rare).select("token")
-    held = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
+    held = bounded(frequent, BROADCAST_ROWS)
     tau = F.col("n") - F.floor((F.col("n") * num + den - 1) / den).cast("long")
     size = F.size("prefix").alias("size")
     heavy = tokens.join(held, "token", "left_semi").groupBy("doc_id", "n").agg(F.count("*").alias("h"))
     heavy = heavy.join(nodes.select("doc_id", "n", size), ["doc_id", "n"]).filter(F.col("size") - F.col("h") < tau + 1).select("doc_id").distinct()
     heavy = scratch.save(heavy, "heavy")
-    whole = whole_sets(docs.join(heavy, "doc_id", "left_semi"), k).filter("n > 1")
+    whole = whole_sets(docs.join(bounded(heavy, BROADCAST_ROWS), "doc_id", "left_semi"), k).filter("n > 1")
     flagged = whole.join(held.withColumn("f", F.lit(True)), "token", "left")
     is_rare = F.col("f").isNull()
     gathered = flagged.groupBy("doc_id", "n").agg(F.collect_list(F.when(is_rare, F.col("token"))).alias("rare"), F.collect_list(F.when(~is_rare, F.col("token"))).alias("frequent"))
     full = scratch.save(full_prefixes(gathered, num, den), "full")
     keys = counts.filter(F.col("c") <= rare).select("token").unionByName(full.select(F.col("sig").alias("token")).distinct()).distinct()
-    single = tokens.join(heavy, "doc_id", "left_anti").join(keys, "token").join(held, "token", "left_anti")
+    single = tokens.join(bounded(heavy, BROADCAST_ROWS), "doc_id", "left_anti").join(keys, "token").join(held, "token", "left_anti")
     return single.select(F.col("token").alias("sig"), F.col("doc_id").alias("doc")).unionByName(full)
 
 
@@ -219,40 +218,37 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = SHI
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = scratch.save(shingled(docs, num, den, k), "sets")
-    classes = sets.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    classes = scratch.save(classes, "classes")
-    nodes = sets.filter("n > 1").join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "prefix")
-    nodes = scratch.save(nodes, "nodes")
-    scratch.free_shuffles()
-    index = entries(nodes, docs, num, den, k, rare, scratch)
-    index = scratch.save(index, "entries")
-    scratch.free_shuffles()
-    sizes = nodes.select("doc_id", "n")
+    heads = scratch.save(sets.select("doc_id", "n", "s1", "s2"), "heads")
+    classes = scratch.save(heads.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
+    first = bounded(classes.select(F.col("node").alias("doc_id")).distinct(), BROADCAST_ROWS)
+    nodes = sets.filter("n > 1").join(first, "doc_id", "left_semi").select("doc_id", "n", "prefix")
+    index = scratch.save(entries(nodes, docs, num, den, k, rare, scratch), "entries")
+    sizes = scratch.save(nodes.select("doc_id", "n"), "sizes")
+    scratch.drop(sets)
     links = _link(scratch, index, sizes, docs, num, den, k)
     # Rows that share a doc_id but not a text hold different classes together.
-    both = sets.filter("n > 0 and doc_id is not null").select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "node")
+    both = heads.filter("n > 0 and doc_id is not null").select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "node")
     member = scratch.save(both, "members")
     twice = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).filter("a <> b")
     links = links.unionByName(twice.select("a", F.explode("all").alias("b")))
     found = components(scratch, links)
     of = member.groupBy("doc_id").agg(F.min("node").alias("node"))
     of = of.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
+    out = heads.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _link(scratch: Scratch, index: DataFrame, sizes: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
     """Links (a, b) that join exactly the nodes whose components the join must join."""
     needed = index.select(F.col("doc").alias("doc_id")).distinct()
+    needed = bounded(scratch.save(needed, "needed"), BROADCAST_ROWS)
     texts = scratch.save(docs.join(needed, "doc_id", "left_semi"), "texts")
-    scratch.free_shuffles()
     small, large = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
         fit = ordered.join(small, "a").join(large, "b").filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b")
         out = scratch.save(verified(fit, texts, num, den, k), name)
-        scratch.free_shuffles()
         return out
 
     hubs = index.groupBy("sig").agg(F.min("doc").alias("a"))

@@ -58,4 +58,19 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN kept IS NOT NULL AND d.page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN kept IS NOT NULL AND d.page_id IS DISTINCT FROM kept THEN kept END AS refers_to
         FROM d LEFT JOIN k ON n >= 1000 AND d.digest = k.digest""",
+    "op2_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i : i + 4], ' '))) END AS sh
+            FROM w),
+        e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+        n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS met FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * met >= 80 * (p.n + q.n - met)),
+        u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+        SELECT n.doc_id, n.n AS n_shingles, (SELECT min(b) FROM r WHERE r.a = n.doc_id) AS component_id FROM n""",
 }
