@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import ngram_join, packing, secrets, warc
+from pagelake.llm import html_text, ngram_join, packing, secrets, warc
 from pagelake.llm.common import Scratch, table
 
 
@@ -28,6 +28,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"))
 
@@ -46,6 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_html_extraction": op4_html_extraction,
     "op8_secret_scan": op8_secret_scan,
     "op10_packing": op10_packing,
 }
@@ -60,11 +65,11 @@ ORACLE_SQL: dict[str, str] = {
         FROM d LEFT JOIN k ON n >= 1000 AND d.digest = k.digest""",
     "op2_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (
-            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
             FROM documents),
         s AS (
             SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-                   ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i : i + 4], ' '))) END AS sh
+                   ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS sh
             FROM w),
         e AS (SELECT doc_id, unnest(sh) AS g FROM s),
         n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
