@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import html_text, lm, ngram_join, packing, secrets, warc
+from pagelake.llm import fingerprint, html_text, lm, ngram_join, packing, secrets, warc
 from pagelake.llm.common import Scratch, table
 
 
@@ -32,6 +32,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_html_extraction": op4_html_extraction,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_secret_scan": op8_secret_scan,
     "op10_packing": op10_packing,
