@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import fingerprint, html_text, lm, ngram_join, packing, secrets, warc
+from pagelake.llm import fingerprint, html_text, lm, ngram_join, packing, pieces, secrets, warc
 from pagelake.llm.common import Scratch, table
 
 
@@ -32,6 +32,12 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_html_extraction": op4_html_extraction,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_secret_scan": op8_secret_scan,
