@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import fingerprint, html_text, lm, ngram_join, packing, pieces, secrets, warc
+from pagelake.llm import fingerprint, html_text, lm, ngram_join, packing, permutation_index, pieces, secrets, warc
 from pagelake.llm.common import Scratch, table
 
 
@@ -50,6 +50,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"))
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Packing with the vocabulary that the contract names."""
     import public_tokenizers
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_secret_scan": op8_secret_scan,
+    "op9_permutation_index": op9_permutation_index,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
