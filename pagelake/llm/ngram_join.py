@@ -17,10 +17,15 @@ least num/den. The join is exact; every stage is a shuffle on an evenly spread k
    sets that share only a common passage do not. m depends on a band of set sizes; sizes of linked
    sets differ by 1/t at most, so a set indexes its own band and the next. Combinations grow
    linearly with a set.
-3. Entries are verified against the entry's smallest node first, and the links give components.
-   Only pairs of an entry's nodes which still lie in different components are compared after
-   that: first by another hub each round while an entry is long, and in the end all of them. A group of thousands of
-   near copies thus costs about one comparison a member, and no link between components is lost.
+3. Every candidate pair is tested by size and by parity bitmaps first: a set's bitmap has, at each
+   position, the parity of its hashes there, so the bits in which two bitmaps differ are at most
+   the hashes in which the sets differ, and no linked pair is lost. What passes is verified on whole texts.
+4. Entries are compared with their smallest node first, and the links give components. Only pairs
+   whose nodes still lie in different components matter after that: a long entry gets another hub,
+   and what stays open is compared in full: short entries as pairs, long ones inside tasks that
+   take two blocks of a family (nodes joined by long entries) and give back only pairs whose bitmaps
+   allow a link. A group of thousands of near copies thus makes about one row a member, and no
+   link between components is lost.
 
 Nulls and edge cases: a null or blank text has an empty set, links with nothing and is its own
 component; fewer than five words make one shingle of the whole sequence; rows with equal doc_id
@@ -36,6 +41,7 @@ from functools import cache
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +58,8 @@ COMBINED = 3
 PER_CLASS = 8
 #: An entry with more nodes than this gets another hub before its pairs are compared.
 LONG = 32
+#: Nodes of a family in a block.
+BLOCK = 512
 #: Up to so many hashes or ids (8 bytes each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 HUB_ROUNDS = 1
@@ -88,8 +96,33 @@ class Bands:
         return min(n, self.tau(n) + 1 + SLACK + n // 12)
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """A set's parity bitmap; its length is a power of two, so a longer one folds onto a shorter one."""
+    size = max(64, 1 << int(len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two parity bitmaps differ: a lower bound of the sets' symmetric difference."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    m, n = len(a), len(b)
+    while m > n:
+        m //= 2
+        x = (x >> 8 * m) ^ (x & ((1 << 8 * m) - 1))
+    while n > m:
+        n //= 2
+        y = (y >> 8 * n) ^ (y & ((1 << 8 * n) - 1))
+    return (x ^ y).bit_count()
+
+
+def most_different(na: int, nb: int, num: int, den: int) -> int:
+    """The largest symmetric difference of linked sets of these sizes."""
+    return na + nb - 2 * -(-num * (na + nb) // (num + den))
+
+
 def shingled(docs: DataFrame, num: int, den: int, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, s1, s2, prefix): set size, 128-bit hash of the set, prefix hashes."""
+    """(doc_id, n, s1, s2, bits, prefix): set size, 128-bit hash of the set, parity bitmap, prefix hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
@@ -102,11 +135,11 @@ def shingled(docs: DataFrame, num: int, den: int, k: int = SHINGLE) -> DataFrame
             flat = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
             ends = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(ends, flat)],
-                names=["doc_id", "n", "s1", "s2", "prefix"],
+                [batch.column(0), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([parity_bits(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, flat)],
+                names=["doc_id", "n", "s1", "s2", "bits", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bits binary, prefix array<long>")
 
 
 @cache
@@ -188,6 +221,56 @@ def entries(nodes: DataFrame, docs: DataFrame, num: int, den: int, k: int, rare:
     return single.select(F.col("token").alias("sig"), F.col("doc_id").alias("doc")).unionByName(full)
 
 
+def possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of (a, b, na, nb, bits_a, bits_b) whose sizes and bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, na, nb, x, y = (c.to_pylist() for c in batch.columns)
+            keep = [i for i in range(len(batch)) if differing(x[i], y[i]) <= most_different(na[i], nb[i], num, den)]
+            yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
+
+    fit = pairs.filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+    return fit.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def family_pairs(scratch: Scratch, long_: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of (sig, doc, label) that share a long entry, differ in label and may be linked."""
+    hubs = long_.groupBy("sig").agg(F.min("doc").alias("a"))
+    family = components(scratch, long_.join(hubs, "sig").select("a", F.col("doc").alias("b")))
+    members = long_.groupBy("doc").agg(F.min("label").alias("label"), F.collect_set("sig").alias("sigs"))
+    members = members.join(family, members.doc == family.node).join(sizes, members.doc == sizes.doc_id).select("doc", "label", "sigs", F.col("component").alias("family"), "n", "bits")
+    members = scratch.save(members, "family-members")
+    parts = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = members.join(parts, "family").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    placed = placed.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "label", "sigs", "n", "bits")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        left, right = rows[rows["own"] == i], rows[rows["own"] == j]
+        code: dict[int, int] = {}
+        cells = [[(r, code.setdefault(s, len(code))) for r, sigs in enumerate(side["sigs"]) for s in sigs] for side in (left, right)]
+        held = []
+        for side, cell in zip((left, right), cells, strict=True):
+            m = np.zeros((len(side), len(code)), dtype=np.float32)
+            m[tuple(np.array(cell).T)] = 1
+            held.append(m)
+        meet = held[0] @ held[1].T > 0
+        meet &= left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :]
+        na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+        meet &= den * np.minimum(na, nb) >= num * np.maximum(na, nb)
+        if i == j:
+            meet = np.triu(meet, 1)
+        x, y = left["bits"].to_list(), right["bits"].to_list()
+        na, nb = left["n"].to_list(), right["n"].to_list()
+        good = [(r, c) for r, c in np.argwhere(meet).tolist() if differing(x[r], y[c]) <= most_different(na[r], nb[c], num, den)]
+        a, b = left["doc"].to_numpy(), right["doc"].to_numpy()
+        return pd.DataFrame({"a": [a[r] for r, _ in good], "b": [b[c] for _, c in good]}, dtype="int64")
+
+    return placed.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, k: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
 
@@ -221,9 +304,9 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = SHI
     heads = scratch.save(sets.select("doc_id", "n", "s1", "s2"), "heads")
     classes = scratch.save(heads.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
     first = bounded(classes.select(F.col("node").alias("doc_id")).distinct(), BROADCAST_ROWS)
-    nodes = sets.filter("n > 1").join(first, "doc_id", "left_semi").select("doc_id", "n", "prefix")
+    nodes = sets.filter("n > 1").join(first, "doc_id", "left_semi").select("doc_id", "n", "bits", "prefix")
     index = scratch.save(entries(nodes, docs, num, den, k, rare, scratch), "entries")
-    sizes = scratch.save(nodes.select("doc_id", "n"), "sizes")
+    sizes = scratch.save(nodes.select("doc_id", "n", "bits"), "sizes")
     scratch.drop(sets)
     links = _link(scratch, index, sizes, docs, num, den, k)
     # Rows that share a doc_id but not a text hold different classes together.
@@ -243,13 +326,18 @@ def _link(scratch: Scratch, index: DataFrame, sizes: DataFrame, docs: DataFrame,
     needed = index.select(F.col("doc").alias("doc_id")).distinct()
     needed = bounded(scratch.save(needed, "needed"), BROADCAST_ROWS)
     texts = scratch.save(docs.join(needed, "doc_id", "left_semi"), "texts")
-    small, large = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    small = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    large = sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.save(pairs, f"{name}-possible")
+        return scratch.save(verified(pairs, texts, num, den, k), name)
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-        fit = ordered.join(small, "a").join(large, "b").filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b")
-        out = scratch.save(verified(fit, texts, num, den, k), name)
-        return out
+        return linked(possible(ordered(pairs).join(small, "a").join(large, "b"), num, den), name)
 
     hubs = index.groupBy("sig").agg(F.min("doc").alias("a"))
     links = check(index.join(hubs, "sig").select("a", F.col("doc").alias("b")), "links")
@@ -261,8 +349,8 @@ def _link(scratch: Scratch, index: DataFrame, sizes: DataFrame, docs: DataFrame,
         open_ = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
         left = scratch.save(named.join(open_, "sig"), "open")
         scratch.drop(named)
-        long_ = left.filter(F.col("size") > LONG) if turn < HUB_ROUNDS else None
-        if long_ is not None and long_.limit(1).count():
+        long_ = left.filter(F.col("size") > LONG)
+        if turn < HUB_ROUNDS and long_.limit(1).count():
             # Another hub for each long entry: its largest-labelled component's first node in this turn's order.
             order = F.xxhash64("doc", F.lit(turn))
             best = long_.filter("label <> lo").groupBy("sig").agg(F.min(order).alias("o"))
@@ -270,7 +358,10 @@ def _link(scratch: Scratch, index: DataFrame, sizes: DataFrame, docs: DataFrame,
             more = long_.join(hub, "sig").filter("label <> hub_label").select("a", F.col("doc").alias("b"))
             links = scratch.save(links.unionByName(check(more, "hub-links")), "links")
             continue
-        x, y = left.select("sig", F.col("doc").alias("a"), F.col("label").alias("la")), left.select("sig", F.col("doc").alias("b"), F.col("label").alias("lb"))
-        rest = x.join(y, "sig").filter("a < b and la <> lb").select("a", "b")
-        return links.unionByName(check(rest, "rest"))
+        short = left.filter(F.col("size") <= LONG)
+        x, y = short.select("sig", F.col("doc").alias("a"), F.col("label").alias("la")), short.select("sig", F.col("doc").alias("b"), F.col("label").alias("lb"))
+        links = links.unionByName(check(x.join(y, "sig").filter("a < b and la <> lb").select("a", "b"), "rest"))
+        if long_.limit(1).count():
+            links = links.unionByName(linked(ordered(family_pairs(scratch, long_, sizes, num, den)), "family-links"))
+        return links
     raise AssertionError("the last turn returns")
