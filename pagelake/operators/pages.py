@@ -95,16 +95,16 @@ def order_map(entries: DataFrame) -> DataFrame:
 
 
 def array_delete(a: Column, p: int) -> Column:
-    return F.concat(F.slice(a, 1, p), F.slice(a, p + 2, 2**31 - 2)) if p else F.slice(a, 2, 2**31 - 2)
+    return F.concat(F.slice(a, 1, p), F.slice(a, p + 2, 1 << 30)) if p else F.slice(a, 2, 1 << 30)
 
 
 def array_duplicate(a: Column, p: int) -> Column:
-    return F.concat(F.slice(a, 1, p + 1), F.slice(a, p + 1, 2**31 - 2))
+    return F.concat(F.slice(a, 1, p + 1), F.slice(a, p + 1, 1 << 30))
 
 
 def array_move(a: Column, f: int, t: int) -> Column:
     item, rest = F.slice(a, f + 1, 1), array_delete(a, f)
-    return F.concat(F.slice(rest, 1, t), item, F.slice(rest, t + 1, 2**31 - 2)) if t else F.concat(item, rest)
+    return F.concat(F.slice(rest, 1, t), item, F.slice(rest, t + 1, 1 << 30)) if t else F.concat(item, rest)
 
 
 def bookmarks_delete(marks: Column, p: int) -> Column:

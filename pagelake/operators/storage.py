@@ -19,7 +19,7 @@ def classify(files: DataFrame, tasks: DataFrame) -> DataFrame:
     """
     known = tasks.select(F.col("task").alias("__task")).distinct()
     name = F.col("top_name")
-    queue = F.when(name.startswith("queue-"), F.substring(name, 7, 2**31 - 7))
+    queue = F.when(name.startswith("queue-"), F.substring(name, 7, 1 << 30))
     rows = files.filter(~F.coalesce(F.col("is_symlink"), F.lit(False))).join(known, queue == F.col("__task"), "left")
     kind = (
         F.when(F.col("root") == "fonts", "font")
