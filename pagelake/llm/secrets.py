@@ -130,7 +130,8 @@ def find_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", t
     scratch = Scratch(docs.sparkSession, "secrets")
     scanned = scratch.save(scan(docs, id_col, text_col, F.col(owner_col), F.col(owner_col) if repo is None else repo), "scanned")
     rows = scanned.join(judged(scanned, max_owners), "uid", "left")
-    count = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
+    of_kind = lambda k: F.filter("base", lambda s: s.kind == k)
+    count = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
     every = F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
     return rows.select(
         "doc_id",
