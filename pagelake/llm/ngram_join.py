@@ -126,7 +126,7 @@ def shingled(docs: DataFrame, num: int, den: int, k: int = SHINGLE) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, len(whole), 512)):
             sets = list(shingle_sets(batch.column(1).to_pylist(), k))
             n = np.array([len(s) for s in sets], dtype=np.int64)
             s1 = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], dtype=np.uint64)
@@ -276,13 +276,12 @@ def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, k: int = SH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
             keep = []
-            for at in range(0, len(a), 64):
-                part = slice(at, at + 64)
-                own = dict(zip(a[part] + b[part], ta[part] + tb[part], strict=True))
+            for at in range(0, len(batch), 64):
+                a, b, ta, tb = (c.to_pylist() for c in batch.slice(at, 64).columns)
+                own = dict(zip(a + b, ta + tb, strict=True))
                 sets = dict(zip(own, shingle_sets(list(own.values()), k), strict=True))
-                for i, (x, y) in enumerate(zip(a[part], b[part], strict=True)):
+                for i, (x, y) in enumerate(zip(a, b, strict=True)):
                     x, y = sets[x], sets[y]
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     if den * common >= num * (len(x) + len(y) - common) > 0:

@@ -10,7 +10,7 @@ moments): a path with few documents says what its host says, a sparse host what
 document's log odds then move by the difference between its path's and the corpus' log odds, at
 most by ``site_limit``, so a bad site makes a doubtful document worse but never condemns a clear one.
 
-Nulls and edge cases: a null or empty text has no words and scores by the intercepts; a null host
+Nulls and edge cases: a null or empty text has no words, so nothing speaks against it and it is kept; a null host
 or path is a group of its own; labels that are null are left out; labels of one class only, or no
 labels, give a model that rejects nothing for that reason; repeated rows are scored and counted each;
 other columns are ignored by classify() and kept by keep_good(); an empty table gives an empty result.
@@ -32,6 +32,8 @@ from pagelake.llm.common import Scratch, bounded, text_blocks
 BITS = 20
 RATIOS = 6
 START = 4  # bytes of a word's beginning
+#: Log odds of a text without evidence.
+NO_WORDS = -8.0
 _RNG = np.random.default_rng(77)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
@@ -93,27 +95,21 @@ class Head:
     intercept: float
 
     def score(self, hashed: np.ndarray, ratios: np.ndarray) -> float:
+        if not len(hashed):
+            return NO_WORDS
         return float(self.hashed[hashed].sum() + ratios @ self.ratios + self.intercept)
 
 
-NONE = Head(np.zeros(1 << BITS, dtype=np.float32), np.zeros(RATIOS), -8.0)
+NONE = Head(np.zeros(1 << BITS, dtype=np.float32), np.zeros(RATIOS), NO_WORDS)
 
 
-def fit(rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, z: float = 5.0, least: int = 4, steps: int = 300, l2: float = 1e-3) -> Head:
-    """A model of y from hashed features that are significant (z) and ratios."""
+def fit(rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, steps: int = 300, l2: float = 1e-3) -> Head:
+    """A model of y from hashed features and ratios."""
     if not len(y) or y.min() == y.max():
         return NONE
-    flat = np.concatenate(rows)
+    chosen, col = np.unique(np.concatenate(rows), return_inverse=True)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    seen = np.bincount(flat, minlength=1 << BITS)
-    hit = np.bincount(flat, y[doc], 1 << BITS)
     p = y.mean()
-    expect = seen * p
-    chosen = np.flatnonzero((seen >= least) & (np.abs(hit - expect) > z * np.sqrt(expect * (1 - p) + 1)))
-    column = np.full(1 << BITS, -1)
-    column[chosen] = np.arange(len(chosen))
-    keep = column[flat] >= 0
-    doc, col = doc[keep], column[flat[keep]]
     centre, spread = ratios.mean(0), ratios.std(0) + 1e-9
     r = (ratios - centre) / spread
     weight = np.where(y == 1, 0.5 / p, 0.5 / (1 - p))
@@ -129,7 +125,7 @@ def fit(rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, z: float = 5.
     hashed = np.zeros(1 << BITS, dtype=np.float32)
     hashed[chosen] = params[: len(chosen)]
     v = params[len(chosen) : -1] / spread
-    return Head(hashed, v, float(params[-1] - centre @ v + np.log(p / (1 - p)) / 2))
+    return Head(hashed, v, float(params[-1] - centre @ v + np.log(p / (1 - p)) / 4))
 
 
 def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
@@ -138,25 +134,46 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[tupl
         yield a, list(features(texts[a:b]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[Head, Head]:
-    """(low quality, toxic) models from at most ``sample`` labelled rows."""
-    picked = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, z: float = 3.5, least: int = 3) -> tuple[Head, Head]:
+    """(low quality, toxic) models from at most ``sample`` labelled rows.
+
+    Executors count the hashed features and keep those that go with a label in at least ``least``
+    rows and ``z`` standard deviations more or less often than chance; only these reach the driver.
+    """
+    picked = labels.select(F.col("doc_id").cast("long").alias("__id"), (1 - F.col("quality").cast("int")).alias("is_low"), F.col("toxic").cast("int").alias("is_toxic"))
     picked = picked.dropna().dropDuplicates(["__id"]).orderBy(F.xxhash64("__id")).limit(sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "__id").select("__id", "quality", "toxic", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "__id").select("__id", "is_low", "is_toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, found in _blocks(batch, 3):
                 part = batch.slice(at, len(found))
                 hashed = pa.array([h for h, _ in found], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), hashed, pa.array([r.tolist() for _, r in found], pa.list_(pa.float64()))], names=["id", "quality", "toxic", "hashed", "ratios"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], hashed, pa.array([r.tolist() for _, r in found], pa.list_(pa.float64()))], names=["id", "is_low", "is_toxic", "hashed", "ratios"])
 
-    got = rows.mapInArrow(run, "id long, quality int, toxic int, hashed array<int>, ratios array<double>").toPandas()
-    got = got.sort_values("id", kind="stable").drop_duplicates("id")
-    if not len(got):
+    seen = scratch.save(rows.mapInArrow(run, "id long, is_low int, is_toxic int, hashed array<int>, ratios array<double>"), "labelled")
+    n, low, toxic = seen.agg(F.count("*"), F.avg("is_low"), F.avg("is_toxic")).first()
+    if not n:
         return NONE, NONE
+    each = seen.select("is_low", "is_toxic", F.explode("hashed").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.sum("is_low").alias("low"), F.sum("is_toxic").alias("toxic"))
+    telling = lambda c, p: F.abs(F.col(c) - F.col("n") * p) > z * F.sqrt(F.col("n") * p * (1 - p) + 1)
+    chosen = each.filter((F.col("n") >= least) & (telling("low", low) | telling("toxic", toxic))).select("h").toArrow()["h"].to_numpy()
+    mask = np.zeros(1 << BITS, dtype=bool)
+    mask[chosen] = True
+    kept = docs.sparkSession.sparkContext.broadcast(mask)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            good = kept.value[flat]
+            ends = np.concatenate(([0], np.cumsum(good)))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+            hashed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[good], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], hashed, batch.column(4)], names=batch.schema.names)
+
+    got = seen.mapInArrow(cut, seen.schema).toPandas().sort_values("id", kind="stable").drop_duplicates("id")
     hashed, ratios = [np.asarray(h, dtype=np.int64) for h in got["hashed"]], np.stack(got["ratios"].to_numpy())
-    return tuple(fit(hashed, ratios, y.to_numpy().astype(np.float64)) for y in (1 - got["quality"], got["toxic"]))
+    return tuple(fit(hashed, ratios, got[c].to_numpy().astype(np.float64)) for c in ("is_low", "is_toxic"))
 
 
 def scores(docs: DataFrame, models, text_col: str, keep: list[str]) -> DataFrame:
@@ -221,8 +238,8 @@ def _strength(n: float, groups: int, q: float, n2: float, mean: float) -> float:
 BROADCAST_ROWS = 200_000
 
 
-def _prepared(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: Column, path: Column, sample: int) -> tuple[DataFrame, object]:
-    models = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, sample))
+def _prepared(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: Column, path: Column, sample: int) -> tuple[DataFrame, object]:
+    models = docs.sparkSession.sparkContext.broadcast(train(scratch, docs, labels, id_col, text_col, sample))
     return docs.withColumns({"__host": host.cast("string"), "__path": path.cast("string")}), models
 
 
@@ -238,7 +255,7 @@ def _judged(rows: DataFrame, groups: DataFrame, site_limit: float) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, site_limit: float = 1.0) -> DataFrame:
     """doc_id, p_low, p_toxic, host_good, path_good, posterior, keep of every row."""
     scratch = Scratch(docs.sparkSession, "quality")
-    rows, models = _prepared(docs, labels, id_col, text_col, host, path, sample)
+    rows, models = _prepared(scratch, docs, labels, id_col, text_col, host, path, sample)
     rows = rows.withColumn("__doc", F.col(id_col).cast("long"))
     scored = scratch.save(scores(rows, models, text_col, ["__doc", "__host", "__path"]), "scored")
     evidence = scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (_sigmoid(-F.col("low")) * _sigmoid(-F.col("toxic"))).alias("good"))
@@ -250,7 +267,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id
     """The rows that classify() keeps, with their columns. Texts are scored twice instead of being stored or shuffled."""
     scratch = Scratch(docs.sparkSession, "quality")
     names = docs.columns
-    rows, models = _prepared(docs, labels, id_col, text_col, host, path, sample)
+    rows, models = _prepared(scratch, docs, labels, id_col, text_col, host, path, sample)
     first = scratch.save(scores(rows, models, text_col, ["__host", "__path"]), "scored")
     evidence = first.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (_sigmoid(-F.col("low")) * _sigmoid(-F.col("toxic"))).alias("good"))
     sites = scratch.save(posteriors(evidence), "sites")
