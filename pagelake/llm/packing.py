@@ -5,7 +5,7 @@ Each task reads its documents in order as one stream of token ids (every documen
 documents (free) or of sentences (``sentence_cost``), or where a window that began at one of
 these is full (``broken_cost``). A sequence is padded to the capacity unless its length is a power of two. Shorter
 sequences than the capacity that need no padding cost ``short_cost``, so a stream isn't cut to crumbs.
-The least sum of padding and costs solves
+Powers of two count from a sixteenth of the capacity on. The least sum of padding and costs solves
 
     f(j) = cut(j) + min(capacity - j + min over i in [j - capacity, j) of (f(i) + i), short + min over k of f(j - 2^k))
 
@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Sequences shorter than this part of the capacity are made only at the end of a task.
+SHORTEST = 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -85,7 +87,7 @@ def best_cuts(ends: np.ndarray, sentences: np.ndarray, total: int, capacity: int
     cost[np.searchsorted(at, ends)] = 0
     cost[[0, -1]] = 0
     exact: dict[int, list[int]] = {}
-    k = 1
+    k = max(1, capacity // SHORTEST)
     while k < capacity:
         i = np.searchsorted(at, at - k)
         for j in np.flatnonzero((at >= k) & (at[i] == at - k)).tolist():

@@ -521,7 +521,7 @@ def brute_cost(ends, sentences, total, capacity, costs):
             if i < j <= i + capacity:
                 n = j - i
                 ways.append(best[i] + capacity - n)
-                if n & (n - 1) == 0 and n < capacity:
+                if n & (n - 1) == 0 and capacity // packing.SHORTEST <= n < capacity:
                     ways.append(best[i] + short)
         best[j] = min(ways) + cut[j]
     return best[total]
@@ -533,7 +533,7 @@ def cost_of(cuts, ends, sentences, total, capacity, costs):
     for c in cuts:
         n = c - at
         assert 0 < n <= capacity
-        out += min(capacity - n, short if n & (n - 1) == 0 and n < capacity else capacity)
+        out += min(capacity - n, short if n & (n - 1) == 0 and capacity // packing.SHORTEST <= n < capacity else capacity)
         out += 0 if c in ends or c == total else sentence if c in sentences else broken
         at = c
     assert at == total
