@@ -2,8 +2,8 @@
 
 Two logistic models (low quality, toxic) are fitted on a bounded sample of labelled rows: the
 ``sample`` labels with the smallest hash of their id. Their features are hashed words, hashed
-word beginnings and a few ratios of the text; hashed features take part only if they occur with
-one class far more often than chance. They score every whole text. The documents' evidence is
+word beginnings and a few ratios of the text; hashed features take part only if they go with
+a fault far more often than chance. They score every whole text. The documents' evidence is
 summed by path and by host in grouped aggregation, and each level's share of good documents is
 shrunk toward the level above, by a weight that the spread between groups gives (method of
 moments): a path with few documents says what its host says, a sparse host what the corpus says. A
@@ -108,7 +108,7 @@ def fit(rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, steps: int =
     if not len(y) or y.min() == y.max():
         return NONE
     chosen, col = np.unique(np.concatenate(rows), return_inverse=True)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col, doc = col.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     p = y.mean()
     centre, spread = ratios.mean(0), ratios.std(0) + 1e-9
     r = (ratios - centre) / spread
@@ -137,8 +137,9 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[tupl
 def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, z: float = 3.5, least: int = 3) -> tuple[Head, Head]:
     """(low quality, toxic) models from at most ``sample`` labelled rows.
 
-    Executors count the hashed features and keep those that go with a label in at least ``least``
-    rows and ``z`` standard deviations more or less often than chance; only these reach the driver.
+    Executors count the hashed features and keep those that are in at least ``least`` rows and go
+    with a fault ``z`` standard deviations more often than chance, and twice as often; only these
+    reach the driver.
     """
     picked = labels.select(F.col("doc_id").cast("long").alias("__id"), (1 - F.col("quality").cast("int")).alias("is_low"), F.col("toxic").cast("int").alias("is_toxic"))
     picked = picked.dropna().dropDuplicates(["__id"]).orderBy(F.xxhash64("__id")).limit(sample)
@@ -156,7 +157,7 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str, tex
     if not n:
         return NONE, NONE
     each = seen.select("is_low", "is_toxic", F.explode("hashed").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.sum("is_low").alias("low"), F.sum("is_toxic").alias("toxic"))
-    telling = lambda c, p: F.abs(F.col(c) - F.col("n") * p) > z * F.sqrt(F.col("n") * p * (1 - p) + 1)
+    telling = lambda c, p: (F.col(c) > F.col("n") * p + z * F.sqrt(F.col("n") * p * (1 - p) + 1)) & (F.col(c) > 2 * p * F.col("n"))
     chosen = each.filter((F.col("n") >= least) & (telling("low", low) | telling("toxic", toxic))).select("h").toArrow()["h"].to_numpy()
     mask = np.zeros(1 << BITS, dtype=bool)
     mask[chosen] = True
@@ -172,7 +173,7 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str, tex
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], hashed, batch.column(4)], names=batch.schema.names)
 
     got = seen.mapInArrow(cut, seen.schema).toPandas().sort_values("id", kind="stable").drop_duplicates("id")
-    hashed, ratios = [np.asarray(h, dtype=np.int64) for h in got["hashed"]], np.stack(got["ratios"].to_numpy())
+    hashed, ratios = [np.asarray(h, dtype=np.int32) for h in got["hashed"]], np.stack(got["ratios"].to_numpy())
     return tuple(fit(hashed, ratios, got[c].to_numpy().astype(np.float64)) for c in ("is_low", "is_toxic"))
 
 
