@@ -105,13 +105,14 @@ def output_name(base: Column | str, n: Column | int) -> Column:
 
 
 def script(text: Column | str) -> Column:
-    """hangul, kana, han or unicode: the first of these that occurs."""
+    """korean, japanese, chinese or unicode: Hangul before kana before Han."""
     t = _c(text)
-    return F.when(t.rlike(r"\p{IsHangul}"), "hangul").when(t.rlike(r"[\p{IsHiragana}\p{IsKatakana}]"), "kana").when(t.rlike(r"\p{IsHan}"), "han").otherwise("unicode")
+    return F.when(t.rlike(r"\p{IsHangul}"), "korean").when(t.rlike(r"[\p{IsHiragana}\p{IsKatakana}]"), "japanese").when(t.rlike(r"\p{IsHan}"), "chinese").otherwise("unicode")
 
 
 def is_standard_ascii(text: Column | str) -> Column:
-    return _c(text).rlike(r"^[\x20-\x7E]*$")
+    """Printable ASCII, white space and format characters only."""
+    return _c(text).rlike(r"(?U)^[\x20-\x7E\s\p{Cf}]*$")
 
 
 def utf16_hex(char: Column | str) -> Column:
