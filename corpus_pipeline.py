@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm import ngram_join, quality, secrets
-from pagelake.llm.common import Scratch, bounded, table
+from pagelake.llm.common import Scratch, bounded, quoted, table
 from pagelake.llm.queries import pack_documents
 
 
@@ -24,18 +24,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The smallest doc_id of each group of near duplicates; documents without an id or words stay."""
     found = Scratch(spark, "dedup")
     groups = found.save(ngram_join.near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    out = docs.join(bounded(groups.filter("doc_id <> component_id").select("doc_id").distinct(), 500_000), "doc_id", "left_anti").select(docs.columns)
+    out = docs.join(bounded(groups.filter("doc_id <> component_id").select("doc_id").distinct(), 500_000), "doc_id", "left_anti").select(*map(quoted, docs.columns))
     again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not again.limit(1).count():
         return out
     twice = bounded(found.save(again, "repeated"), 500_000)
-    return out.join(twice, "doc_id", "left_anti").unionByName(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    return out.join(twice, "doc_id", "left_anti").unionByName(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*map(quoted, docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets that look live are masked and n_chars follows the text."""
     clean = secrets.redact(docs, repo=F.concat_ws("/", "source", "lang"))
-    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*map(quoted, docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

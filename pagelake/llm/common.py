@@ -75,9 +75,14 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def quoted(name: str) -> str:
+    """A column's name for functions that parse names."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def bounded(ids: DataFrame, rows: int) -> DataFrame:
     """ids, marked for broadcast if there are at most ``rows`` of them (counted here); else it joins by shuffle."""
-    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+    return F.broadcast(ids) if ids.count() <= rows else ids
 
 
 def words_column(text: Column) -> Column:

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pagelake.llm.common import Scratch, bounded, text_blocks
+from pagelake.llm.common import Scratch, bounded, quoted, text_blocks
 
 BITS = 20
 RATIOS = 6
@@ -189,8 +190,9 @@ def scores(docs: DataFrame, models, text_col: str, keep: list[str]) -> DataFrame
                 names=[*keep, "low", "toxic"],
             )
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{schema}, low double, toxic double")
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    schema = StructType([*(StructField(c, rows.schema[c].dataType) for c in keep), StructField("low", DoubleType()), StructField("toxic", DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def _sigmoid(x: Column | str) -> Column:
@@ -272,6 +274,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id
     first = scratch.save(scores(rows, models, text_col, ["__host", "__path"]), "scored")
     evidence = first.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (_sigmoid(-F.col("low")) * _sigmoid(-F.col("toxic"))).alias("good"))
     sites = scratch.save(posteriors(evidence), "sites")
-    again = rows.withColumn("__row", F.struct(*names))
+    again = rows.withColumn("__row", F.struct(*map(quoted, names)))
     scored = scores(again, models, text_col, ["__row", "__host", "__path"])
-    return _judged(scored, sites, site_limit).filter("keep").select(*(F.col(f"__row.{c}").alias(c) for c in names))
+    return _judged(scored, sites, site_limit).filter("keep").select(*(F.col(f"__row.{quoted(c)}").alias(c) for c in names))

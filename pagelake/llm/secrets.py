@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pagelake.llm.common import Scratch
+from pagelake.llm.common import Scratch, quoted
 
 #: Fixed values of the contract: kinds in their order, patterns and least lengths.
 KINDS = ["assign", "access", "hex", "live", "sighted"]
@@ -95,8 +96,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner: Column, repo: Colum
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = SCANNED + (f", kept {docs.schema[keep].dataType.simpleString()}" if keep else "")
-    return rows.mapInArrow(run, schema)
+    schema = StructType.fromDDL(SCANNED)
+    return rows.mapInArrow(run, schema.add("kept", docs.schema[keep].dataType) if keep else schema)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -147,17 +148,18 @@ def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = 2, id_col:
     """The same rows and columns; live-looking values in the text are replaced by ``mask``, widely copied examples stay."""
     scratch = Scratch(docs.sparkSession, "redact")
     names = docs.columns
-    whole = docs.select(*names, F.struct(*names).alias("__row"))
+    own = list(map(quoted, names))
+    whole = docs.select(*own, F.struct(*own).alias("__row"))
     scanned = scratch.save(scan(whole, id_col, text_col, F.col(owner_col), F.col(owner_col) if repo is None else repo, "__row"), "scanned")
     live = judged(scanned, max_owners).filter("n_live > 0 or size(added) > 0").select("uid", "added")
     rows = scanned.select("uid", "kept").join(live, "uid", "left")
     # Back to front, so that earlier positions stay right; a span inside an already replaced one is skipped.
     order = F.reverse(F.array_sort("added"))
-    text = F.col(f"kept.{text_col}")
+    text = F.col(f"kept.{quoted(text_col)}")
     start = F.struct(text.alias("text"), F.lit(2**31 - 1).alias("before"))
     step = lambda a, s: F.when(
         s.end <= a.before,
         F.struct(F.concat(F.substring(a.text, F.lit(1), s.start), F.lit(mask), F.substring(a.text, s.end + 1, F.length(a.text))).alias("text"), s.start.alias("before")),
     ).otherwise(a)
     cleaned = F.when(F.col("added").isNull(), text).otherwise(F.aggregate(order, start, step, lambda a: a.text))
-    return rows.select(*(cleaned.alias(c) if c == text_col else F.col(f"kept.{c}").alias(c) for c in names))
+    return rows.select(*(cleaned.alias(c) if c == text_col else F.col(f"kept.{quoted(c)}").alias(c) for c in names))

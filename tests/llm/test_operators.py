@@ -28,7 +28,7 @@ def documents(spark, rows):
     """(id, text) or (id, text, lang, source) rows with clashing extra columns."""
     full = [(r[0], r[1], *(r[2:4] if len(r) > 2 else ("en", "s")), None) for r in rows]
     df = spark.createDataFrame(full, DOCS)
-    for c in CLASH:
+    for c in [*CLASH, "odd name, `x`"]:
         df = df.withColumn(c, F.lit(None).cast("string"))
     return df
 
