@@ -135,7 +135,7 @@ def sanitise_lines(spark, sf):
     return B.read(spark, sf, "documents").select("doc_id", F.md5(T.sanitize("text")).alias("digest"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '\\p{Hangul}') THEN 'korean' WHEN regexp_matches(text, '[\\p{Hiragana}\\p{Katakana}]') THEN 'japanese' WHEN regexp_matches(text, '\\p{Han}') THEN 'chinese' ELSE 'unicode' END AS script, regexp_full_match(text, '[ -~\s\p{Cf}]*') AS ascii FROM documents")
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '\\p{Hangul}') THEN 'korean' WHEN regexp_matches(text, '[\\p{Hiragana}\\p{Katakana}]') THEN 'japanese' WHEN regexp_matches(text, '\\p{Han}') THEN 'chinese' ELSE 'unicode' END AS script, regexp_full_match(text, '[ -~\\s\\p{Cf}]*') AS ascii FROM documents")
 def detect_script(spark, sf):
     return B.read(spark, sf, "documents").select("doc_id", T.script("text").alias("script"), T.is_standard_ascii("text").alias("ascii"))
 
