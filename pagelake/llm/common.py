@@ -16,7 +16,8 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_REGEX = rf"[^{SPACE_CLASS}]+"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: its shuffle files go when the job ends, and Python gets small batches of texts.
+_WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +53,14 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        was = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")  # this job's shuffle files go when it ends
+        was = {k: self.spark.conf.get(k, None) for k in _WHILE_SAVING}
+        for k, v in _WHILE_SAVING.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.unset(_CLEANUP) if was is None else self.spark.conf.set(_CLEANUP, was)
+            for k, v in was.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         saved = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(saved)] = (path, saved)
         return saved
@@ -145,7 +148,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(np.add.reduceat(value, first) + length.astype(np.uint64) * _STEP[63]), offsets
 
 
-def shingle_sets(texts: list[str | None], k: int = 5, block_chars: int = 1_000_000) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], k: int = 5, block_chars: int = 300_000) -> Iterator[np.ndarray]:
     """For each text, its sorted distinct hashes of k-word shingles (one of the whole text if it has fewer words)."""
     at = 0
     while at < len(texts):

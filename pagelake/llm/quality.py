@@ -131,7 +131,7 @@ def fit(rows: list[np.ndarray], ratios: np.ndarray, y: np.ndarray, steps: int =
 
 def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
     texts = batch.column(column).to_pylist()
-    for a, b in text_blocks(texts, 1_000_000):
+    for a, b in text_blocks(texts, 300_000):
         yield a, list(features(texts[a:b]))
 
 
