@@ -107,16 +107,16 @@ def font_runs(chars: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- export journal
 
-#: Fixed value: first field of a journal line.
-JOURNAL = "muocr-v1"
+#: First field of a journal line; journals of other programs name theirs with ``tag``.
+JOURNAL = "export-v1"
 
 
-def parse_journal(lines: DataFrame, column: str = "value") -> DataFrame:
+def parse_journal(lines: DataFrame, column: str = "value", tag: str = JOURNAL) -> DataFrame:
     """original_length, page_count, next_page, working_length of valid tab-separated records; ``valid`` tells them."""
     f = F.split(F.trim(column), "\t")
     number = lambda i, kind: F.get(f, F.lit(i)).try_cast(kind)
     out = lines.withColumns({"original_length": number(1, "bigint"), "page_count": number(2, "int"), "next_page": number(3, "int"), "working_length": number(4, "bigint")})
-    sound = (F.size(f) == 5) & (F.get(f, F.lit(0)) == JOURNAL) & (F.col("original_length") > 0) & (F.col("page_count") > 0) & F.col("next_page").between(0, F.col("page_count")) & (F.col("working_length") >= F.col("original_length"))
+    sound = (F.size(f) == 5) & (F.get(f, F.lit(0)) == tag) & (F.col("original_length") > 0) & (F.col("page_count") > 0) & F.col("next_page").between(0, F.col("page_count")) & (F.col("working_length") >= F.col("original_length"))
     return out.withColumn("valid", F.coalesce(sound, F.lit(False)))
 
 

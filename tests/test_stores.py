@@ -135,7 +135,7 @@ def test_journal_recovery():
 
 
 def test_journal_lines(spark):
-    rows = spark.createDataFrame([(Export(100, 40, 16, 150).line(),), ("muocr-v1\t1\t2\t3",), ("muocr-v1\t100\t40\t41\t150",), ("v2\t100\t40\t16\t150",)], "value string")
+    rows = spark.createDataFrame([(Export(100, 40, 16, 150).line(),), ("export-v1\t1\t2\t3",), ("export-v1\t100\t40\t41\t150",), ("v2\t100\t40\t16\t150",)], "value string")
     assert [r["valid"] for r in jobs.parse_journal(rows).collect()] == [True, False, False, False]
 
 
