@@ -1,21 +1,27 @@
-"""Language-model scores from a weighted backoff automaton.
-
-Training counts every word of every training text by a shuffle on the word. Words, pairs and
-triples whose share of the training tokens is at least ``word_share`` / ``gram_share`` become
-arcs, so the automaton has at most 1/share of each whatever the corpus is (that bound is what
-allows its broadcast); counts of all words stay distributed. Pairs are counted only among words
-that are frequent enough, triples only among kept pairs: a frequent n-gram has frequent parts.
-
-States are the root, frequent words and kept pairs. An arc holds an absolutely discounted
-probability; a failure arc holds the weight that makes each state's probabilities sum to one over
-the next lower order. The lowest order is the add-``alpha`` unigram model, which gives every
-training word its count and an unknown word the rest. Scoring reads a text once from left to
-right: it follows an arc where the state has one and otherwise the failure arc, adding its weight.
-A word without arcs leads to the root; its count comes from the distributed table by a join, whose
-keys are all rare words, so no key is hot.
+"""Language-model scores from a weighted backoff automaton that is as large as the corpus makes it.
+
+Every word of the training texts counts; every pair and every triple that occurs at least ``LEAST``
+times is an arc. Nothing is cut by size: the model is never in one place, so it may grow with the input.
+
+States are the root, words and kept pairs. An arc holds an absolutely discounted probability; a
+failure arc holds the weight that makes each state's probabilities sum to one over the next lower
+order. The lowest order is the add-``alpha`` unigram model, which gives every training word its
+count and an unknown word the rest. After any token the automaton is in the state of the last pair
+if that is kept, else in that of the last word, so each token's weight follows from three tokens.
+
+Texts lie in chunks of bounded size. A chunk sends each of its distinct n-grams once, as a 64-bit
+hash; counts are summed by a shuffle on the hash, and an n-gram has one row a chunk at most, so no key is
+hot. Counts that matter go back to the chunks that asked, by a shuffle on the chunk:
+
+1. words and pairs; the chunks then hold the counts that failure weights of words are made from;
+2. triples over kept pairs, and failure weights of words;
+3. failure weights of pairs, for the tokens that leave a pair by its failure arc.
+
+The failure weight of a state sums over its arcs; one chunk, the first that has the arc's n-gram, adds it.
 
 Tokens are words with A-Z lower-cased, then one end. Texts are held out when the CRC-32 of their
-id, as text, is divisible by ``folds``. Nulls and edge cases: a null or empty text is one end
+id, as text, is divisible by ``folds``. ``word_share`` and ``gram_share`` can ask for more than the least
+counts, as a share of the training tokens. Nulls and edge cases: a null or empty text is one end
 token; a null id counts as the empty text (held out); repeated rows train and score each; other
 columns are ignored; an empty table gives an empty result.
 """
@@ -23,211 +29,251 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import SPACE_CLASS, Scratch, words_bytes
+from pagelake.llm.common import _STEP, Scratch, mix64, text_blocks, word_hashes
 
 DISCOUNT = 0.75
-
-
-@dataclass
-class Counts:
-    """What the automaton is made from. Word ids are positions in words; the end is len(words)."""
-
-    words: list[bytes]
-    counts: np.ndarray  # of words, then of the end
-    pairs: np.ndarray  # u * (len(words) + 1) + w, sorted
-    pair_counts: np.ndarray
-    triples: np.ndarray  # position of the pair * (len(words) + 1) + w, sorted
-    triple_counts: np.ndarray
-    total: int
-    scale: float  # what counts + alpha are divided by
-    alpha: float
-
-
-class Automaton:
-    """arcs: state * width + word -> position in logp and then. State 0 is the root, 1 + u a word, 1 + words + p a pair."""
-
-    def __init__(self, c: Counts):
-        n = len(c.words)
-        self.width = width = n + 1
-        self.ids = {w: i for i, w in enumerate(c.words)}
-        base = (c.counts + c.alpha) / c.scale
-        self.base = np.log10(base).tolist() if c.total else [0.0] * len(base)
-        states = 1 + n + len(c.pairs)
-        fail = np.zeros(states, dtype=np.int64)
-        bow = np.zeros(states)
-        u, w = np.divmod(c.pairs, width)
-        p2 = (c.pair_counts - DISCOUNT) / np.maximum(c.counts[u], 1)
-        left, lower = 1 - np.bincount(u, p2, n), 1 - np.bincount(u, base[w], n)
-        bow[1 : 1 + n] = np.log10(left / np.maximum(lower, 1e-300))
-        fail[1 + n :] = 1 + np.where(w < n, w, -1)
-        t, x = np.divmod(c.triples, width)
-        p3 = (c.triple_counts - DISCOUNT) / np.maximum(c.pair_counts[t], 1)
-        below = np.searchsorted(c.pairs, w[t] * width + x)
-        left, lower = 1 - np.bincount(t, p3, len(u)), 1 - np.bincount(t, p2[below], len(u))
-        bow[1 + n :] = np.log10(left / np.maximum(lower, 1e-300))
-        then2 = np.where(w < n, 1 + n + np.arange(len(u)), 0)
-        then3 = np.where(x < n, 1 + n + below, 0)
-        keys = np.concatenate([(1 + u) * width + w, (1 + n + t) * width + x])
-        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.logp = np.concatenate([np.log10(p2), np.log10(p3)]).tolist()
-        self.then = np.concatenate([then2, then3]).tolist()
-        self.fail, self.bow = fail.tolist(), bow.tolist()
-        #: Weight of all failure arcs from a state to the root.
-        self.down = (bow + np.where(np.arange(states) > n, bow[fail], 0)).tolist()
-
-    def score(self, words: list[bytes]) -> tuple[float, float, list[bytes]]:
-        """(base log10, score log10, words without arcs): both sums lack these words' own unigram terms."""
-        ids, arcs, logp, then, fail, bow, down, base, width = self.ids, self.arcs, self.logp, self.then, self.fail, self.bow, self.down, self.base, self.width
-        total = plain = 0.0
-        rare: list[bytes] = []
-        state = 0
-        for i in [*map(ids.get, words), width - 1]:
-            if i is None:
-                total += down[state]
-                state = 0
-                rare.append(b"")
-                continue
-            plain += base[i]
-            while state:
-                arc = arcs.get(state * width + i)
-                if arc is not None:
-                    total += logp[arc]
-                    state = then[arc]
-                    break
-                total += bow[state]
-                state = fail[state]
-            else:
-                total += base[i]
-                state = i + 1
-        if rare:
-            rare = [w for w in words if w not in ids]
-        return plain, total, rare
-
-
-_BUILT: dict[str, Automaton] = {}
-
-
-def built(name: str, counts) -> Automaton:
-    """The automaton of a broadcast model, built once in a worker."""
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = Automaton(counts.value)
-    return _BUILT[name]
+#: Occurrences of a kept pair or triple.
+LEAST = 2
+END = -0x61C8864680B583EB
+#: The kind of a row is the lowest bit of ``at``, its chunk what lies above the bits that tell senders apart.
+WORD, PAIR, SENDER_BITS = 0, 1, 25
+ASKED = "kind int, chunk long, key long, n long, x double, y double"
+STEPPED = "kind int, chunk long, key long, idx int, x double, y double, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, back array<int>"
+STEPPED_TYPES = {
+    "kind": pa.int32(), "chunk": pa.int64(), "key": pa.int64(), "idx": pa.int32(), "x": pa.float64(), "y": pa.float64(), "doc_id": pa.int64(), "held_out": pa.bool_(),
+    "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "back": pa.list_(pa.int32()),
+}
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def held_out(id_col: str, folds: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == 0
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return texts.select(F.explode(F.split(lowered, rf"[{SPACE_CLASS}]+")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
+def in_chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
+    """chunk, doc_id, held_out, text: rows in runs of about chunk_bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, before = TaskContext.get().partitionId() << 14, 0
+        for batch in batches:
+            size = before + np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+            if len(size):
+                before = int(size[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(first + size // chunk_bytes, pa.int64()), *batch.columns], names=["chunk", "doc_id", "held_out", "text"])
 
-def gram_counts(texts: DataFrame, vocabulary, frequent: int, pairs=None) -> DataFrame:
-    """(key, c): counts of pairs of the ``frequent`` first words, or of triples over the given pairs."""
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "chunk long, doc_id long, held_out boolean, text string")
+
+
+class Tokens:
+    """Tokens of some texts in a row: word hashes, text of each, hashes of the pair and triple that end at each."""
+
+    def __init__(self, texts: list[str]):
+        parts, sizes = [], []
+        for a, b in text_blocks(texts, 1_000_000):
+            hashes, offsets = word_hashes(texts[a:b])
+            parts.append(np.insert(hashes.view(np.int64), offsets[1:], END))
+            sizes.append(np.diff(offsets) + 1)
+        self.word = np.concatenate(parts)
+        self.sizes = np.concatenate(sizes)
+        self.text = np.repeat(np.arange(len(texts)), self.sizes)
+        n = len(self.word)
+        w = self.word.view(np.uint64)
+        #: False at the first token, or the first two, of a text.
+        self.second, self.third = np.zeros(n, bool), np.zeros(n, bool)
+        self.second[1:] = self.text[1:] == self.text[:-1]
+        self.third[2:] = self.text[2:] == self.text[:-2]
+        self.pair, self.triple = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.pair[1:] = mix64(w[:-1] * _STEP[0] + w[1:] * _STEP[1] + _STEP[2]).view(np.int64)
+        self.triple[2:] = mix64(w[:-2] * _STEP[3] + w[1:-1] * _STEP[4] + w[2:] * _STEP[5] + _STEP[6]).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary.value
-        ids = {w: i for i, w in enumerate(words[:frequent])}
-        width, end = len(words) + 1, len(words)
-        known = None if pairs is None else pairs.value
-        held: list[np.ndarray] = []
 
-        def made() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "c"])
+def previous(x: np.ndarray) -> np.ndarray:
+    """Values one token earlier."""
+    return np.concatenate([x[:1] * 0, x[:-1]])
+
+
+class Found:
+    """What came back for hashes; an absent one has 0."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(asked), self.values.dtype)
+        at = np.searchsorted(self.keys, asked)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == asked, self.values[at], 0)
+
+
+def summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    keys, where = np.unique(keys, return_inverse=True)
+    return keys, *(np.bincount(where, w, len(keys)) for w in weights)
+
+
+def sent_grams(texts: DataFrame) -> DataFrame:
+    """(key, at, n): each chunk's distinct words and pairs and how often its training texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, sent = TaskContext.get().partitionId(), 0
+        chunk, texts, held = None, [], []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            t = Tokens(texts)
+            train = ~np.array(held, bool)[t.text]
+            at = chunk << SENDER_BITS | (task & 0xFFFF) << 9 | (sent & 0xFF) << 1
+            for kind, asked in ((WORD, slice(None)), (PAIR, t.second)):
+                keys, n = summed((t.word, t.pair)[kind][asked], train[asked])
+                for i in range(0, len(keys), 50_000):
+                    k = keys[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), at | kind)), pa.array(n[i : i + 50_000].astype(np.int64))], names=["key", "at", "n"])
 
         for batch in batches:
-            column = batch.column(0)
-            for at in range(0, len(batch), 256):
-                flat: list[int] = []
-                for text in column.slice(at, 256):
-                    flat += [ids.get(w, -1) for w in words_bytes(text.as_py())]
-                    flat += (end, -1)
-                line = np.array(flat, dtype=np.int64)
-                u, w = line[:-1], line[1:]
-                two = np.where((u >= 0) & (w >= 0), u * width + w, -1)
-                if known is None:
-                    held.append(two[two >= 0])
-                elif len(known):
-                    found = np.searchsorted(known, two)
-                    found[found == len(known)] = 0
-                    kept = (two >= 0) & (known[found] == two)
-                    both = kept[:-1] & kept[1:]
-                    held.append((found[:-1] * width + line[2:])[both])
-                if sum(map(len, held)) > 3_000_000:
-                    yield made()
-        if held:
-            yield made()
-
-    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, alpha: float = 0.1, word_share: float = 2e-6, gram_share: float = 4e-6) -> DataFrame:
+            of = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if texts and int(of[a]) != chunk:
+                    yield from made()
+                    sent += 1
+                    texts, held = [], []
+                chunk = int(of[a])
+                held += batch.column(1).slice(a, b - a).to_pylist()
+                texts += batch.column(2).slice(a, b - a).to_pylist()
+        if texts:
+            yield from made()
+
+    return texts.select("chunk", "held_out", "text").mapInArrow(run, "key long, at long, n long")
+
+
+def totals(sent: DataFrame) -> DataFrame:
+    """key, chunk, kind, c, lead: sums over all chunks, for each chunk that sent the key; one row of a key leads."""
+    same = Window.partitionBy("key")
+    each = sent.select("key", "at", F.sum("n").over(same).alias("c"), (F.col("at") == F.min("at").over(same)).alias("lead"))
+    return each.select("key", F.shiftright("at", SENDER_BITS).alias("chunk"), F.col("at").bitwiseAND(1).cast("int").alias("kind"), "c", "lead").filter(f"kind = {WORD} or c >= {LEAST}")
+
+
+class Model:
+    """Counts at the tokens of a chunk. ``back`` has rows of key, kind, c, lead."""
+
+    def __init__(self, texts: pa.Table, back: dict[str, np.ndarray], total: int, scale: float, alpha: float, word_share: float, gram_share: float):
+        self.t = t = Tokens(texts["text"].to_pylist())
+        order = np.argsort(~back["lead"], kind="stable")  # a leading row is found first
+        key, kind, c, lead = (back[k][order] for k in ("key", "kind", "c", "lead"))
+        self.least = max(LEAST, gram_share * total)
+        self.c1 = Found(key[kind == WORD], c[kind == WORD])(t.word)
+        self.base = (self.c1 + alpha) / scale
+        end = t.word == END
+        frequent = self.c1 >= max(self.least, word_share * total)
+        # A frequent n-gram has frequent parts, so only the share of words can take a pair away.
+        may = t.second & previous(frequent & ~end) & (frequent | end)
+        is_pair = kind == PAIR
+        self.c2 = np.where(may, Found(key[is_pair], c[is_pair])(t.pair), 0)
+        self.c2[self.c2 < self.least] = 0
+        self.lead2 = Found(key[is_pair], lead[is_pair])(t.pair)
+        self.p2 = (self.c2 - DISCOUNT) / np.maximum(previous(self.c1), 1)
+        #: The automaton is in the state of a pair before the token; a triple can follow.
+        self.from_pair = t.third & (previous(self.c2) > 0)
+
+
+def columns(table: pa.Table) -> dict[str, np.ndarray]:
+    return {k: table[k].to_numpy() for k in table.column_names}
+
+
+def failing(sums: DataFrame, name: str) -> DataFrame:
+    """(key, name): log10 of the failure weight of a state from sums over its arcs."""
+    left, lower = 1 - F.sum("x"), F.greatest(1 - F.sum("y"), F.lit(1e-300))
+    return sums.groupBy("key").agg(F.log10(left / lower).alias(name))
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, alpha: float = 0.1, word_share: float = 0.0, gram_share: float = 0.0, chunk_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
+    scratch = Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out(id_col, folds).alias("held_out"))
-    train = rows.filter(~F.col("held_out"))
-    ends = train.count()
-    counted = scratch.save(word_counts(train), "words")
-    n_words, n_distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    total, distinct = n_words + ends, n_distinct + (ends > 0)
+    texts = scratch.save(in_chunks(rows, chunk_bytes), "texts")
+    grams = scratch.save(totals(sent_grams(texts)), "grams")
+    total, distinct = grams.filter(f"kind = {WORD} and lead and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     scale = total + alpha * (distinct + 1)
-    # At most 1 / share rows each reach the driver.
-    common = counted.filter(F.col("c") >= max(1.0, word_share * total)).orderBy(F.desc("c"), "word").collect()
-    words = [r["word"].encode() for r in common]
-    counts = np.array([*(r["c"] for r in common), ends], dtype=np.int64)
-    least = max(2.0, gram_share * total)
-    frequent = int((counts[:-1] >= least).sum())
-    vocabulary = spark.sparkContext.broadcast(words)
-
-    def kept(grams: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
-        found = scratch.save(grams.filter(F.col("c") >= least), name)
-        got = found.orderBy("key").toArrow()
-        return got["key"].to_numpy(), got["c"].to_numpy()
-
-    pairs, pair_counts = kept(gram_counts(train, vocabulary, frequent), "pairs")
-    triples, triple_counts = kept(gram_counts(train, vocabulary, frequent, spark.sparkContext.broadcast(pairs)), "triples")
-    model = spark.sparkContext.broadcast(Counts(words, counts, pairs, pair_counts, triples, triple_counts, total, scale, alpha))
-    name = scratch.root
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = built(name, model)
-        uid = TaskContext.get().partitionId() << 33
-        names = ["uid", "doc_id", "held_out", "n_tokens", "base", "score", "rare"]
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                n, base, score, rare = [], [], [], []
-                for text in part.column(1):
-                    tokens = words_bytes(text.as_py())
-                    a, b, r = automaton.score(tokens)
-                    n.append(len(tokens) + 1)
-                    base.append(a)
-                    score.append(b)
-                    rare.append([w.decode() for w in r])
-                uids = pa.array(range(uid, uid + len(part)), pa.int64())
-                uid += len(part)
-                columns = [uids, part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    scored = scratch.save(rows.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, base double, score double, rare array<string>"), "scored")
-    rare = scored.select("uid", F.explode("rare").alias("word"))
-    seen = F.coalesce("c", F.lit(0))
-    terms = rare.join(counted, "word", "left").groupBy("uid").agg(F.sum(F.log10((seen + alpha) / scale)).alias("terms"), F.count("*").alias("n_rare"), F.count_if(seen > 0).alias("n_seen"))
-    out = scored.join(terms, "uid", "left")
-    own = F.coalesce("terms", F.lit(0.0))
-    known = F.col("n_tokens") - F.coalesce("n_rare", F.lit(0)) + F.coalesce("n_seen", F.lit(0)) - F.lit(0 if ends else 1)
-    return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + own).alias("base_score"), (F.col("score") + own).alias("score"))
+    given = (total, scale, alpha, word_share, gram_share)
+
+    def ask_triples(of: pa.Table, back: pa.Table) -> pa.Table:
+        m = Model(of, columns(back), *given)
+        t, chunk = m.t, of["chunk"][0].as_py()
+        train = ~of["held_out"].to_numpy()[t.text]
+        asked = m.from_pair & (m.c2 > 0)
+        keys, n = summed(t.triple[asked], train[asked])
+        at = np.flatnonzero((m.c2 > 0) & m.lead2)
+        at = at[np.unique(t.pair[at], return_index=True)[1]]
+        states, x, y = summed(previous(t.word)[at], m.p2[at], m.base[at])
+        k, s = len(keys), len(states)
+        zero = np.zeros(k)
+        return pa.table({
+            "kind": np.repeat(np.array([0, 1], np.int32), [k, s]), "chunk": np.full(k + s, chunk), "key": np.concatenate([keys, states]),
+            "n": np.concatenate([n, np.zeros(s)]).astype(np.int64), "x": np.concatenate([zero, x]), "y": np.concatenate([zero, y]),
+        })
+
+    by = lambda df: df.groupBy("chunk")
+    asked = scratch.save(by(texts).cogroup(by(grams)).applyInArrow(ask_triples, ASKED), "asked")
+    triples = totals(asked.filter("kind = 0").select("key", (F.shiftleft("chunk", SENDER_BITS) + PAIR).alias("at"), "n"))
+    triples = scratch.save(triples.select("key", "chunk", F.lit(2).alias("kind"), "c", "lead", F.lit(0.0).alias("weight")), "triples")
+    states = scratch.save(failing(asked.filter("kind = 1"), "weight"), "states")
+    scratch.drop(asked)
+    words = grams.filter(f"kind = {WORD}").select("key", "chunk").join(states, "key").select("key", "chunk", F.lit(3).alias("kind"), F.lit(0).cast("long").alias("c"), F.lit(False).alias("lead"), "weight")
+    known = grams.withColumn("weight", F.lit(0.0)).unionByName(triples).unionByName(words)
+
+    def step(of: pa.Table, back: pa.Table) -> pa.Table:
+        got = columns(back)
+        m = Model(of, got, *given)
+        t, chunk = m.t, of["chunk"][0].as_py()
+        is3, is_weight = got["kind"] == 2, got["kind"] == 3
+        c3 = np.where(m.from_pair & (m.c2 > 0), Found(got["key"][is3], got["c"][is3])(t.triple), 0)
+        c3[c3 < m.least] = 0
+        lead3 = Found(got["key"][is3], got["lead"][is3])(t.triple)
+        p3 = (c3 - DISCOUNT) / np.maximum(previous(m.c2), 1)
+        weight = Found(got["key"][is_weight], got["weight"][is_weight])
+        plain = np.log10(m.base)
+        lower = np.where(t.second, weight(previous(t.word)), 0) + plain
+        lower[m.c2 > 0] = np.log10(m.p2[m.c2 > 0])
+        lower[c3 > 0] = np.log10(p3[c3 > 0])
+        # Tokens that leave a pair by its failure arc: its weight comes in the last step.
+        leaves = m.from_pair & (c3 == 0)
+        pair_before = previous(t.pair)
+        needs, idx = np.unique(pair_before[leaves], return_inverse=True)
+        at = np.flatnonzero((c3 > 0) & lead3)
+        at = at[np.unique(t.triple[at], return_index=True)[1]]
+        states, x, y = summed(pair_before[at], p3[at], m.p2[at])
+        n = len(t.sizes)
+        of_text = lambda values: np.bincount(t.text, values, n)
+        ends = np.concatenate([[0], np.cumsum(of_text(leaves))]).astype(np.int32)
+        parts = [
+            {"kind": np.full(n, 0), "doc_id": of["doc_id"].combine_chunks(), "held_out": of["held_out"].combine_chunks(), "n_tokens": t.sizes, "n_known": of_text(m.c1 > 0).astype(np.int64), "base": of_text(plain), "score": of_text(lower), "back": pa.ListArray.from_arrays(pa.array(ends), pa.array(idx.astype(np.int32)))},
+            {"kind": np.full(len(states), 1), "key": states, "x": x, "y": y},
+            {"kind": np.full(len(needs), 2), "key": needs, "idx": np.arange(len(needs))},
+        ]
+        return pa.concat_tables(pa.table({k: pa.nulls(len(p["kind"]), v) if k not in p and k != "chunk" else pa.array(np.full(len(p["kind"]), chunk) if k == "chunk" else p[k], v) for k, v in STEPPED_TYPES.items()}) for p in parts)
+
+    stepped = scratch.save(by(texts).cogroup(by(known)).applyInArrow(step, STEPPED), "stepped")
+    scratch.drop(texts, grams, triples, states)
+    weights = scratch.save(stepped.filter("kind = 2").select("chunk", "key", "idx").join(failing(stepped.filter("kind = 1"), "weight"), "key").select("chunk", "idx", "weight"), "weights")
+
+    def finish(of: pa.Table, back: pa.Table) -> pa.Table:
+        lists = of["back"].combine_chunks()
+        idx, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        weight = np.zeros(max(int(idx.max(initial=0)) + 1, 1))
+        if len(back):
+            weight[back["idx"].to_numpy()] = back["weight"].to_numpy()
+        own = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weight[idx], len(sizes))
+        return pa.table({"doc_id": of["doc_id"], "held_out": of["held_out"], "n_tokens": of["n_tokens"], "n_known": of["n_known"], "base_score": of["base"], "score": of["score"].to_numpy() + own})
+
+    scored = by(stepped.filter("kind = 0").select("chunk", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "back")).cogroup(by(weights)).applyInArrow(finish, SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -428,6 +428,17 @@ def test_lm_against_brute_force(spark):
     assert lm.score_texts(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_lm_keeps_what_occurs_twice_in_a_large_corpus(spark):
+    passage = " ".join(f"q{i}" for i in range(9))
+    rows = [(1, " ".join(words(800_000, 1, 50))), (2, passage), (3, passage)]
+    assert not any(zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows)
+    got = {r["doc_id"]: r for r in lm.score_texts(documents(spark, rows)).collect()}
+    total = 800_000 + 2 * 9 + 3
+    first = math.log10(2.1 / (total + 0.1 * (50 + 9 + 1 + 1)))
+    for i in (2, 3):
+        assert got[i]["train_tokens"] == total and math.isclose(got[i]["score"], first + 9 * math.log10(1.25 / 2), rel_tol=1e-9)
+
+
 # ---------------------------------------------------------------- secrets
 
 
