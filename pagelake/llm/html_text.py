@@ -1,14 +1,16 @@
 """Main text of web pages: site template removal by counted subtree hashes, and structure.
 
 Pass 1 parses every page and hashes each element's subtree (tag, attributes without addresses,
-text and children). Spark counts, for each host, the pages that hold a hash: pages of one task and
-host meet in partial aggregation, so a host with a third of all pages is no single task's load.
-Hashes on at least ``min_pages`` pages and a ``min_share`` of the host's pages are its template.
+text and children). Spark counts, for each host, the distinct pages that hold a hash: pages of one
+text, read without any template, are one page, so a group of copies does not make its content a template.
+Pages of one task and host meet in partial aggregation, so a host with a third of all pages is no single task's load.
+Hashes on at least ``min_pages`` distinct pages and a ``min_share`` of the host's are its template.
 Pass 2 parses again, deletes template subtrees, elements that are never content (scripts, forms,
 menus, ...) or whose class, id or role says so (adverts, notices, comments, ...), and reads the
 blocks of the article that is left: the ``article`` or ``main`` elements if there are any, else
 the whole body. Inside ``article`` or ``main`` only containers (divisions, lists, tables, ...) can be
-template subtrees: a sentence that many articles quote is still their text.
+template subtrees: a sentence that many articles quote is still their text. Where removal would leave
+nothing but headings of a page that has more, the page is read without it.
 
 A block is the text between block-level tags with character references decoded and each run of
 white space turned into one space; blocks are joined by two line ends. The tokenizer follows
@@ -17,7 +19,7 @@ a stray end tag is ignored, text of script and style ends only at its own end ta
 tag or comment at the end of a page is dropped.
 
 Nulls and edge cases: a null or empty html gives an empty text; a null or odd url has the host
-'' and shares templates with its like; repeated rows are extracted each, and count as pages each;
+'' and shares templates with its like; repeated rows are extracted each, and count as one page;
 other columns are ignored; an empty table gives an empty result.
 """
 
@@ -43,6 +45,7 @@ BLOCK = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("div section ul ol dl table figure details center blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the key closes when one of the value starts.
 CLOSED_BY = {
     "p": BLOCK - frozenset("html body caption td th tr tbody thead tfoot".split()),
@@ -171,7 +174,10 @@ def stable_hash(text: str) -> int:
 
 def subtree_hashes(page: str) -> set[int]:
     """Hashes of subtrees that can be a template."""
-    root = parse(page)
+    return tree_hashes(parse(page))
+
+
+def tree_hashes(root: Node) -> set[int]:
     digest(root)
     out: set[int] = set()
     todo = [(root, False)]
@@ -190,6 +196,18 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     root = parse(page)
     if template:
         digest(root)
+        blocks = text_blocks(root, template)
+        if all(heading for _, heading in blocks):
+            whole = text_blocks(root)
+            if not all(heading for _, heading in whole) or not blocks:
+                blocks = whole
+    else:
+        blocks = text_blocks(root)
+    return "\n\n".join(text for text, _ in blocks)
+
+
+def text_blocks(root: Node, template: frozenset[int] = frozenset()) -> list[tuple[str, bool]]:
+    """(text, whether it is a heading) of the article's blocks."""
 
     def dropped(n: Node) -> bool:
         return n.tag in NEVER or is_marked(n)
@@ -207,13 +225,14 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
                     todo.append(c)
     order = tops["article"] or tops["main"][:1] or [root]
     inside = bool(tops["article"] or tops["main"])
-    blocks: list[str] = []
+    blocks: list[tuple[str, bool]] = []
     current: list[str] = []
+    headings = 0
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(current)).split())
         if text:
-            blocks.append(text)
+            blocks.append((text, headings > 0))
         current.clear()
 
     for top in order:
@@ -224,6 +243,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
                 current.append(item)
             elif done:
                 flush()
+                headings -= item.tag in HEADINGS
             elif item is top or not (dropped_in(item, inside) or (item.hash in template and (not inside or item.tag in CONTAINERS))):
                 if item.tag == "br":
                     current.append(" ")
@@ -231,9 +251,10 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
                 if item.tag in BLOCK:
                     flush()
                     work.append((item, True))
+                    headings += item.tag in HEADINGS
                 work += [(c, False) for c in reversed(item.items)]
         flush()
-    return "\n\n".join(blocks)
+    return blocks
 
 
 def dropped_in(n: Node, inside: bool) -> bool:
@@ -249,18 +270,22 @@ def host(url: Column) -> Column:
 
 
 def counted(pages: DataFrame) -> DataFrame:
-    """(host, hash, n): pages of the host that hold the subtree; a null hash counts all the host's pages."""
+    """(host, hash, n): distinct pages of the host that hold the subtree; a null hash counts all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, contents, hashes = [], [], []
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [*subtree_hashes(page.as_py() or ""), None]
+                root = parse(page.as_py() or "")
+                content = stable_hash("\n\n".join(text for text, _ in text_blocks(root)) or page.as_py() or "")
+                found = [*tree_hashes(root), None]
                 hosts += [h] * len(found)
+                contents += [content] * len(found)
                 hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "content", "hash"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    held = pages.select("host", "html").mapInArrow(run, "host string, content long, hash long").distinct()
+    return held.groupBy("host", "hash").agg(F.count("*").alias("n"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 20, min_share: float = 0.02, broadcast_rows: int = 200_000) -> DataFrame:

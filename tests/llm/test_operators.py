@@ -288,6 +288,21 @@ def test_shared_sentences_stay_in_articles(spark):
     assert all(r["text"] == f"Same line.\n\nOwn {r['page_id']}." for r in got)
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    article = "<h1>Title</h1><div><p>The whole story.</p></div>"
+    plain = "<body><h1>Head</h1><div><p>Text of a plain page.</p></div></body>"
+    rows = [(k, "http://h.example/", f"<div>Box</div><article>{article}</article><p>{k}</p>") for k in range(30)]
+    rows += [(100 + k, "http://h.example/", plain) for k in range(30)]
+    rows += [(200 + k, "http://h.example/", f"<body><div>Box</div><section><p>Own {k}.</p></section></body>") for k in range(30)]
+    # Near copies: nothing but a heading would be left of them.
+    rows += [(300 + k, "http://h.example/", f"<article><h1>Copy {k}</h1><div><p>Reprinted story.</p></div></article>") for k in range(30)]
+    for limit in (200_000, 0):
+        got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_rows=limit).collect()}
+        assert len(got) == len(rows)
+        assert got[3] == "Title\n\nThe whole story." and got[103] == "Head\n\nText of a plain page."
+        assert got[203] == "Own 3." and got[303] == "Copy 3\n\nReprinted story."
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 
