@@ -145,7 +145,7 @@ def find_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", t
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo: Column | None = None) -> DataFrame:
-    """The same rows and columns; live-looking values in the text are replaced by ``mask``, widely copied examples stay."""
+    """The same rows and columns; live-looking values in the text, overlapping ones as one, are replaced by ``mask``, widely copied examples stay."""
     scratch = Scratch(docs.sparkSession, "redact")
     names = docs.columns
     own = list(map(quoted, names))
@@ -153,13 +153,13 @@ def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = 2, id_col:
     scanned = scratch.save(scan(whole, id_col, text_col, F.col(owner_col), F.col(owner_col) if repo is None else repo, "__row"), "scanned")
     live = judged(scanned, max_owners).filter("n_live > 0 or size(added) > 0").select("uid", "added")
     rows = scanned.select("uid", "kept").join(live, "uid", "left")
-    # Back to front, so that earlier positions stay right; a span inside an already replaced one is skipped.
-    order = F.reverse(F.array_sort("added"))
+    # Front to back: a span that begins inside what is already masked only makes the masked part longer.
     text = F.col(f"kept.{quoted(text_col)}")
-    start = F.struct(text.alias("text"), F.lit(2**31 - 1).alias("before"))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, s: F.when(
-        s.end <= a.before,
-        F.struct(F.concat(F.substring(a.text, F.lit(1), s.start), F.lit(mask), F.substring(a.text, s.end + 1, F.length(a.text))).alias("text"), s.start.alias("before")),
-    ).otherwise(a)
-    cleaned = F.when(F.col("added").isNull(), text).otherwise(F.aggregate(order, start, step, lambda a: a.text))
+        s.start >= a.at,
+        F.struct(F.concat(a.out, F.substring(text, a.at + 1, s.start - a.at), F.lit(mask)).alias("out"), s.end.alias("at")),
+    ).otherwise(F.struct(a.out.alias("out"), F.greatest(a.at, s.end).alias("at")))
+    done = lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text)))
+    cleaned = F.when(F.col("added").isNull(), text).otherwise(F.aggregate(F.array_sort("added"), start, step, done))
     return rows.select(*(cleaned.alias(c) if c == text_col else F.col(f"kept.{quoted(c)}").alias(c) for c in names))
