@@ -357,10 +357,11 @@ def jaccard(a, b):
     return sum((a & b).values()) / max(1, sum((a | b).values()))
 
 
-def test_fingerprints(spark):
+@pytest.mark.parametrize("limit", [fingerprint.BROADCAST_ROWS, 0])
+def test_fingerprints(spark, limit):
     base = words(300, 3, 200)
     rows = [(10 + k, " ".join(edited(base, k, 0.02 * k))) for k in range(30)] + [(50, "same text here"), (51, "same text here"), (60, ""), (61, None), (62, " \n"), (70, "a" * 50_000), (80, "ééé b"), (None, "first of all"), (80, "ééé b"), (80, "another")]
-    got = fingerprint.fingerprints(documents(spark, rows)).collect()
+    got = fingerprint.fingerprints(documents(spark, rows), broadcast_rows=limit).collect()
     assert len(got) == len(rows)
     distinct = sorted({(i is not None, i or 0, t or "") for i, t in rows}, key=lambda x: x[:2])
     by = defaultdict(list)
