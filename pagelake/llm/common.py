@@ -51,10 +51,12 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, records: int | None = None) -> DataFrame:
+        """df, written and read back; Python gets at most ``records`` rows at once."""
         path = self.path(name)
-        was = {k: self.spark.conf.get(k, None) for k in _WHILE_SAVING}
-        for k, v in _WHILE_SAVING.items():
+        settings = _WHILE_SAVING | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(records)} if records else {})
+        was = {k: self.spark.conf.get(k, None) for k in settings}
+        for k, v in settings.items():
             self.spark.conf.set(k, v)
         try:
             df.write.parquet(path)

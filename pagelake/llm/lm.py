@@ -1,56 +1,55 @@
 """Language-model scores from a weighted backoff automaton that is as large as the corpus makes it.
 
-Every word of the training texts counts; every pair and every triple that occurs at least ``LEAST``
-times is an arc. Nothing is cut by size: the model is never in one place, so it may grow with the input.
-
-States are the root, words and kept pairs. An arc holds an absolutely discounted probability; a
-failure arc holds the weight that makes each state's probabilities sum to one over the next lower
-order. The lowest order is the add-``alpha`` unigram model, which gives every training word its
-count and an unknown word the rest. After any token the automaton is in the state of the last pair
-if that is kept, else in that of the last word, so each token's weight follows from three tokens.
-
-Texts lie in chunks of bounded size. A chunk sends each of its distinct n-grams once, as a 64-bit
-hash; counts are summed by a shuffle on the hash, and an n-gram has one row a chunk at most, so no key is
-hot. Counts that matter go back to the chunks that asked, by a shuffle on the chunk:
-
-1. words and pairs; the chunks then hold the counts that failure weights of words are made from;
-2. triples over kept pairs, and failure weights of words;
-3. failure weights of pairs, for the tokens that leave a pair by its failure arc.
-
-The failure weight of a state sums over its arcs; one chunk, the first that has the arc's n-gram, adds it.
+Every word, pair and triple of the training texts counts; nothing is cut. States are the root, the
+words and the pairs. The arc of a token w out of a state h holds the probability
+(c(h w) + ``prior`` p(w | h')) / (c(h) + ``prior``), h' being h without its first word; the failure arc
+to h' holds prior / (c(h) + prior), which is what the same formula gives where c(h w) is 0. So each
+state's probabilities sum to one. The lowest order is the add-``alpha`` unigram model, which gives every
+training word its count and an unknown word the rest. Reading a text from left to right, the automaton is
+in the state of the last two tokens if training texts have them, else in that of the last one or the root, so
+each token's weight follows from the counts of the word, pair and triple that end at it and of their contexts.
+
+The model is never in one place. Texts lie in chunks of about ``chunk_bytes``; a chunk is one row with its distinct
+words as 64-bit hashes and its tokens as numbers of these. A chunk asks for each of its distinct n-grams
+once: sorted hashes are cut into parts by their leading bits, and each part travels as one block of hashes and
+one of the chunk's own training counts. A part, of bounded size, sums the counts of all chunks, and each chunk gets
+back a block of totals in the order in which it asked. An n-gram has one entry a chunk at most, so no key
+is hot, and there are as many parts as the number of tokens calls for. The hashes are asked in ``passes`` ranges,
+one after the other, so that only one range is on disk at a time.
 
 Tokens are words with A-Z lower-cased, then one end. Texts are held out when the CRC-32 of their
-id, as text, is divisible by ``folds``. ``word_share`` and ``gram_share`` can ask for more than the least
-counts, as a share of the training tokens. Nulls and edge cases: a null or empty text is one end
-token; a null id counts as the empty text (held out); repeated rows train and score each; other
-columns are ignored; an empty table gives an empty result.
+id, as text, is divisible by ``folds``. Nulls and edge cases: a null or empty text is one end
+token; a null id counts as the empty text (held out); repeated rows train and score each; a very long text is a
+chunk of its own; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.common import _STEP, Scratch, mix64, text_blocks, word_hashes
 
-DISCOUNT = 0.75
-#: Occurrences of a kept pair or triple.
-LEAST = 2
+#: Weight of the next lower order, in occurrences of the state.
+PRIOR = 32.0
 END = -0x61C8864680B583EB
-#: The kind of a row is the lowest bit of ``at``, its chunk what lies above the bits that tell senders apart.
-WORD, PAIR, SENDER_BITS = 0, 1, 25
-ASKED = "kind int, chunk long, key long, n long, x double, y double"
-STEPPED = "kind int, chunk long, key long, idx int, x double, y double, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, back array<int>"
-STEPPED_TYPES = {
-    "kind": pa.int32(), "chunk": pa.int64(), "key": pa.int64(), "idx": pa.int32(), "x": pa.float64(), "y": pa.float64(), "doc_id": pa.int64(), "held_out": pa.bool_(),
-    "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "back": pa.list_(pa.int32()),
-}
+#: Kinds of blocks.
+WORD, GRAM = 0, 1
+#: Entries of a part, about.
+PART_KEYS = 2_000_000
+CODED = "chunk long, doc_id array<long>, held_out array<boolean>, sizes array<int>, words binary, tokens binary"
+CODED_TYPES = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("tokens", pa.binary())])
+ASKED = "kind int, part int, chunk long, keys binary, counts binary"
+ASKED_TYPES = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWERED = "kind int, part int, chunk long, totals binary, size int, distinct long"
+ANSWERED_TYPES = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("totals", pa.binary()), ("size", pa.int32()), ("distinct", pa.int64())])
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -58,222 +57,157 @@ def held_out(id_col: str, folds: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == 0
 
 
-def in_chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
-    """chunk, doc_id, held_out, text: rows in runs of about chunk_bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, before = TaskContext.get().partitionId() << 14, 0
-        for batch in batches:
-            size = before + np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
-            if len(size):
-                before = int(size[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(first + size // chunk_bytes, pa.int64()), *batch.columns], names=["chunk", "doc_id", "held_out", "text"])
-
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "chunk long, doc_id long, held_out boolean, text string")
-
-
-class Tokens:
-    """Tokens of some texts in a row: word hashes, text of each, hashes of the pair and triple that end at each."""
-
-    def __init__(self, texts: list[str]):
-        parts, sizes = [], []
-        for a, b in text_blocks(texts, 1_000_000):
-            hashes, offsets = word_hashes(texts[a:b])
-            parts.append(np.insert(hashes.view(np.int64), offsets[1:], END))
-            sizes.append(np.diff(offsets) + 1)
-        self.word = np.concatenate(parts)
-        self.sizes = np.concatenate(sizes)
-        self.text = np.repeat(np.arange(len(texts)), self.sizes)
-        n = len(self.word)
-        w = self.word.view(np.uint64)
-        #: False at the first token, or the first two, of a text.
-        self.second, self.third = np.zeros(n, bool), np.zeros(n, bool)
-        self.second[1:] = self.text[1:] == self.text[:-1]
-        self.third[2:] = self.text[2:] == self.text[:-2]
-        self.pair, self.triple = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.pair[1:] = mix64(w[:-1] * _STEP[0] + w[1:] * _STEP[1] + _STEP[2]).view(np.int64)
-        self.triple[2:] = mix64(w[:-2] * _STEP[3] + w[1:-1] * _STEP[4] + w[2:] * _STEP[5] + _STEP[6]).view(np.int64)
-
-
-def previous(x: np.ndarray) -> np.ndarray:
-    """Values one token earlier."""
-    return np.concatenate([x[:1] * 0, x[:-1]])
-
-
-class Found:
-    """What came back for hashes; an absent one has 0."""
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes each as the largest needs."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64).tobytes()
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], values[order]
 
-    def __call__(self, asked: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(asked), self.values.dtype)
-        at = np.searchsorted(self.keys, asked)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == asked, self.values[at], 0)
+def widened(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-def summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    keys, where = np.unique(keys, return_inverse=True)
-    return keys, *(np.bincount(where, w, len(keys)) for w in weights)
-
-
-def sent_grams(texts: DataFrame) -> DataFrame:
-    """(key, at, n): each chunk's distinct words and pairs and how often its training texts have them."""
+def coded(rows: DataFrame, chunk_bytes: int) -> DataFrame:
+    """The texts of rows (doc_id, held_out, text) as chunks, one a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, sent = TaskContext.get().partitionId(), 0
-        chunk, texts, held = None, [], []
-
-        def made() -> Iterator[pa.RecordBatch]:
-            t = Tokens(texts)
-            train = ~np.array(held, bool)[t.text]
-            at = chunk << SENDER_BITS | (task & 0xFFFF) << 9 | (sent & 0xFF) << 1
-            for kind, asked in ((WORD, slice(None)), (PAIR, t.second)):
-                keys, n = summed((t.word, t.pair)[kind][asked], train[asked])
-                for i in range(0, len(keys), 50_000):
-                    k = keys[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), at | kind)), pa.array(n[i : i + 50_000].astype(np.int64))], names=["key", "at", "n"])
+        chunk = TaskContext.get().partitionId() << 33
+        ids: list = []
+        held: list = []
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
+            row = [[chunk], [ids], [held], [np.concatenate(sizes).tolist()], [words.tobytes()], [narrow(tokens)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, CODED_TYPES, strict=True)], schema=CODED_TYPES)
 
         for batch in batches:
-            of = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a == b:
-                    continue
-                if texts and int(of[a]) != chunk:
-                    yield from made()
-                    sent += 1
-                    texts, held = [], []
-                chunk = int(of[a])
+            texts = batch.column(2).to_pylist()
+            for a, b in text_blocks(texts, min(1_000_000, chunk_bytes)):
+                hashes, offsets = word_hashes(texts[a:b])
+                parts.append(np.insert(hashes.view(np.int64), offsets[1:], END))
+                sizes.append(np.diff(offsets) + 1)
+                ids += batch.column(0).slice(a, b - a).to_pylist()
                 held += batch.column(1).slice(a, b - a).to_pylist()
-                texts += batch.column(2).slice(a, b - a).to_pylist()
-        if texts:
-            yield from made()
-
-    return texts.select("chunk", "held_out", "text").mapInArrow(run, "key long, at long, n long")
-
-
-def totals(sent: DataFrame) -> DataFrame:
-    """key, chunk, kind, c, lead: sums over all chunks, for each chunk that sent the key; one row of a key leads."""
-    same = Window.partitionBy("key")
-    each = sent.select("key", "at", F.sum("n").over(same).alias("c"), (F.col("at") == F.min("at").over(same)).alias("lead"))
-    return each.select("key", F.shiftright("at", SENDER_BITS).alias("chunk"), F.col("at").bitwiseAND(1).cast("int").alias("kind"), "c", "lead").filter(f"kind = {WORD} or c >= {LEAST}")
-
-
-class Model:
-    """Counts at the tokens of a chunk. ``back`` has rows of key, kind, c, lead."""
-
-    def __init__(self, texts: pa.Table, back: dict[str, np.ndarray], total: int, scale: float, alpha: float, word_share: float, gram_share: float):
-        self.t = t = Tokens(texts["text"].to_pylist())
-        order = np.argsort(~back["lead"], kind="stable")  # a leading row is found first
-        key, kind, c, lead = (back[k][order] for k in ("key", "kind", "c", "lead"))
-        self.least = max(LEAST, gram_share * total)
-        self.c1 = Found(key[kind == WORD], c[kind == WORD])(t.word)
-        self.base = (self.c1 + alpha) / scale
-        end = t.word == END
-        frequent = self.c1 >= max(self.least, word_share * total)
-        # A frequent n-gram has frequent parts, so only the share of words can take a pair away.
-        may = t.second & previous(frequent & ~end) & (frequent | end)
-        is_pair = kind == PAIR
-        self.c2 = np.where(may, Found(key[is_pair], c[is_pair])(t.pair), 0)
-        self.c2[self.c2 < self.least] = 0
-        self.lead2 = Found(key[is_pair], lead[is_pair])(t.pair)
-        self.p2 = (self.c2 - DISCOUNT) / np.maximum(previous(self.c1), 1)
-        #: The automaton is in the state of a pair before the token; a triple can follow.
-        self.from_pair = t.third & (previous(self.c2) > 0)
+                size += sum(map(len, texts[a:b]))
+                if size >= chunk_bytes:
+                    yield made()
+                    chunk, size = chunk + 1, 0
+                    ids, held, parts, sizes = [], [], [], []
+        if parts:
+            yield made()
+
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, CODED)
+
+
+class Chunk:
+    """A chunk's tokens: number of the word, text, and whether a pair or a triple ends there."""
+
+    def __init__(self, sizes: list[int], words: bytes, tokens: bytes):
+        self.sizes = np.array(sizes, dtype=np.int64)
+        self.words = np.frombuffer(words, dtype=np.int64)
+        self.word = widened(tokens, int(self.sizes.sum()))
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.second, self.third = np.zeros(len(self.text), bool), np.zeros(len(self.text), bool)
+        self.second[1:] = self.text[1:] == self.text[:-1]
+        self.third[2:] = self.text[2:] == self.text[:-2]
 
+    def grams(self) -> np.ndarray:
+        """Hashes of all pairs, then of all triples."""
+        w = self.words.view(np.uint64)[self.word]
+        pair = mix64(w[:-1] * _STEP[0] + w[1:] * _STEP[1] + _STEP[2])[self.second[1:]]
+        triple = mix64(w[:-2] * _STEP[3] + w[1:-1] * _STEP[4] + w[2:] * _STEP[5] + _STEP[6])[self.third[2:]]
+        return np.concatenate([pair, triple])
 
-def columns(table: pa.Table) -> dict[str, np.ndarray]:
-    return {k: table[k].to_numpy() for k in table.column_names}
+    def at_grams(self, of_token: np.ndarray) -> np.ndarray:
+        return np.concatenate([of_token[self.second], of_token[self.third]])
 
 
-def failing(sums: DataFrame, name: str) -> DataFrame:
-    """(key, name): log10 of the failure weight of a state from sums over its arcs."""
-    left, lower = 1 - F.sum("x"), F.greatest(1 - F.sum("y"), F.lit(1e-300))
-    return sums.groupBy("key").agg(F.log10(left / lower).alias(name))
+def asked(chunks: DataFrame, bits: int, word_bits: int, passes: int, turn: int) -> DataFrame:
+    """Blocks of distinct n-grams in range ``turn`` of the hashes, with the chunk's own training counts; words come with the first."""
 
+    def blocks(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple]:
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield kind, int(part[a]), chunk, keys[a:b].tobytes(), narrow(counts[a:b])
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, alpha: float = 0.1, word_share: float = 0.0, gram_share: float = 0.0, chunk_bytes: int = 8_000_000) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(row["sizes"], row["words"], row["tokens"])
+                train = ~np.array(row["held_out"], bool)[c.text]
+                out = []
+                if turn == 0:
+                    words = c.words.view(np.uint64)
+                    order = np.argsort(words)
+                    out += blocks(WORD, row["chunk"], words[order], np.bincount(c.word, train, len(words))[order], word_bits)
+                grams = c.grams()
+                mine = (grams >> np.uint64(32)) * np.uint64(passes) >> np.uint64(32) == turn
+                keys, at = np.unique(grams[mine], return_inverse=True)
+                out += blocks(GRAM, row["chunk"], keys, np.bincount(at, c.at_grams(train)[mine], len(keys)), bits)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True) if out else [[]] * 5, ASKED_TYPES, strict=True)], schema=ASKED_TYPES)
+
+    return chunks.select("chunk", "held_out", "sizes", "words", "tokens").mapInArrow(run, ASKED)
+
+
+def answered(blocks: DataFrame) -> DataFrame:
+    """Totals over all chunks for each block, in the block's order; one row of a part has its number of keys that training texts hold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, dtype=np.uint64) for k in table["keys"].to_pylist()]
+        counts = [widened(c, len(k)) for c, k in zip(table["counts"].to_pylist(), keys, strict=True)]
+        known, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(at, np.concatenate(counts), len(known)).astype(np.int64)
+        ends = np.cumsum([len(k) for k in keys])
+        totals = [narrow(x) for x in np.split(sums[at], ends[:-1])]
+        distinct = [int((sums > 0).sum())] + [0] * (len(keys) - 1)
+        return pa.table([table["kind"], table["part"], table["chunk"], pa.array(totals, pa.binary()), pa.array([len(k) for k in keys], pa.int32()), pa.array(distinct, pa.int64())], schema=ANSWERED_TYPES)
+
+    return blocks.groupBy("kind", "part").applyInArrow(run, ANSWERED)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, alpha: float = 0.1, prior: float = PRIOR, chunk_bytes: int = 8_000_000, passes: int = 2, part_keys: int = PART_KEYS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     scratch = Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out(id_col, folds).alias("held_out"))
-    texts = scratch.save(in_chunks(rows, chunk_bytes), "texts")
-    grams = scratch.save(totals(sent_grams(texts)), "grams")
-    total, distinct = grams.filter(f"kind = {WORD} and lead and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    chunks = scratch.save(coded(rows, chunk_bytes), "chunks")
+    sizes = F.aggregate(F.zip_with("sizes", "held_out", lambda n, out: F.when(out, 0).otherwise(n).cast("long")), F.lit(0).cast("long"), lambda s, n: s + n)
+    every = F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + n)
+    total, tokens = chunks.agg(F.coalesce(F.sum(sizes), F.lit(0)), F.coalesce(F.sum(every), F.lit(0))).first()
+    bits = max(5, ceil(log2(max(1, 2 * tokens / part_keys))))
+    ranges = [scratch.save(answered(asked(chunks, bits, max(3, bits - 4), passes, turn)), f"answers-{turn}", records=4).withColumn("turn", F.lit(turn)) for turn in range(passes)]
+    answers = reduce(DataFrame.unionByName, ranges)
+    distinct = ranges[0].filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     scale = total + alpha * (distinct + 1)
-    given = (total, scale, alpha, word_share, gram_share)
-
-    def ask_triples(of: pa.Table, back: pa.Table) -> pa.Table:
-        m = Model(of, columns(back), *given)
-        t, chunk = m.t, of["chunk"][0].as_py()
-        train = ~of["held_out"].to_numpy()[t.text]
-        asked = m.from_pair & (m.c2 > 0)
-        keys, n = summed(t.triple[asked], train[asked])
-        at = np.flatnonzero((m.c2 > 0) & m.lead2)
-        at = at[np.unique(t.pair[at], return_index=True)[1]]
-        states, x, y = summed(previous(t.word)[at], m.p2[at], m.base[at])
-        k, s = len(keys), len(states)
-        zero = np.zeros(k)
+
+    def score(of: pa.Table, back: pa.Table) -> pa.Table:
+        (row,) = of.to_pylist()
+        c = Chunk(row["sizes"], row["words"], row["tokens"])
+        found = {}
+        for kind in (WORD, GRAM):
+            # A part that two ranges meet in has a block of each.
+            mine = sorted(x[1:] for x in zip(*(back[x].to_pylist() for x in ("kind", "part", "turn", "totals", "size")), strict=True) if x[0] == kind)
+            found[kind] = np.concatenate([np.zeros(0, np.int64), *(widened(totals, n) for _, _, totals, n in mine)])
+        of_word = np.empty(len(c.words), np.int64)
+        of_word[np.argsort(c.words.view(np.uint64))] = found[WORD]
+        of_gram = found[GRAM][np.unique(c.grams(), return_inverse=True)[1]]
+        c1, c2, c3 = of_word[c.word], np.zeros(len(c.word)), np.zeros(len(c.word))
+        pairs = int(c.second.sum())
+        c2[c.second], c3[c.third] = of_gram[:pairs], of_gram[pairs:]
+        before = lambda x: np.concatenate([np.zeros(1), x[:-1]])
+        base = (c1 + alpha) / scale
+        # The arcs out of a state that training texts don't have are those of its failure state.
+        p = np.where(c.second, (c2 + prior * base) / (before(c1) + prior), base)
+        p = np.where(c.third, (c3 + prior * p) / (before(c2) + prior), p)
+        n = len(c.sizes)
+        of_text = lambda values: np.bincount(c.text, values, n)
         return pa.table({
-            "kind": np.repeat(np.array([0, 1], np.int32), [k, s]), "chunk": np.full(k + s, chunk), "key": np.concatenate([keys, states]),
-            "n": np.concatenate([n, np.zeros(s)]).astype(np.int64), "x": np.concatenate([zero, x]), "y": np.concatenate([zero, y]),
+            "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": c.sizes, "n_known": of_text(c1 > 0).astype(np.int64),
+            "base_score": of_text(np.log10(base)), "score": of_text(np.log10(p)),
         })
 
-    by = lambda df: df.groupBy("chunk")
-    asked = scratch.save(by(texts).cogroup(by(grams)).applyInArrow(ask_triples, ASKED), "asked")
-    triples = totals(asked.filter("kind = 0").select("key", (F.shiftleft("chunk", SENDER_BITS) + PAIR).alias("at"), "n"))
-    triples = scratch.save(triples.select("key", "chunk", F.lit(2).alias("kind"), "c", "lead", F.lit(0.0).alias("weight")), "triples")
-    states = scratch.save(failing(asked.filter("kind = 1"), "weight"), "states")
-    scratch.drop(asked)
-    words = grams.filter(f"kind = {WORD}").select("key", "chunk").join(states, "key").select("key", "chunk", F.lit(3).alias("kind"), F.lit(0).cast("long").alias("c"), F.lit(False).alias("lead"), "weight")
-    known = grams.withColumn("weight", F.lit(0.0)).unionByName(triples).unionByName(words)
-
-    def step(of: pa.Table, back: pa.Table) -> pa.Table:
-        got = columns(back)
-        m = Model(of, got, *given)
-        t, chunk = m.t, of["chunk"][0].as_py()
-        is3, is_weight = got["kind"] == 2, got["kind"] == 3
-        c3 = np.where(m.from_pair & (m.c2 > 0), Found(got["key"][is3], got["c"][is3])(t.triple), 0)
-        c3[c3 < m.least] = 0
-        lead3 = Found(got["key"][is3], got["lead"][is3])(t.triple)
-        p3 = (c3 - DISCOUNT) / np.maximum(previous(m.c2), 1)
-        weight = Found(got["key"][is_weight], got["weight"][is_weight])
-        plain = np.log10(m.base)
-        lower = np.where(t.second, weight(previous(t.word)), 0) + plain
-        lower[m.c2 > 0] = np.log10(m.p2[m.c2 > 0])
-        lower[c3 > 0] = np.log10(p3[c3 > 0])
-        # Tokens that leave a pair by its failure arc: its weight comes in the last step.
-        leaves = m.from_pair & (c3 == 0)
-        pair_before = previous(t.pair)
-        needs, idx = np.unique(pair_before[leaves], return_inverse=True)
-        at = np.flatnonzero((c3 > 0) & lead3)
-        at = at[np.unique(t.triple[at], return_index=True)[1]]
-        states, x, y = summed(pair_before[at], p3[at], m.p2[at])
-        n = len(t.sizes)
-        of_text = lambda values: np.bincount(t.text, values, n)
-        ends = np.concatenate([[0], np.cumsum(of_text(leaves))]).astype(np.int32)
-        parts = [
-            {"kind": np.full(n, 0), "doc_id": of["doc_id"].combine_chunks(), "held_out": of["held_out"].combine_chunks(), "n_tokens": t.sizes, "n_known": of_text(m.c1 > 0).astype(np.int64), "base": of_text(plain), "score": of_text(lower), "back": pa.ListArray.from_arrays(pa.array(ends), pa.array(idx.astype(np.int32)))},
-            {"kind": np.full(len(states), 1), "key": states, "x": x, "y": y},
-            {"kind": np.full(len(needs), 2), "key": needs, "idx": np.arange(len(needs))},
-        ]
-        return pa.concat_tables(pa.table({k: pa.nulls(len(p["kind"]), v) if k not in p and k != "chunk" else pa.array(np.full(len(p["kind"]), chunk) if k == "chunk" else p[k], v) for k, v in STEPPED_TYPES.items()}) for p in parts)
-
-    stepped = scratch.save(by(texts).cogroup(by(known)).applyInArrow(step, STEPPED), "stepped")
-    scratch.drop(texts, grams, triples, states)
-    weights = scratch.save(stepped.filter("kind = 2").select("chunk", "key", "idx").join(failing(stepped.filter("kind = 1"), "weight"), "key").select("chunk", "idx", "weight"), "weights")
-
-    def finish(of: pa.Table, back: pa.Table) -> pa.Table:
-        lists = of["back"].combine_chunks()
-        idx, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-        weight = np.zeros(max(int(idx.max(initial=0)) + 1, 1))
-        if len(back):
-            weight[back["idx"].to_numpy()] = back["weight"].to_numpy()
-        own = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weight[idx], len(sizes))
-        return pa.table({"doc_id": of["doc_id"], "held_out": of["held_out"], "n_tokens": of["n_tokens"], "n_known": of["n_known"], "base_score": of["base"], "score": of["score"].to_numpy() + own})
-
-    scored = by(stepped.filter("kind = 0").select("chunk", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "back")).cogroup(by(weights)).applyInArrow(finish, SCORED)
+    scored = chunks.groupBy("chunk").cogroup(answers.select("chunk", "kind", "part", "turn", "totals", "size").groupBy("chunk")).applyInArrow(score, SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
