@@ -4,23 +4,25 @@ Pass 1 parses every page and hashes each element's subtree (tag, attributes with
 text and children). Spark counts, for each host, the distinct pages that hold a hash: pages of one
 text, read without any template, are one page, so a group of copies does not make its content a template.
 Pages of one task and host meet in partial aggregation, so a host with a third of all pages is no single task's load.
-Hashes on at least ``min_pages`` distinct pages and a ``min_share`` of the host's are its template.
+Hashes on at least ``min_pages`` distinct pages and a ``min_share`` of the host's are its template; on small
+hosts, those on ``few_pages`` and a ``high_share``. What is on fewer pages is left to structure and names.
 Pass 2 parses again, deletes template subtrees, elements that are never content (scripts, forms,
 menus, ...) or whose class, id or role says so (adverts, notices, comments, ...), and reads the
-blocks of the article that is left: the ``article`` or ``main`` elements if there are any, else
-the whole body. Inside ``article`` or ``main`` only containers (divisions, lists, tables, ...) can be
+blocks of the article that is left: all outermost ``article`` elements, else all ``main`` ones, in page order, else
+the whole body. A class or id counts as a whole word, and not around an article that only so would be lost. Inside ``article`` or ``main`` only containers (divisions, lists, tables, ...) can be
 template subtrees: a sentence that many articles quote is still their text. Where removal would leave
 nothing but headings of a page that has more, the page is read without it.
 
 A block is the text between block-level tags with character references decoded and each run of
 white space turned into one space; blocks are joined by two line ends. The tokenizer follows
 browsers where pages are broken: unclosed tags end with their parent, a new paragraph closes an open one,
-a stray end tag is ignored, text of script and style ends only at its own end tag, an unfinished
+a stray end tag is ignored, a tag that another "<" breaks off is text, text of script and style ends only at its own end tag, an unfinished
 tag or comment at the end of a page is dropped.
 
 Nulls and edge cases: a null or empty html gives an empty text; a null or odd url has the host
 '' and shares templates with its like; repeated rows are extracted each, and count as one page;
-other columns are ignored; an empty table gives an empty result.
+other columns are ignored; an empty table gives an empty result. Time and memory grow in proportion to a page, however
+many tags, quotes or comments it leaves open.
 """
 
 from __future__ import annotations
@@ -60,14 +62,18 @@ CLOSED_BY = {
 }
 #: An end tag closes only elements inside these.
 SCOPE = frozenset("table td th article main section div body html".split())
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|header|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
-)
+#: Words that mark an element that is not content, what may stand before and behind one in a class or id, and of comments.
+MARKS = "ads? adverts? advertisements? advertising banner breadcrumbs? comments? commentlist consent cookies? disqus footer header menu modal nav navbar navigation newsletter notices? pagination pager popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widgets?".split()
+BEFORE = "ad ads article blog bottom cookie gdpr global left main mobile newsletter page post primary right secondary site social sticky story top user".split()
+BEHIND = "area articles banner bar block box buttons? consent container form holder icons links list menu notice panel popup posts section slot stories thread unit widget wrap wrapper".split()
+MARKED = re.compile(rf"(?:(?:{'|'.join(BEFORE)})[_-])?(?:{'|'.join(MARKS)})(?:[_-](?:{'|'.join(BEHIND)}))*")
+#: Headers of an article hold its title.
+TITLES = re.compile(r"(?:article|blog|post|story|entry|main)[_-]header")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Outside quotes a tag ends at the next "<" at the latest; a quote that doesn't follow "=" is a letter like any other.
+TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)?)*+)>|<[!?][^<>]*+>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
@@ -80,10 +86,64 @@ class Node:
         self.hash = 0
 
 
+#: Tags whose start can close an open element, and those at which the search for it ends.
+CLOSERS = frozenset().union(*CLOSED_BY.values())
+STOPS = (BLOCK - {"p"}) | frozenset(CLOSED_BY)
+
+
+class Open:
+    """The open elements, with the places of each name, so that no tag walks through all of them."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.stops: list[int] = []
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in SCOPE:
+            self.scopes.append(at)
+        if node.tag in STOPS:
+            self.stops.append(at)
+
+    def cut(self, at: int) -> None:
+        for node in self.stack[at:]:
+            self.places[node.tag].pop()
+        del self.stack[at:]
+        for places in (self.scopes, self.stops):
+            while places and places[-1] >= at:
+                places.pop()
+
+    def end(self, name: str) -> bool:
+        """Close the innermost element of the name; False if there is none at all."""
+        places = self.places.get(name)
+        if not places:
+            return bool(self.scopes) and name not in SCOPE
+        if name in SCOPE or not self.scopes or self.scopes[-1] <= places[-1]:
+            self.cut(places[-1])
+        return True
+
+    def start(self, name: str) -> None:
+        """Close the paragraph (also below unclosed inline elements) or list item that ends here."""
+        if name not in CLOSERS:
+            return
+        for at in reversed(self.stops):
+            tag = self.stack[at].tag
+            if name in CLOSED_BY.get(tag, ()):
+                self.cut(at)
+                return
+            if tag in BLOCK and tag != "p":
+                return
+
+
 def parse(page: str) -> Node:
     """The element tree of a page."""
     root = Node("html", "")
-    stack = [root]
+    open_ = Open(root)
+    stack = open_.stack
     at, size = 0, len(page)
     while at < size:
         m = TAG.search(page, at)
@@ -100,26 +160,12 @@ def parse(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and name not in SCOPE:
-                    break
-            else:
-                if name == "br":
-                    stack[-1].items.append(Node("br", ""))
+            if not open_.end(name) and name == "br":
+                stack[-1].items.append(Node("br", ""))
             continue
         if name == "html":
             continue
-        # An open paragraph (also below unclosed inline elements) or list item ends here.
-        for i in range(len(stack) - 1, 0, -1):
-            open_ = stack[i].tag
-            if name in CLOSED_BY.get(open_, ()):
-                del stack[i:]
-                break
-            if open_ in BLOCK and open_ != "p":
-                break
+        open_.start(name)
         node = Node(name, m[3])
         stack[-1].items.append(node)
         if name in RAW:
@@ -128,7 +174,7 @@ def parse(page: str) -> Node:
                 node.items.append(page[at : end.start()])
             at = end.end() if end else size
         elif name not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            open_.push(node)
     return root
 
 
@@ -137,6 +183,7 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def is_marked(node: Node) -> bool:
+    """Whether attributes say that an element is hidden or not content; a class counts as a whole, so has-sidebar is none."""
     if not node.attrs.strip():
         return False
     a = attributes(node.attrs)
@@ -144,9 +191,10 @@ def is_marked(node: Node) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
         return True
-    if node.tag in ("body", "html", "article", "main"):
+    if node.tag in ("body", "html", "main"):
         return False
-    return any(MARKED.search(a.get(k, "")) for k in ("class", "id"))
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    return any(MARKED.fullmatch(x) for x in names) and not any(TITLES.fullmatch(x) for x in names)
 
 
 def digest(node: Node) -> int:
@@ -206,25 +254,28 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(text for text, _ in blocks)
 
 
-def text_blocks(root: Node, template: frozenset[int] = frozenset()) -> list[tuple[str, bool]]:
-    """(text, whether it is a heading) of the article's blocks."""
+def articles(root: Node, marks: bool = True) -> list[Node]:
+    """The outermost ``article`` elements in page order, else the ``main`` elements; none within something that is dropped.
 
-    def dropped(n: Node) -> bool:
-        return n.tag in NEVER or is_marked(n)
-
-    # The article: its outermost elements that are not themselves dropped or inside something dropped.
-    tops: dict[str, list[Node]] = {"article": [], "main": []}
-    todo: list[Node] = [root]
+    Without ``marks``, classes and ids of what is around them don't count.
+    """
+    found: dict[str, list[Node]] = {"article": [], "main": []}
+    todo = [(root, False)]
     while todo:
-        n = todo.pop()
-        for c in reversed(n.items):
-            if isinstance(c, Node) and not dropped(c):
-                if c.tag in tops:
-                    tops[c.tag].append(c)
-                if c.tag != "article":
-                    todo.append(c)
-    order = tops["article"] or tops["main"][:1] or [root]
-    inside = bool(tops["article"] or tops["main"])
+        n, in_main = todo.pop()
+        if n.tag == "article" or n.tag == "main" and not in_main:
+            found[n.tag].append(n)
+        if n.tag != "article":
+            for c in reversed(n.items):
+                if isinstance(c, Node) and c.tag not in NEVER and not ((marks or c.tag == "article") and is_marked(c)):
+                    todo.append((c, in_main or n.tag == "main"))
+    return found["article"] or found["main"]
+
+
+def text_blocks(root: Node, template: frozenset[int] = frozenset()) -> list[tuple[str, bool]]:
+    """(text, whether it is a heading) of the article's blocks."""
+    tops = articles(root) or articles(root, marks=False)
+    order, inside = tops or [root], bool(tops)
     blocks: list[tuple[str, bool]] = []
     current: list[str] = []
     headings = 0
@@ -288,13 +339,15 @@ def counted(pages: DataFrame) -> DataFrame:
     return held.groupBy("host", "hash").agg(F.count("*").alias("n"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 20, min_share: float = 0.02, broadcast_rows: int = 200_000) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 20, min_share: float = 0.02, few_pages: int = 4, high_share: float = 0.6, broadcast_rows: int = 200_000) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     scratch = Scratch(pages.sparkSession, "html")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    counts = scratch.save(counted(rows).filter(F.col("hash").isNull() | (F.col("n") >= min_pages)), "counts")
+    counts = scratch.save(counted(rows).filter(F.col("hash").isNull() | (F.col("n") >= min(min_pages, few_pages))), "counts")
     whole = counts.filter("hash is null").select("host", F.col("n").alias("pages"))
-    found = counts.filter("hash is not null").join(whole, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+    often = (F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("pages"))
+    common = often | ((F.col("n") >= few_pages) & (F.col("n") >= high_share * F.col("pages")))
+    found = counts.filter("hash is not null").join(whole, "host").filter(common).select("host", "hash")
     found = scratch.save(found, "templates")
     if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
         table: dict[str, set[int]] = {}

@@ -349,6 +349,35 @@ def test_pieces_in_spark(spark, piece_model):
     assert [r["text"] for r in pieces.decoded(odd, piece_model[0]).orderBy("doc_id").collect()] == ["", "a"]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>A</p></article><article><p>B</p></article><div><article>C</article></div>", "A\n\nB\n\nC"),
+        ("<main><p>A</p></main><p>out</p><main><p>B</p><main>C</main></main>", "A\n\nB\n\nC"),
+        ('<div class="site has-sidebar"><article><p>A</p></article></div>', "A"),
+        ('<div class="post no-comments"><p>A</p></div>', "A"),
+        ('<div class="sidebar"><article class="post"><p>A</p></article></div>', "A"),
+        ('<article><header class="entry-header"><h1>T</h1></header><p>A</p></article>', "T\n\nA"),
+        ('<article><div class="article-header"><h1>T</h1></div><p>A</p><section id="related-work">B</section><p class="share-price">C</p></article>', "T\n\nA\n\nB\n\nC"),
+        ('<article><p>A</p></article><article class="comment"><p>B</p></article><div class="comments"><article class="comment">C</article></div>', "A"),
+        ('<article><p>A</p><div class="comment-list">B</div><div class="cookie-banner">C</div><div class="ad">D</div><div id="site-footer">E</div></article>', "A"),
+        ("<p title=it's>Don't stop</p><p>next</p>", "Don't stop\n\nnext"),
+        ('<p title="a > b" data-x=\'"\'>one</p>', "one"),
+    ],
+)
+def test_html_of_odd_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<a '", '<a ="', "<p><span>", "<!", "<!--", "</b>", "<div>", "<option>x", "<a =x"])
+def test_html_takes_time_in_proportion(piece):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 20
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
