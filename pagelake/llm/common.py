@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -26,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only on a local master without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share; the master is {master}")
         folder = "file://" + tempfile.mkdtemp(prefix="pagelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -85,6 +89,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, lengthened until no column has it (Spark ignores case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def bounded(ids: DataFrame, rows: int) -> DataFrame:
     """ids, marked for broadcast if there are at most ``rows`` of them (counted here); else it joins by shuffle."""
     return F.broadcast(ids) if ids.count() <= rows else ids

@@ -242,8 +242,10 @@ BROADCAST_ROWS = 200_000
 
 
 def _prepared(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: Column, path: Column, sample: int) -> tuple[DataFrame, object]:
+    """(__doc, __text, __host, __path, __row) of every row, the row itself in a struct, so that no column's name can clash."""
     models = docs.sparkSession.sparkContext.broadcast(train(scratch, docs, labels, id_col, text_col, sample))
-    return docs.withColumns({"__host": host.cast("string"), "__path": path.cast("string")}), models
+    row = F.struct(*map(quoted, docs.columns))
+    return docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).cast("string").alias("__text"), host.cast("string").alias("__host"), path.cast("string").alias("__path"), row.alias("__row")), models
 
 
 def _judged(rows: DataFrame, groups: DataFrame, site_limit: float) -> DataFrame:
@@ -259,8 +261,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     """doc_id, p_low, p_toxic, host_good, path_good, posterior, keep of every row."""
     scratch = Scratch(docs.sparkSession, "quality")
     rows, models = _prepared(scratch, docs, labels, id_col, text_col, host, path, sample)
-    rows = rows.withColumn("__doc", F.col(id_col).cast("long"))
-    scored = scratch.save(scores(rows, models, text_col, ["__doc", "__host", "__path"]), "scored")
+    scored = scratch.save(scores(rows, models, "__text", ["__doc", "__host", "__path"]), "scored")
     evidence = scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (_sigmoid(-F.col("low")) * _sigmoid(-F.col("toxic"))).alias("good"))
     out = _judged(scored, scratch.save(posteriors(evidence), "sites"), site_limit)
     return out.select(F.col("__doc").alias("doc_id"), _sigmoid("low").alias("p_low"), _sigmoid("toxic").alias("p_toxic"), "host_good", "path_good", "posterior", "keep")
@@ -271,9 +272,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id
     scratch = Scratch(docs.sparkSession, "quality")
     names = docs.columns
     rows, models = _prepared(scratch, docs, labels, id_col, text_col, host, path, sample)
-    first = scratch.save(scores(rows, models, text_col, ["__host", "__path"]), "scored")
+    first = scratch.save(scores(rows, models, "__text", ["__host", "__path"]), "scored")
     evidence = first.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (_sigmoid(-F.col("low")) * _sigmoid(-F.col("toxic"))).alias("good"))
     sites = scratch.save(posteriors(evidence), "sites")
-    again = rows.withColumn("__row", F.struct(*map(quoted, names)))
-    scored = scores(again, models, text_col, ["__row", "__host", "__path"])
+    scored = scores(rows, models, "__text", ["__row", "__host", "__path"])
     return _judged(scored, sites, site_limit).filter("keep").select(*(F.col(f"__row.{quoted(c)}").alias(c) for c in names))

@@ -7,10 +7,12 @@ one as one row a task. A value seen as a secret by at most ``max_owners`` owners
 that more owners share is a widely copied example. The verdicts go back to the documents:
 
 - ``live``: the value of a base candidate that looks live;
-- ``sighted``: a bare string whose value is a live-looking secret somewhere else in the corpus.
+- ``sighted``: a bare string whose value is a live-looking secret somewhere else in the corpus. Bare are whole
+  runs of 16 or more characters without '.', with a letter and a digit; shorter values, and values glued
+  to '=' or '/', are found where they are assigned, not where they stand bare.
 
 Spans count code points, the end is exclusive. Nulls and edge cases: a null or empty text has no
-spans; a null owner or repository is an owner of its own; repeated rows are scanned each and count
+spans; a very long text takes time in proportion to it; a null owner or repository is an owner of its own; repeated rows are scanned each and count
 as one owner; other columns are ignored by scan() and kept by redact(); an empty table gives an
 empty result.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pagelake.llm.common import Scratch, quoted
+from pagelake.llm.common import Scratch, free_name, quoted
 
 #: Fixed values of the contract: kinds in their order, patterns and least lengths.
 KINDS = ["assign", "access", "hex", "live", "sighted"]
@@ -36,6 +38,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of [0-9a-f]+ is maximal, so its length can be asked for at once
 LEAST = {"assign": 6, "access": 20}
 
+#: Tasks over which the rows of one value are dealt.
+SALTS = 16
 BARE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 FOUND = "array<struct<kind:int,start:int,end:int,hash:string,secret:boolean>>"
 SCANNED = f"uid long, doc_id long, owner string, repo string, base array<struct<start:int,kind:int,end:int>>, found {FOUND}"
@@ -60,11 +64,14 @@ def candidates(text: str) -> tuple[list[dict], list[dict]]:
     base = [{"start": s, "kind": k, "end": e} for k, s, e, _, _ in spans]
     values = {(a, b): True for _, _, _, a, b in spans}
     taken = sorted((s, e) for _, s, e, _, _ in spans)
+    at, reach = 0, 0  # both lists go by start: how far base spans that begin before the word's end reach
     for m in BARE.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
+            at += 1
         word = m.group()
-        if not word.isalpha() and any(c.isdigit() for c in word) and any(c.isalpha() for c in word):
-            if not any(s < m.end() and m.start() < e for s, e in taken):
-                values[m.span()] = False
+        if reach <= m.start() and not word.isalpha() and any(c.isdigit() for c in word) and any(c.isalpha() for c in word):
+            values[m.span()] = False
     found = [
         {"kind": 3 if secret else 4, "start": a, "end": b, "hash": hashlib.blake2b(text[a:b].encode(), digest_size=16).hexdigest(), "secret": secret}
         for (a, b), secret in values.items()
@@ -111,7 +118,9 @@ def ownership(scanned: DataFrame) -> DataFrame:
 def judged(scanned: DataFrame, max_owners: int) -> DataFrame:
     """(uid, added, n_live, n_example): what the method adds to each row that has secrets or sightings."""
     secret = ownership(scanned).filter("secret").select("hash", (F.col("owners") <= max_owners).alias("live"))
-    each = scanned.select("uid", F.inline("found")).join(secret, "hash")
+    # A secret that very many rows hold is dealt over SALTS tasks; the verdicts, one row a hash, go to all of them.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    each = scanned.select("uid", F.pmod("uid", F.lit(SALTS)).cast("int").alias("salt"), F.inline("found")).join(secret.select("*", salts), ["hash", "salt"])
     span = F.when(F.col("live"), F.struct("start", "kind", "end"))
     counted = F.col("secret")
     return each.groupBy("uid").agg(
@@ -149,8 +158,9 @@ def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = 2, id_col:
     scratch = Scratch(docs.sparkSession, "redact")
     names = docs.columns
     own = list(map(quoted, names))
-    whole = docs.select(*own, F.struct(*own).alias("__row"))
-    scanned = scratch.save(scan(whole, id_col, text_col, F.col(owner_col), F.col(owner_col) if repo is None else repo, "__row"), "scanned")
+    row = free_name("row", names)
+    whole = docs.select(*own, F.struct(*own).alias(row))
+    scanned = scratch.save(scan(whole, id_col, text_col, F.col(owner_col), F.col(owner_col) if repo is None else repo, row), "scanned")
     live = judged(scanned, max_owners).filter("n_live > 0 or size(added) > 0").select("uid", "added")
     rows = scanned.select("uid", "kept").join(live, "uid", "left")
     # Front to back: a span that begins inside what is already masked only makes the masked part longer.

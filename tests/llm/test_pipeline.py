@@ -54,3 +54,23 @@ def test_run_and_queries(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 100
     assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in entry.queries() if q.startswith("op")}
     assert "pipeline" in entry.queries()
+
+
+def test_rows_of_one_id(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (1, two), (1, two), (2, two + " end"), (3, one), (None, one), (None, None)]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)).withColumn("key", F.lit(1)).withColumn("least", F.lit(2))
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()))
+    texts = [t for i, t in got if i]
+    assert len(got) == 4 and one in texts and len(texts) == 2 and (0, one) in got and (0, "") in got
+    assert texts.count(two) + texts.count(two + " end") == 1
+
+
+def test_column_names_may_clash(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for c in ("__host", "__row", "__path", "row", "__text"):
+        docs = docs.withColumn(c, F.lit(7))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.filter("__host <> 7 or __row <> 7 or row <> 7").count() == 0, name
