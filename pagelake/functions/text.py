@@ -32,15 +32,17 @@ def squeeze(text: Column | str) -> Column:
     return trim_unicode(F.regexp_replace(_c(text), _SPACE, " "))
 
 
+def fold(text: Column | str) -> Column:
+    """text in lower case, letter by letter where that keeps the length (all but U+0130 do)."""
+    return F.lower(F.translate(_c(text), "İΣς", "iσσ"))
+
+
 def find_ci(text: Column | str, query: Column | str) -> Column:
     """0-based position of query in text without regard to case, or -1; a blank query is nowhere.
 
-    Lower-casing is done letter by letter where that keeps the length (all but U+0130 do),
-    so positions hold in the original text.
+    fold() keeps lengths, so positions hold in the original text.
     """
-    t, q = _c(text), _c(query)
-    fold = lambda s: F.lower(F.translate(s, "İΣς", "iσσ"))
-    needle = trim_unicode(q)
+    t, needle = _c(text), trim_unicode(query)
     return F.when(t.isNull() | needle.isNull() | (needle == ""), F.lit(-1)).otherwise(F.instr(fold(t), fold(needle)) - 1)
 
 

@@ -12,19 +12,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids in a run that is numbered by one task.
+RUN = 4096
+
+
 def pages(documents: DataFrame) -> DataFrame:
-    """A source's documents are the pages of one book, in id order."""
-    window = Window.partitionBy("source").orderBy("doc_id")
-    return documents.select(F.col("source").alias("fingerprint"), (F.row_number().over(window) - 1).alias("page_index"), "text", "doc_id")
-
-
-def blocks(paged: DataFrame, lines: int = 3) -> DataFrame:
-    """The first lines of a page are its positioned blocks."""
-    parts = F.slice(F.split("text", "\n"), 1, lines)
-    each = paged.select("fingerprint", "page_index", F.posexplode(parts).alias("ord", "text"))
-    n = F.lit(float(lines))
-    rect = F.struct(F.lit(0.0).cast("float").alias("left"), (F.col("ord") / n).cast("float").alias("top"), F.lit(1.0).cast("float").alias("right"), ((F.col("ord") + 1) / n).cast("float").alias("bottom"))
-    return each.withColumn("rect", rect)
+    """A source's documents are the pages of one book, in id order.
+
+    Runs of ids are numbered each, after the number of pages in the runs before: no book is one task's load.
+    """
+    rows = documents.withColumn("run", F.floor(F.col("doc_id") / RUN))
+    counts = rows.groupBy("source", "run").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("source").alias("book"), F.col("run").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("source", "run").orderBy("doc_id")
+    numbered = rows.select("source", "run", "text", "doc_id", (F.row_number().over(inside) - 1).alias("place"))
+    placed = numbered.join(starts, F.col("source").eqNullSafe(F.col("book")) & F.col("run").eqNullSafe(F.col("of")))
+    return placed.select(F.col("source").alias("fingerprint"), (F.col("start") + F.col("place")).cast("int").alias("page_index"), "text", "doc_id")
+
+
+def blocks(paged: DataFrame) -> DataFrame:
+    """The lines of a page are its positioned blocks."""
+    lines = F.split("text", "\n")
+    each = paged.select("fingerprint", "page_index", F.size(lines).cast("double").alias("n"), F.posexplode(lines).alias("ord", "text"))
+    rect = F.struct(F.lit(0.0).cast("float").alias("left"), (F.col("ord") / F.col("n")).cast("float").alias("top"), F.lit(1.0).cast("float").alias("right"), ((F.col("ord") + 1) / F.col("n")).cast("float").alias("bottom"))
+    return each.select("fingerprint", "page_index", "ord", "text", rect.alias("rect"))
 
 
 def text_boxes(conversations: DataFrame) -> DataFrame:

@@ -16,23 +16,41 @@ SOURCES = ["PDF", "HANDWRITING", "TEXT"]
 CAP = 200
 
 
-def _phrases(rows: DataFrame, query: str | DataFrame) -> DataFrame:
-    """rows with a column query: one phrase, or each of a small table (phrase, broadcast by the caller)."""
+#: Letters of a phrase that are looked up, letters in a window of a text, and phrases that are broadcast.
+ANCHOR, WINDOW, BROADCAST_PHRASES = 6, 256, 100_000
+
+
+def _found(rows: DataFrame, query: str | DataFrame) -> DataFrame:
+    """rows with query and ``at``, the place of its first hit: for one phrase, or for each of a table of phrases.
+
+    A table's phrases are looked up by their first letters at each place of a text, an equi-join; only where these meet
+    is the phrase compared. A text is read in windows, so that a long line costs its length.
+    """
     if isinstance(query, str):
-        return rows.withColumn("query", F.lit(query))
-    return rows.join(query.select("query"))
+        return rows.withColumn("query", F.lit(query)).withColumn("at", T.find_ci("text", "query")).filter("at >= 0")
+    phrases = query.select("query", T.fold(T.trim_unicode("query")).alias("needle")).filter("needle <> ''")
+    number, shortest = phrases.agg(F.count("*"), F.min(F.length("needle"))).first()
+    size = min(ANCHOR, shortest or 1)
+    keys = phrases.select("query", F.substring("needle", 1, size).alias("anchor"))
+    keys = F.broadcast(keys) if number <= BROADCAST_PHRASES else keys
+    low = rows.withColumn("low", T.fold("text")).filter(F.length("low") >= size)
+    windows = low.select("*", F.explode(F.expr(f"sequence(0, (length(low) - {size}) div {WINDOW})")).alias("w"))
+    windows = windows.select(*rows.columns, "w", F.substring("low", F.col("w") * WINDOW + 1, F.lit(WINDOW + size - 1)).alias("part"))
+    places = windows.select("*", F.explode(F.sequence(F.lit(1), F.length("part") - size + 1)).alias("i"))
+    places = places.select(*rows.columns, (F.col("w") * WINDOW + F.col("i") - 1).cast("int").alias("at"), F.substring("part", F.col("i"), F.lit(size)).alias("anchor"))
+    return places.join(keys, "anchor").filter(T.find_ci("text", "query") == F.col("at")).select(*rows.columns, "query", "at")
 
 
 def positioned_hits(blocks: DataFrame, query: str | DataFrame, source: str) -> DataFrame:
     """Blocks (fingerprint, page_index, ord, text, rect) that contain the query."""
-    found = _phrases(blocks, query).withColumn("at", T.find_ci("text", "query")).filter("at >= 0")
+    found = _found(blocks.select("fingerprint", "page_index", "ord", "text", "rect"), query)
     size = F.length(T.trim_unicode("query"))
     return found.select("query", "fingerprint", "page_index", "ord", T.snippet("text", F.col("at"), size, source).alias("snippet"), "rect")
 
 
 def fallback_hits(pages: DataFrame, positioned: DataFrame, query: str | DataFrame, source: str) -> DataFrame:
     """Pages (fingerprint, page_index, text) whose whole text contains the query and none of whose blocks does."""
-    found = _phrases(pages, query).withColumn("at", T.find_ci("text", "query")).filter("at >= 0")
+    found = _found(pages.select("fingerprint", "page_index", "text"), query)
     keys = ["query", "fingerprint", "page_index"]
     rest = found.join(positioned.select(keys).distinct(), keys, "left_anti")
     size = F.length(T.trim_unicode("query"))
@@ -58,12 +76,12 @@ def search_blocks(blocks: DataFrame, query: str | DataFrame, source: str, cap: i
     return ranked(positioned_hits(blocks, query, source), source, cap, scope)
 
 
-def unified(*sources: DataFrame) -> DataFrame:
-    """All hits; ``rank`` is their order: page, source, original order."""
+def unified(*sources: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """All hits; ``rank`` is their order within ``scope`` (the query by default): page, source, original order."""
     out = sources[0]
     for s in sources[1:]:
         out = out.unionByName(s)
-    window = Window.partitionBy("query").orderBy("page_index", "source_ord", "hit_ord", "fingerprint")
+    window = Window.partitionBy(*(scope or ["query"])).orderBy("page_index", "source_ord", "hit_ord", "fingerprint")
     return out.withColumn("rank", F.row_number().over(window))
 
 

@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 # ---------------------------------------------------------------- search
 
 _PAGES = "p AS (SELECT source AS fingerprint, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS page_index, doc_id, text FROM documents)"
-_BLOCKS = "b AS (SELECT fingerprint, page_index, unnest(range(1, least(3, len(string_split(text, chr(10)))) + 1)) - 1 AS ord, unnest(string_split(text, chr(10))[1:3]) AS text FROM p)"
+_BLOCKS = "b AS (SELECT fingerprint, page_index, unnest(range(0, len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS text FROM p)"
 
 
 def _snippet(source: str, size: str = str(len(QUERY))) -> str:
@@ -97,10 +97,10 @@ def search_handwriting(spark, sf):
 
 @query(
     f"WITH {_PAGES}, {_BLOCKS}, {_PDF}, {_TEXT}, {_HAND}, u AS (SELECT * FROM pdf UNION ALL SELECT * FROM txt UNION ALL SELECT * FROM hw) "
-    f"SELECT {_HIT}, CAST(row_number() OVER (ORDER BY page_index, source_ord, hit_ord, fingerprint) AS INTEGER) AS rank FROM u"
+    f"SELECT {_HIT}, CAST(row_number() OVER (PARTITION BY fingerprint ORDER BY page_index, source_ord, hit_ord) AS INTEGER) AS rank FROM u"
 )
 def search_unified(spark, sf):
-    return search.unified(_pdf(spark, sf), _txt(spark, sf), _hw(spark, sf)).drop("query", "rect")
+    return search.unified(_pdf(spark, sf), _txt(spark, sf), _hw(spark, sf), scope=_SCOPE).drop("query", "rect")
 
 
 @query(
