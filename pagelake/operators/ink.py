@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,35 +88,45 @@ def recognisable(strokes: DataFrame) -> DataFrame:
     return rows.withColumn("__n", F.count("*").over(Window.partitionBy("fingerprint", "page_index"))).filter("__n >= 2").drop("__n")
 
 
+#: Fixed values of writing lines: overlap that joins, least reach, share of a height, least heights of a line and a stroke.
+LINE_OVERLAP, LINE_REACH, LINE_SHARE, LINE_HEIGHTS = -0.012, 0.042, 0.85, (0.02, 0.01)
+
+
+def joined_lines(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    """The line of each stroke, in order of their beginnings: the extents of all lines so far are two arrays."""
+    upper, lower = np.empty(len(top)), np.empty(len(top))
+    of = np.empty(len(top), np.int64)
+    n = 0
+    for k in range(len(top)):
+        up, low = upper[:n], lower[:n]
+        away = np.abs((top[k] + bottom[k] - up - low) / 2)
+        height = np.maximum(np.maximum(low - up, LINE_HEIGHTS[0]), max(bottom[k] - top[k], LINE_HEIGHTS[1]))
+        shared = np.minimum(low, bottom[k]) - np.maximum(up, top[k])
+        fits = (shared > LINE_OVERLAP) | (away <= np.maximum(LINE_REACH, LINE_SHARE * height))
+        if fits.any():
+            line = int(np.argmin(np.where(fits, away, np.inf)))
+            upper[line], lower[line] = min(upper[line], top[k]), max(lower[line], bottom[k])
+        else:
+            line, n = n, n + 1
+            upper[line], lower[line] = top[k], bottom[k]
+        of[k] = line
+    return of
+
+
 def line_clusters(strokes: DataFrame) -> DataFrame:
-    """(fingerprint, page_index, ord, line, place): writing lines, top to bottom.
+    """(fingerprint, page_index, ord, line, place): writing lines, top to bottom, then from the left.
 
-    Strokes join, in order, the nearest line that they overlap or almost touch, and the line grows by
-    them: each choice depends on those before, so a page is folded in one call. Pages are independent and small.
+    Each stroke's choice depends on those before, so a page is one call. Pages are independent and small.
     """
     rows = strokes.select("fingerprint", "page_index", F.col("ord").cast("long").alias("ord"), G.padded_bounds("points").alias("b"), F.coalesce(F.try_element_at(F.col("points"), F.lit(1)).time_ms, F.lit(2**63 - 1)).alias("at"))
     rows = rows.select("fingerprint", "page_index", "ord", "b.*", "at")
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord", kind="stable")
-        lines: list[list[float]] = []
-        of = []
-        for r in page.itertuples():
-            middle, best, gap = (r.top + r.bottom) / 2, -1, float("inf")
-            for i, (_, top, _, bottom) in enumerate(lines):
-                reach = max(0.042, max(bottom - top, 0.02, r.bottom - r.top, 0.01) * 0.85)
-                distance = abs(middle - (top + bottom) / 2)
-                if (min(bottom, r.bottom) - max(top, r.top) > -0.012 or distance <= reach) and distance < gap:
-                    best, gap = i, distance
-            if best < 0:
-                best = len(lines)
-                lines.append([r.left, r.top, r.right, r.bottom])
-            else:
-                line = lines[best]
-                lines[best] = [min(line[0], r.left), min(line[1], r.top), max(line[2], r.right), max(line[3], r.bottom)]
-            of.append(best)
-        rank = {i: k for k, i in enumerate(sorted(range(len(lines)), key=lambda i: (lines[i][1], lines[i][0])))}
-        page = page.assign(line=[rank[i] for i in of]).sort_values(["line", "at"], kind="stable")
+        page = page.sort_values("ord", kind="stable").reset_index(drop=True)
+        page["begun"] = joined_lines(page["top"].to_numpy(), page["bottom"].to_numpy())
+        corners = page.groupby("begun")[["top", "left"]].min().sort_values(["top", "left"], kind="stable")
+        page["line"] = page["begun"].map(pd.Series(range(len(corners)), corners.index))
+        page = page.sort_values(["line", "at"], kind="stable")
         page["place"] = page.groupby("line").cumcount()
         return page[["fingerprint", "page_index", "ord", "line", "place"]]
 

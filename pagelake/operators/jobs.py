@@ -141,17 +141,20 @@ def appended(state: Export, next_page: int, patch_length: int) -> tuple[Export,
 def recovered(state: Export | None, pending_: Export | None, length: int | None, corrupt_pending: bool = False) -> tuple[Export | None, int | None]:
     """(state to go on with, length to cut the working file to): None means start again.
 
-    A commit that completed leaves only its pending marker; an interrupted append is cut back.
+    The committed state tells how long the working file is; only a marker of an append that began
+    where that state ends explains a longer one, which is cut back. A marker that the state has caught up with is
+    left over from an append that was committed.
     """
-    if state is None or corrupt_pending or length is None:
-        return None, None
-    cut = None
-    if pending_ is not None:
-        same = pending_.original_length == state.original_length and pending_.page_count == state.page_count
-        if not same or not state.next_page <= pending_.next_page <= state.page_count or pending_.working_length < state.original_length:
-            return None, None
-        if not (state.next_page >= pending_.next_page and length == state.working_length):
-            if length < pending_.working_length:
-                return None, None
-            length = cut = pending_.working_length
-    return (state, cut) if length == state.working_length else (None, None)
+    again = (None, None)
+    if corrupt_pending or state is None or length is None:
+        return again
+    excess = length - state.working_length
+    if pending_ is None:
+        return again if excess else (state, None)
+    same_export = (pending_.original_length, pending_.page_count) == (state.original_length, state.page_count)
+    if not (same_export and pending_.next_page in range(state.next_page, state.page_count + 1) and pending_.working_length >= state.original_length):
+        return again
+    if pending_.next_page == state.next_page and not excess:
+        return state, None
+    began_here = pending_.working_length == state.working_length
+    return (state, state.working_length) if began_here and excess >= 0 else again
