@@ -19,7 +19,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archives")
     rows = warc.archive_records(table(spark, sf_dir, "pages"), "page_id", "url", "html", 1000, PAGE, "2024-01-01T00:00:00Z")
     rows.write.format("warc").mode("append").save(path)
-    back = spark.read.format("warc").option("payload", "false").load(path).filter(F.col("record_type").isin("response", "revisit"))
+    back = warc.read(spark, path, F.col("record_type").isin("response", "revisit"), payload="false")
     number = lambda c: F.expr(f"try_cast(substr({c}, {len(PAGE) + 1}) AS bigint)")
     return back.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 

@@ -1,11 +1,16 @@
-"""WARC archives as a Python data source: ``spark.read.format("warc")`` and ``df.write.format("warc")``.
+"""WARC archives as a Python data source: ``read(spark, path, where)``, ``spark.read.format("warc")`` and ``df.write.format("warc")``.
+
+Spark keeps the pushed filters of a Python source with the loaded relation, not with the scan, so
+the filters of one use of a frame would hold for its other uses too. Filters are therefore pushed only
+with the option ``pushdown``, which ``read`` sets for a relation of its own.
 
 Reading: the driver lists the archives and packs them into partitions by size. A task parses
 each record's headers first and tests them against the pushed filters (record type and any other header
 column); only a record that passes, and only if payloads are wanted, has its block decoded. In a
 compressed archive every record is a gzip member whose header names its compressed length (the
-format's ``sl`` skip-length field), so an unwanted record is passed over with one seek; archives
-without it are inflated piece by piece and dropped. Plain archives are passed over by Content-Length.
+format's ``sl`` skip-length field), so an unwanted record is passed over with one seek; members
+without it, or with more than one record, are inflated piece by piece and dropped. Plain archives are
+passed over by Content-Length. Archives are read in chunks, each once.
 
 Writing: each task writes archives of about ``maxFileBytes`` under a hidden name; committing the
 job renames them, so a lost or repeated task leaves nothing behind that a reader sees.
@@ -13,10 +18,13 @@ job renames them, so a lost or repeated task leaves nothing behind that a reader
 Columns: record_id, record_type, target_uri, date, refers_to, content_type, content_length,
 payload_length, payload_digest (lower-case hex SHA-1: of the decoded payload where there is one,
 else from the header), payload. Options: ``payload`` (true; false decodes payloads for their length
-and digest only; ``skip`` decodes none), ``pathFilter``, ``maxPartitionBytes``.
+and digest only; ``skip`` decodes none), ``pathFilter``, ``maxPartitionBytes``, ``pushdown`` (false), ``corrupt`` (fail: an
+archive that is cut, damaged or no archive ends the query with an error that names it; keep: its records
+before the fault are returned).
 
 Nulls and edge cases: a null payload is written as an empty one; null header values leave their
-line out; line ends inside header values are percent-encoded; an empty folder or table reads as no rows.
+line out; line ends inside header values are percent-encoded; an empty folder, table or file reads as no rows;
+a payload of any length is one value, held whole by its task; a head of over 1 MiB is damage.
 """
 
 from __future__ import annotations
@@ -32,7 +40,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
@@ -46,6 +54,7 @@ _HEADERS = {
     "content_type": "content-type",
 }
 _CHUNK = 1 << 16
+_HEAD = 1 << 20
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
@@ -96,98 +105,214 @@ def parse_head(head: bytes) -> dict[str, str]:
     return out
 
 
-class _Plain:
-    """One record's bytes in an uncompressed archive."""
+def _number(text: str | None) -> int | None:
+    return int(text) if text is not None and re.fullmatch("[0-9]{1,18}", text) else None
+
+
+class _Raw:
+    """An archive's bytes, read once in chunks however small its records are."""
 
-    def __init__(self, file: pa.NativeFile, at: int):
-        self.file, self.at = file, at
-        file.seek(at)
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.size = file, file.size()
+        self.at, self.chunk, self.off = 0, b"", 0
+        file.seek(0)
 
     def read(self, n: int) -> bytes:
-        return self.file.read(n)
+        if self.off == len(self.chunk):
+            self.chunk, self.off = self.file.read(max(n, _CHUNK)), 0
+        out = self.chunk[self.off : self.off + n]
+        self.off += len(out)
+        self.at += len(out)
+        return out
+
+    def up_to(self, n: int) -> bytes:
+        out = b""
+        while len(out) < n and (more := self.read(n - len(out))):
+            out += more
+        return out
+
+    def seek(self, at: int) -> None:
+        if at > self.size:
+            raise ValueError(f"the archive is cut: it has {self.size} bytes, a record needs {at}")
+        off = self.off + at - self.at
+        if 0 <= off <= len(self.chunk):
+            self.off = off
+        else:
+            self.file.seek(at)
+            self.chunk, self.off = b"", 0
+        self.at = at
 
-    def end(self, used: int) -> int:
-        return self.at + used
 
+class _Plain:
+    """Records of an uncompressed archive. What was read too far waits in ``ahead``."""
 
-class _Member:
-    """One record's bytes in a gzip member; nothing is inflated before it is read."""
+    def __init__(self, raw: _Raw):
+        self.raw, self.ahead = raw, b""
 
-    def __init__(self, file: pa.NativeFile, at: int):
-        self.file, self.at, self.fed = file, at, 0
-        self.skip = None
-        file.seek(at)
-        first = file.read(_CHUNK)
-        if len(first) > 24 and first[3] & 4:
-            extra = first[12 : 12 + struct.unpack("<H", first[10:12])[0]]
+    def read(self, n: int) -> bytes:
+        """At most n bytes; none at the end of the archive."""
+        return self.raw.read(n)
+
+    def started(self, blank: bool) -> None:
+        """More bytes of a head were read; ``blank`` if they are its first."""
+
+    def head(self) -> bytes | None:
+        """The next record's head without the line ends around it; None at the end of the archive."""
+        data = self.ahead.lstrip(b"\r\n")
+        while (cut := data.find(b"\r\n\r\n")) < 0:
+            if len(data) > _HEAD:
+                raise ValueError(f"a record's head has more than {_HEAD} bytes")
+            more = self.read(1 << 11)
+            if not more:
+                if data:
+                    raise ValueError("the archive ends inside a record's head")
+                return None
+            self.started(not data)
+            data = (data + more).lstrip(b"\r\n")
+        self.ahead = data[cut + 4 :]
+        return data[:cut]
+
+    def block(self, n: int) -> bytes:
+        """The record's block of n bytes."""
+        out = bytearray(self.ahead[:n])
+        self.ahead = self.ahead[n:]
+        while len(out) < n:
+            more = self.read(min(1 << 20, n - len(out)))
+            if not more:
+                raise ValueError(f"the archive ends inside a record's block, after {len(out)} of {n} bytes")
+            out += more
+        return bytes(out)
+
+    def finish(self, head: int, n: int) -> None:
+        """Check what can be checked before the record is handed out; other damage shows at the next record."""
+
+    def skip(self, head: int, n: int) -> None:
+        """Pass over the block of n bytes that follows a head of ``head`` bytes."""
+        past = min(n, len(self.ahead))
+        self.ahead = self.ahead[past:]
+        if n > past:
+            self.raw.seek(self.raw.at + n - past)
+
+
+class _Member(_Plain):
+    """Records of a compressed archive; nothing is inflated before it is read. A member may hold many records."""
+
+    def __init__(self, raw: _Raw):
+        super().__init__(raw)
+        self.inflate, self.feed, self.opened, self.seen = None, b"", 0, 0
+        #: Does the present record start with its member, and does it, if lengths agree, fill it?
+        self.whole = False
+
+    def _open(self) -> bool:
+        """Start on the next member, if there is one; zeros may follow the last."""
+        raw = self.raw
+        self.start = raw.at
+        first = raw.up_to(12)
+        if first[:2] != b"\x1f\x8b":
+            while first and not first.strip(b"\0"):
+                first = raw.read(_CHUNK)
+            if first:
+                raise ValueError(f"no gzip member at byte {self.start}")
+            return False
+        self.packed = self.length = 0
+        if len(first) == 12 and first[3] & 4:
+            extra = raw.up_to(struct.unpack("<H", first[10:])[0])
             while len(extra) >= 4:
                 size = struct.unpack("<H", extra[2:4])[0]
-                if extra[:2] == b"sl" and size >= 4:
-                    self.skip = struct.unpack("<I", extra[4:8])[0]
+                if extra[:2] == b"sl" and size >= 8 and len(extra) >= 12:
+                    self.packed, self.length = struct.unpack("<II", extra[4:12])
                 extra = extra[4 + size :]
-        self.inflate = zlib.decompressobj(31)
-        self.rest = first
-        self.fed = len(first)
+        raw.seek(self.start)
+        self.inflate, self.feed = zlib.decompressobj(31), b""
+        self.opened += 1
+        return True
+
+    def head(self) -> bytes | None:
+        self.whole, self.seen = False, self.opened
+        return super().head()
+
+    def _inflated(self, n: int) -> bytes:
+        """At most n bytes of the present member; none at its end, where its check sum was right."""
+        while self.inflate is not None:
+            self.feed = self.feed or self.raw.read(1 << 14)
+            fed = len(self.feed)
+            out = self.inflate.decompress(self.feed, n)
+            self.feed = self.inflate.unconsumed_tail
+            if self.inflate.eof:
+                self.raw.seek(self.raw.at - len(self.inflate.unused_data))
+                self.inflate = None
+            elif not out and not fed:
+                raise ValueError(f"the archive ends inside the gzip member at byte {self.start}")
+            if out:
+                return out
+        return b""
 
     def read(self, n: int) -> bytes:
-        out = b""
-        while not out and not self.inflate.eof:
-            if not self.rest:
-                self.rest = self.file.read(_CHUNK)
-                self.fed += len(self.rest)
-                if not self.rest:
-                    break
-            out = self.inflate.decompress(self.rest, n)
-            self.rest = self.inflate.unconsumed_tail
+        while not (out := self._inflated(n)) and self._open():
+            pass
         return out
 
-    def end(self, used: int) -> int:
-        if self.skip:
-            return self.at + self.skip
-        while self.read(_CHUNK):
-            pass
-        return self.at + self.fed - len(self.inflate.unused_data)
+    def started(self, blank: bool) -> None:
+        self.whole = blank if self.opened != self.seen else self.whole and not blank
+        self.seen = self.opened
+
+    def _fills(self, head: int, n: int) -> bool:
+        """Has the member this record alone?"""
+        return self.whole and self.packed > 0 and self.length == head + 4 + n + 4
+
+    def finish(self, head: int, n: int) -> None:
+        while self._fills(head, n) and (more := self._inflated(_CHUNK)):
+            self.ahead += more
+
+    def skip(self, head: int, n: int) -> None:
+        if self._fills(head, n):
+            self.raw.seek(self.start + self.packed)
+            self.inflate, self.ahead = None, b""
+            return
+        while n > 0:
+            more = self.ahead or self.read(min(_CHUNK, n))
+            if not more:
+                raise ValueError("the archive ends inside a record's block")
+            self.ahead = more[n:]
+            n -= len(more)
 
 
 def records(file: pa.NativeFile, wanted, payload: str) -> Iterator[tuple]:
-    """Rows of an archive whose headers pass ``wanted``."""
-    size = file.size()
-    at = 0
-    file.seek(0)
-    magic = file.read(2)
-    kind = _Member if magic == b"\x1f\x8b" else _Plain
-    while at < size:
-        source = kind(file, at)
-        data = b""
-        while (cut := data.find(b"\r\n\r\n")) < 0:
-            more = source.read(1 << 11)
-            if not more:
-                return
-            data += more
-        head = parse_head(data[:cut].lstrip(b"\r\n"))
-        length = int(head.get("content-length", 0))
+    """Rows of an archive whose headers pass ``wanted``; ValueError or zlib.error where it is cut or no archive."""
+    raw = _Raw(file)
+    source = _Member(raw) if raw.read(2) == b"\x1f\x8b" else _Plain(raw)
+    raw.seek(0)
+    while (top := source.head()) is not None:
+        head = parse_head(top)
+        length = _number(head.get("content-length"))
+        if not top.startswith(b"WARC/") or length is None:
+            raise ValueError(f"no record starts with {top[:40]!r}" if length is not None else "a record has no Content-Length")
         row = {name: head.get(h) for name, h in _HEADERS.items()}
         for name in ("record_id", "refers_to"):
             row[name] = row[name].strip("<>") if row[name] else row[name]
-        if wanted(row):
-            digest = head.get("warc-payload-digest", "")
-            digest = base64.b32decode(digest[5:]).hex() if re.fullmatch(r"sha1:[A-Z2-7]{32}", digest) else digest.removeprefix("sha1:") or None
-            body, n = None, None
-            if payload != "skip":
-                block = bytearray(data[cut + 4 : cut + 4 + length])
-                while len(block) < length and (more := source.read(min(1 << 20, length - len(block)))):
-                    block += more
-                http = "http" in (row["content_type"] or "")
-                split = block.find(b"\r\n\r\n") + 4 if http else 0
-                body = bytes(block[split:])
-                n = len(body)
-                if row["record_type"] == "revisit":  # the payload is in the record it refers to
-                    n = int(parse_head(bytes(block[:split])).get("content-length", 0))
-                    body = None
-                else:
-                    digest = hashlib.sha1(body).hexdigest()
-            yield (*row.values(), length, n, digest, body if payload == "true" else None)
-        at = source.end(cut + 4 + length + 4)
+        if not wanted(row):
+            source.skip(len(top), length)
+            continue
+        digest = head.get("warc-payload-digest", "")
+        digest = base64.b32decode(digest[5:]).hex() if re.fullmatch(r"sha1:[A-Z2-7]{32}", digest) else digest.removeprefix("sha1:") or None
+        body, n = None, None
+        if payload == "skip":
+            source.skip(len(top), length)
+        else:
+            block = source.block(length)
+            source.finish(len(top), length)
+            split = 0
+            if "http" in (row["content_type"] or ""):  # a message without a blank line is all head
+                split = block.find(b"\r\n\r\n") + 4
+                split = len(block) if split < 4 else split
+            body = block[split:]
+            n = len(body)
+            if row["record_type"] == "revisit":  # the payload is in the record it refers to
+                n = _number(parse_head(block[:split]).get("content-length", "0"))
+                body = None
+            else:
+                digest = hashlib.sha1(body).hexdigest()
+        yield (*row.values(), length, n, digest, body if payload == "true" else None)
 
 
 # ---------------------------------------------------------------- reader
@@ -226,8 +351,9 @@ class WarcReader(DataSourceReader):
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        push = self.options.get("pushdown", "false") == "true"
         for f in filters:
-            if _test(f) is None:
+            if not push or _test(f) is None:
                 yield f
             else:
                 self.filters.append(f)
@@ -254,7 +380,11 @@ class WarcReader(DataSourceReader):
         tests = [_test(f) for f in self.filters]
         for path in partition.value:
             with store.open_input_file(path) as file:
-                yield from records(file, lambda r: all(t(r) for t in tests), self.options.get("payload", "true"))
+                try:
+                    yield from records(file, lambda r: all(t(r) for t in tests), self.options.get("payload", "true"))
+                except (ValueError, zlib.error) as e:
+                    if self.options.get("corrupt", "fail") != "keep":
+                        raise ValueError(f"{path}: {e}") from e
 
 
 # ---------------------------------------------------------------- writer
@@ -339,6 +469,18 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def read(spark: SparkSession, path: str, where: Column | None = None, **options: str) -> DataFrame:
+    """Records of the archives that pass ``where``, whose tests of header columns the reader makes before it decodes a block.
+
+    The frame may be used and filtered any number of times: its columns pass through an expression that no filter is
+    moved below, so the reader sees ``where`` alone.
+    """
+    register(spark)
+    rows = spark.read.format("warc").options(**options, pushdown="true").load(path)
+    rows = rows if where is None else rows.filter(where)
+    return rows.select(*(F.when(F.monotonically_increasing_id() >= 0, F.col(c)).alias(c) for c in rows.columns))
+
+
 #: Up to so many repeated digests (about 64 bytes each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
