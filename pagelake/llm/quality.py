@@ -7,8 +7,8 @@ a fault far more often than chance. They score every whole text. The documents'
 summed by path and by host in grouped aggregation, and each level's share of good documents is
 shrunk toward the level above, by a weight that the spread between groups gives (method of
 moments): a path with few documents says what its host says, a sparse host what the corpus says. A
-document's log odds then move by the difference between its path's and the corpus' log odds, at
-most by ``site_limit``, so a bad site makes a doubtful document worse but never condemns a clear one.
+document's log odds then move by the difference between its path's and the corpus' log odds, its own
+evidence left out of its path and host, at most by ``site_limit``, so a bad site makes a doubtful document worse but never condemns a clear one.
 
 Nulls and edge cases: a null or empty text has no words, so nothing speaks against it and it is kept; a null host
 or path is a group of its own; labels that are null are left out; labels of one class only, or no
@@ -200,14 +200,15 @@ def _sigmoid(x: Column | str) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
 
 
-def _logit(p: str) -> Column:
-    q = F.greatest(F.least(F.col(p), F.lit(1 - 1e-6)), F.lit(1e-6))
+def _logit(p: Column) -> Column:
+    q = F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
     return F.log(q / (1 - q))
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, host_good, path_good, shift): shrunken shares of good documents and the change of a document's log odds.
+    """(host, path, host_good, path_good) and what they are made of: shrunken shares of good documents.
 
+    Sums n and s by path, host_n and host_s by host, prior weights k_path and k_host, and the mean of all documents.
     ``scored`` has host, path and good, the documents' probability. Sums per path come from partial
     aggregation; everything after works on one row a path.
     """
@@ -218,14 +219,26 @@ def posteriors(scored: DataFrame) -> DataFrame:
     n, hosts = float(row["all_n"] or 0), int(row["hosts"] or 0)
     mean = (float(row["all_s"] or 0) + 1) / (n + 2)
     k_host = _strength(n, hosts, float(row["q"] or 0), float(row["n2"] or 0), mean)
-    host = host.select(F.col("host").alias("h"), ((F.col("host_s") + k_host * mean) / (F.col("host_n") + k_host)).alias("host_good"))
-    inner = path.join(host, F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "s", "host_good")
+    host = host.select(F.col("host").alias("h"), "host_n", "host_s", ((F.col("host_s") + k_host * mean) / (F.col("host_n") + k_host)).alias("host_good"))
+    inner = path.join(host, F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "s", "host_n", "host_s", "host_good")
     spread = inner.agg(F.sum("n").alias("n"), F.count("*").alias("g"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("host_good"), 2)).alias("b")).first()
     count, groups = float(spread["n"] or 0), int(spread["g"] or 0)
     between = max(0.0, (float(spread["b"] or 0) - groups * mean * (1 - mean)) / max(count, 1))
     k_path = min(1e6, max(1.0, mean * (1 - mean) / between - 1 if between > 0 else 1e6))
     out = inner.withColumn("path_good", (F.col("s") + k_path * F.col("host_good")) / (F.col("n") + k_path))
-    return out.select("host", "path", "host_good", "path_good", (_logit("path_good") - float(np.log(mean / (1 - mean)))).alias("shift"))
+    return out.withColumns({"k_path": F.lit(float(k_path)), "k_host": F.lit(float(k_host)), "mean": F.lit(float(mean))})
+
+
+def _good() -> Column:
+    """A document's own evidence: the probability that it has neither fault."""
+    return _sigmoid(-F.col("low")) * _sigmoid(-F.col("toxic"))
+
+
+def _shift(good: Column) -> Column:
+    """What the other documents of its path and host change a document's log odds by."""
+    host = (F.col("host_s") - good + F.col("k_host") * F.col("mean")) / (F.col("host_n") - 1 + F.col("k_host"))
+    path = (F.col("s") - good + F.col("k_path") * host) / (F.col("n") - 1 + F.col("k_path"))
+    return _logit(path) - _logit(F.col("mean"))
 
 
 def _strength(n: float, groups: int, q: float, n2: float, mean: float) -> float:
@@ -237,7 +250,7 @@ def _strength(n: float, groups: int, q: float, n2: float, mean: float) -> float:
     return min(1e6, max(1.0, within / between - 1 if between > 0 else 1e6))
 
 
-#: Up to so many paths (about 64 bytes each) are broadcast; beyond it they are joined by shuffle.
+#: Up to so many paths (about 130 bytes each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -252,7 +265,7 @@ def _judged(rows: DataFrame, groups: DataFrame, site_limit: float) -> DataFrame:
     """Adds posterior and keep to rows that have host, path, low, toxic and good."""
     groups = bounded(groups.withColumnsRenamed({"host": "__h", "path": "__p"}), BROADCAST_ROWS)
     both = rows.join(groups, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__p")), "left")
-    shift = F.greatest(F.least(F.coalesce("shift", F.lit(0.0)), F.lit(site_limit)), F.lit(-site_limit))
+    shift = F.greatest(F.least(F.coalesce(_shift(_good()), F.lit(0.0)), F.lit(site_limit)), F.lit(-site_limit))
     good = F.least(-F.col("low"), -F.col("toxic"))
     return both.withColumn("posterior", _sigmoid(good + shift)).withColumn("keep", F.col("posterior") >= 0.5)
 
@@ -262,7 +275,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     scratch = Scratch(docs.sparkSession, "quality")
     rows, models = _prepared(scratch, docs, labels, id_col, text_col, host, path, sample)
     scored = scratch.save(scores(rows, models, "__text", ["__doc", "__host", "__path"]), "scored")
-    evidence = scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (_sigmoid(-F.col("low")) * _sigmoid(-F.col("toxic"))).alias("good"))
+    evidence = scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), _good().alias("good"))
     out = _judged(scored, scratch.save(posteriors(evidence), "sites"), site_limit)
     return out.select(F.col("__doc").alias("doc_id"), _sigmoid("low").alias("p_low"), _sigmoid("toxic").alias("p_toxic"), "host_good", "path_good", "posterior", "keep")
 
@@ -273,7 +286,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id
     names = docs.columns
     rows, models = _prepared(scratch, docs, labels, id_col, text_col, host, path, sample)
     first = scratch.save(scores(rows, models, "__text", ["__host", "__path"]), "scored")
-    evidence = first.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (_sigmoid(-F.col("low")) * _sigmoid(-F.col("toxic"))).alias("good"))
+    evidence = first.select(F.col("__host").alias("host"), F.col("__path").alias("path"), _good().alias("good"))
     sites = scratch.save(posteriors(evidence), "sites")
     scored = scores(rows, models, "__text", ["__row", "__host", "__path"])
     return _judged(scored, sites, site_limit).filter("keep").select(*(F.col(f"__row.{quoted(c)}").alias(c) for c in names))
