@@ -1,6 +1,6 @@
-"""SentencePiece encoding and decoding by streaming Viterbi, without the library at run time.
+"""SentencePiece encoding and decoding by streaming Viterbi; the library only reads the vocabulary file.
 
-The vocabulary file is a byte-pair model: ids are right when they equal the result of its merges
+The vocabulary file is a byte-pair model (another kind of model, or one with a normaliser, is an error): ids are right when they equal the result of its merges
 in score order. A sequence of pieces is that result exactly if every two neighbours are what the
 merges leave of their concatenation, so each prefix of a text has one last piece that can follow the path of
 the prefix before it. The trellis therefore scores paths by possibility: position i takes the
@@ -35,6 +35,46 @@ CACHED = 400_000
 LONG = 64
 
 
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a serialised protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, message[at : at + size]
+            at += size
+
+
+def require_byte_pairs(model: bytes) -> None:
+    """ValueError unless the file's ids are those of merges over the text as it is, with a space mark in front."""
+    # Fixed values of the public file format: message and field numbers, and their defaults.
+    trainer_spec, normalizer_spec = 2, 3
+    model_type, byte_pairs = 3, 2
+    suffix = 24
+    charsmap, dummy_prefix, remove_spaces, escape_spaces = 2, 3, 4, 5
+    parts = dict(fields(model))
+    trainer, normaliser = dict(fields(parts.get(trainer_spec, b""))), dict(fields(parts.get(normalizer_spec, b"")))
+    if trainer.get(model_type, 1) != byte_pairs or trainer.get(suffix, 0):
+        raise ValueError(f"a byte-pair model is needed, the file has model type {trainer.get(model_type, 1)}")
+    if normaliser.get(charsmap) or not normaliser.get(dummy_prefix, 1) or normaliser.get(remove_spaces, 1) or not normaliser.get(escape_spaces, 1):
+        raise ValueError("the file's normaliser changes texts, which this encoder does not")
+
+
 class Model:
     """Vocabulary, ranks and merge tree of a byte-pair SentencePiece file."""
 
@@ -42,7 +82,10 @@ class Model:
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
+        require_byte_pairs(sp.serialized_model_proto())
         n = sp.get_piece_size()
+        if n > 65536:
+            raise ValueError(f"at most 65536 pieces are supported, the file has {n}")
         special = [sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(n)]
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
