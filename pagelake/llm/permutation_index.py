@@ -2,8 +2,9 @@
 
 Every vector is represented by the order of its ``prefix`` nearest pivots. Pivots come from a
 bounded sample: the ``sample`` vectors with the smallest hash of their id, of which the first
-``pivots`` are used. Vectors of unequal length are lifted by one coordinate to the largest
-length, so that nearest means largest inner product. All vectors are indexed, in blocks of about ``block``; a block posts
+``pivots`` are used. Vectors of unequal norm are lifted by one coordinate to the largest
+norm, so that nearest means largest inner product. A vector meets those with its own number of
+components; the sample is of the commonest number, other blocks take as pivots their vectors with the smallest ids. All vectors are indexed, in blocks of about ``block``; a block posts
 (vector, rank) in its pivots' inverted files. A query walks the files of its own nearest pivots;
 the footrule distance of two prefixes (absent pivots at rank ``prefix``) is a constant less
 2 (prefix - max of both ranks) for every pivot they share, so what the files add up ranks a block
@@ -11,7 +12,7 @@ by footrule. The best ``keep`` share of each block is ranked again by the exact
 the original vectors in double precision. Queries meet all blocks in blocks of their own, so a task holds
 one block of each; blocks are dealt by hash, so equal vectors don't meet in one of them.
 
-Nulls and edge cases: vectors that are null, zero, of another length than most, or hold null or
+Nulls and edge cases: vectors that are null, zero, or hold null or
 non-finite components, and rows without an id, take no part; ties go to the smaller id; rows with
 equal ids are candidates and queries each, a row is not its own candidate; other columns are
 ignored; an empty table gives an empty result; with fewer than ``k`` candidates all are returned.
@@ -26,7 +27,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import Scratch
+from pagelake.llm.common import Scratch, bounded
+
+#: Up to so many numbers of components (three integers each) are broadcast; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def valid(vector: str) -> Column:
@@ -35,6 +39,10 @@ def valid(vector: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0)
 
 
+def lifted(pivots: np.ndarray, longest: float) -> np.ndarray:
+    return np.hstack([pivots, np.sqrt(np.maximum(0.0, longest**2 - np.einsum("ij,ij->i", pivots, pivots)))[:, None]])
+
+
 def prefixes(x: np.ndarray, pivots: np.ndarray, longest: float, prefix: int, lift: bool) -> np.ndarray:
     """The nearest pivots of each row, nearest first. pivots are lifted; queries have lift 0."""
     squares = np.einsum("ij,ij->i", x, x)
@@ -70,31 +78,35 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = 256,
     """query_id, rank, vec_id, score. ``queries`` is a condition on the column vec_id."""
     scratch = Scratch(vectors.sparkSession, "permutation-index")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & valid("v"))
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = common["d"] if common else 0
-    rows = scratch.save(rows.filter(F.size("v") == d).withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    n, squares = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(sample).select("v").limit(pivots).collect()  # at most ``pivots`` vectors
-    longest = float(np.sqrt(squares)) if n else 1.0
-    centre = np.array([r["v"] for r in picked], dtype=np.float64).reshape(-1, d or 1)
-    centre = np.hstack([centre, np.sqrt(np.maximum(0.0, longest**2 - np.einsum("ij,ij->i", centre, centre)))[:, None]])
-    width = min(prefix, max(1, len(centre)))
-    asked = rows.filter(queries)
-    blocks, teams = max(1, ceil(n / block)), max(1, ceil(asked.count() / block))
-    pivot_data = vectors.sparkSession.sparkContext.broadcast(centre)
-    deal = lambda parts, seed: F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = asked.select("uid", "vec_id", "v", deal(teams, 1).alias("team"), every(blocks).alias("block"))
-    right = rows.select("uid", "vec_id", "v", deal(blocks, 2).alias("block"), every(teams).alias("team"))
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    rows = scratch.save(rows.withColumns({"d": F.size("v"), "uid": F.monotonically_increasing_id()}), "vectors")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    sizes = rows.groupBy("d").agg(F.count("*").alias("n"), F.count(F.when(queries, 1)).alias("asked"), F.max(norm).alias("squares"))
+    sizes = scratch.save(sizes.select("d", "n", "squares", parts(F.col("n")).alias("blocks"), parts(F.col("asked")).alias("teams")), "sizes")
+    common = sizes.orderBy(F.desc("n"), "d").first()
+    d, longest = (common["d"], float(np.sqrt(common["squares"]))) if common else (1, 1.0)
+    picked = rows.filter(F.col("d") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(sample).select("v").limit(pivots).collect()  # at most ``pivots`` vectors
+    pivot_data = vectors.sparkSession.sparkContext.broadcast(lifted(np.array([r["v"] for r in picked], dtype=np.float64).reshape(-1, d), longest))
+    dealt = rows.join(bounded(sizes.select("d", "blocks", "teams"), BROADCAST_ROWS), "d")
+    deal = lambda parts, seed: F.pmod(F.xxhash64("uid", F.lit(seed)), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    own = lambda: [F.col(c).alias(c) for c in ("uid", "vec_id", "v", "d")]  # noqa: E731 - columns of each side's own, as both come from one table
+    left = dealt.filter(queries).select(*own(), deal("teams", 1).alias("team"), every("blocks").alias("block"))
+    right = dealt.select(*own(), deal("blocks", 2).alias("block"), every("teams").alias("team"))
 
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_uid", "query_id", "vec_id", "uid", "score"]
         if not len(q) or not len(x):
             return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in columns})
         data, asked_data = np.stack(x["v"].to_numpy()).astype(np.float64), np.stack(q["v"].to_numpy()).astype(np.float64)
-        index = Block(data, pivot_data.value, longest, width)
-        orders = prefixes(asked_data, pivot_data.value, longest, width, False)
         ids, uids = x["vec_id"].to_numpy(), x["uid"].to_numpy()
+        centre, most_long = pivot_data.value, longest
+        if data.shape[1] != d:
+            most_long = float(np.sqrt(np.einsum("ij,ij->i", data, data).max()))
+            centre = lifted(data[np.lexsort((uids, ids))[:pivots]], most_long)
+        width = min(prefix, len(centre))
+        index = Block(data, centre, most_long, width)
+        orders = prefixes(asked_data, centre, most_long, width, False)
         out = []
         # The best of a block, and enough of them to lose none of the k to the query itself.
         most = max(k + 1, ceil(keep * len(x)))
@@ -106,6 +118,6 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = 256,
             out.append((np.full(len(best), uid), np.full(len(best), name), ids[rows_][best], uids[rows_][best], score[best]))
         return pd.DataFrame(dict(zip(columns, (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
-    found = left.groupBy("block", "team").cogroup(right.groupBy("block", "team")).applyInPandas(run, "query_uid long, query_id long, vec_id long, uid long, score double")
+    found = left.groupBy("d", "block", "team").cogroup(right.groupBy("d", "block", "team")).applyInPandas(run, "query_uid long, query_id long, vec_id long, uid long, score double")
     order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
     return found.select("*", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
