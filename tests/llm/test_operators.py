@@ -317,6 +317,38 @@ def test_posteriors_shrink_sparse_sites(spark):
     assert abs(got["big/a"]["path_good"] - 0.9) <= abs(got["big/b"]["path_good"] - 0.9) + 0.05
 
 
+def test_posterior_against_brute_force(spark):
+    docs, labels = labelled(spark)
+    docs = docs.union(documents(spark, [(9000 + k, "one two &&& three", "en", f"alone{k}") for k in range(3)]))
+    site = {r["doc_id"]: (r["source"], f"{r['source']}/{r['lang']}") for r in docs.collect()}
+    got = classify(docs, labels).collect()
+    good = {r["doc_id"]: (1 - r["p_low"]) * (1 - r["p_toxic"]) for r in got}
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, g in good.items():
+        hosts[site[i][0]].append(g)
+        paths[site[i]].append(g)
+    n = len(good)
+    mean = (sum(good.values()) + 1) / (n + 2)
+    within = mean * (1 - mean)
+    square = sum(len(v) * (sum(v) / len(v) - mean) ** 2 + 2 * mean * sum(v) - 2 * len(v) * mean**2 for v in hosts.values())
+    between = (square + n * mean**2 - n * mean**2 - (len(hosts) - 1) * within) / (n - sum(len(v) ** 2 for v in hosts.values()) / n)
+    k_host = min(1e6, max(1.0, within / between - 1 if between > 0 else 1e6))
+    host_good = {h: (sum(v) + k_host * mean) / (len(v) + k_host) for h, v in hosts.items()}
+    apart = sum(len(v) * (sum(v) / len(v) - host_good[h]) ** 2 for (h, _), v in paths.items())
+    between = max(0.0, (apart - len(paths) * within) / n)
+    k_path = min(1e6, max(1.0, within / between - 1 if between > 0 else 1e6))
+    logit = lambda p: math.log(p / (1 - p))
+    for r in got:
+        h, g = site[r["doc_id"]], good[r["doc_id"]]
+        assert math.isclose(r["host_good"], host_good[h[0]], rel_tol=1e-9)
+        others = [x for x in (sum(hosts[h[0]]) - g, len(hosts[h[0]]) - 1, sum(paths[h]) - g, len(paths[h]) - 1)]
+        host = (others[0] + k_host * mean) / (others[1] + k_host)
+        path = (others[2] + k_path * host) / (others[3] + k_path)
+        shift = max(-1.0, min(1.0, logit(path) - logit(mean)))
+        own = min(logit(1 - r["p_low"]) if r["p_low"] < 1 else -30.0, logit(1 - r["p_toxic"]) if r["p_toxic"] < 1 else -30.0)
+        assert abs(r["posterior"] - 1 / (1 + math.exp(-max(-30.0, min(30.0, own + shift))))) < 1e-6
+
+
 def test_quality_edge_cases(spark):
     docs, labels = labelled(spark)
     odd = documents(spark, [*ODD, (1, "x", None, None), (1, "x", None, None)])
@@ -616,6 +648,13 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     assert texts[0] == f"token = {example}" and texts[12] is None
 
 
+def test_other_vocabularies_are_refused():
+    pieces.require_byte_pairs(bytes([0x12, 2, 0x18, 2, 0x1A, 2, 0x20, 0]))
+    for data in (b"", bytes([0x12, 2, 0x18, 1, 0x1A, 2, 0x20, 0]), bytes([0x12, 2, 0x18, 2]), bytes([0x12, 2, 0x18, 2, 0x1A, 5, 0x20, 0, 0x12, 1, 65])):
+        with pytest.raises(ValueError):
+            pieces.require_byte_pairs(data)
+
+
 # ---------------------------------------------------------------- permutation index
 
 
@@ -647,6 +686,21 @@ def test_nearest_vectors(spark):
     assert permutation_index.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vectors_meet_their_own_length(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=16 if i % 3 else 12).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    by = defaultdict(dict)
+    for g in permutation_index.nearest(df, F.col("vec_id") % 20 == 0, block=300).collect():
+        by[g["query_id"]][g["rank"]] = g["vec_id"]
+    hits = []
+    for q in range(0, 1500, 20):
+        s = sorted((-float(np.dot(v, rows[q][1])), i) for i, v in rows if i != q and len(v) == len(rows[q][1]))
+        assert sorted(by[q]) == list(range(1, 21))
+        hits.append(len(set(by[q].values()) & {i for _, i in s[:20]}) / 20)
+    assert np.mean(hits) >= 0.9
+
+
 # ---------------------------------------------------------------- packing
 
 
