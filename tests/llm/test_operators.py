@@ -701,6 +701,26 @@ def test_vectors_meet_their_own_length(spark):
     assert np.mean(hits) >= 0.9
 
 
+# ---------------------------------------------------------------- both sides of the broadcast limits
+
+
+def test_shuffle_joins_give_the_rows_of_broadcasts(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * 1000 * (i % 4)) for i in range(40)], "page_id long, url string, html string")
+    r = np.random.default_rng(7)
+    vectors = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+
+    def results():
+        yield classify(docs, labels).select("doc_id", "keep", F.round("posterior", 9).alias("p")).collect()
+        yield warc.archive_records(pages, "page_id", "url", "html", 1000, "p:", "d").collect()
+        yield permutation_index.nearest(vectors, F.col("vec_id") % 20 == 0).collect()
+
+    broadcast = [sorted(map(tuple, rows), key=str) for rows in results()]
+    for module in (quality, warc, permutation_index):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert [sorted(map(tuple, rows), key=str) for rows in results()] == broadcast
+
+
 # ---------------------------------------------------------------- packing
 
 
