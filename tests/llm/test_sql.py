@@ -9,7 +9,7 @@ from pagelake.llm import queries as llm
 @pytest.mark.parametrize("name", sorted(llm.ORACLE_SQL))
 def test_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got, want = llm.QUERIES[name](spark, sf_dir).toPandas(), con.sql(llm.ORACLE_SQL[name]).df()
     names = sorted(got.columns)
