@@ -7,8 +7,13 @@ by page, source and original order. A query may be one phrase or a table of phra
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from pagelake.functions import text as T
 
@@ -16,29 +21,53 @@ SOURCES = ["PDF", "HANDWRITING", "TEXT"]
 CAP = 200
 
 
-#: Letters of a phrase that are looked up, letters in a window of a text, and phrases that are broadcast.
-ANCHOR, WINDOW, BROADCAST_PHRASES = 6, 256, 100_000
+#: Phrases of one automaton; a larger table is searched in several rounds, dealt by hash.
+PHRASES = 50_000
 
 
 def _found(rows: DataFrame, query: str | DataFrame) -> DataFrame:
     """rows with query and ``at``, the place of its first hit: for one phrase, or for each of a table of phrases.
 
-    A table's phrases are looked up by their first letters at each place of a text, an equi-join; only where these meet
-    is the phrase compared. A text is read in windows, so that a long line costs its length.
+    A table's phrases go to the tasks as one automaton, which reads each text once, whatever it repeats. For phrases that
+    are asked again and again see textindex.
     """
     if isinstance(query, str):
         return rows.withColumn("query", F.lit(query)).withColumn("at", T.find_ci("text", "query")).filter("at >= 0")
-    phrases = query.select("query", T.fold(T.trim_unicode("query")).alias("needle")).filter("needle <> ''")
-    number, shortest = phrases.agg(F.count("*"), F.min(F.length("needle"))).first()
-    size = min(ANCHOR, shortest or 1)
-    keys = phrases.select("query", F.substring("needle", 1, size).alias("anchor"))
-    keys = F.broadcast(keys) if number <= BROADCAST_PHRASES else keys
-    low = rows.withColumn("low", T.fold("text")).filter(F.length("low") >= size)
-    windows = low.select("*", F.explode(F.expr(f"sequence(0, (length(low) - {size}) div {WINDOW})")).alias("w"))
-    windows = windows.select(*rows.columns, "w", F.substring("low", F.col("w") * WINDOW + 1, F.lit(WINDOW + size - 1)).alias("part"))
-    places = windows.select("*", F.explode(F.sequence(F.lit(1), F.length("part") - size + 1)).alias("i"))
-    places = places.select(*rows.columns, (F.col("w") * WINDOW + F.col("i") - 1).cast("int").alias("at"), F.substring("part", F.col("i"), F.lit(size)).alias("anchor"))
-    return places.join(keys, "anchor").filter(T.find_ci("text", "query") == F.col("at")).select(*rows.columns, "query", "at")
+    phrases = query.select("query", T.fold(T.trim_unicode("query")).alias("needle")).filter("needle <> ''").distinct()
+    rounds = -(-phrases.count() // PHRASES) or 1
+    dealt = phrases.withColumn("round", F.pmod(F.xxhash64("query"), F.lit(rounds)))
+    parts = [_round(rows, dealt.filter(F.col("round") == i)) for i in range(rounds)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _round(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    given = rows.sparkSession.sparkContext.broadcast([(r["query"], r["needle"]) for r in phrases.collect()])  # about PHRASES of them
+    low = F.coalesce(T.fold("text"), F.lit(""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        queries: dict[str, list[str]] = {}
+        for name, needle in given.value:
+            queries.setdefault(needle, []).append(name)
+            machine.add_word(needle, needle)
+        machine.make_automaton() if queries else None
+        for batch in batches:
+            at_row, names, places = [], [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist() if queries else []):
+                first: dict[str, int] = {}
+                for end, needle in machine.iter(text):
+                    first.setdefault(needle, end - len(needle) + 1)
+                for needle, at in first.items():
+                    for name in queries[needle]:
+                        at_row.append(i)
+                        names.append(name)
+                        places.append(at)
+            kept = batch.take(pa.array(at_row, pa.int64())).columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(places, pa.int32())], names=[*batch.schema.names[:-1], "query", "at"])
+
+    schema = StructType([*rows.schema.fields, StructField("query", StringType()), StructField("at", IntegerType())])
+    return rows.withColumn("__low", low).mapInArrow(run, schema)
 
 
 def positioned_hits(blocks: DataFrame, query: str | DataFrame, source: str) -> DataFrame:

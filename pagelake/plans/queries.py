@@ -2,39 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions import geometry as G
 from pagelake.functions import text as T
 from pagelake.operators import bindings as B
-from pagelake.operators import ink, jobs, ledger, library, search, storage
+from pagelake.operators import ink, jobs, ledger, library, search, storage, textindex
 from pagelake.operators import pages as P
+from pagelake.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from pagelake.sources.stores import shared_folder
 from pagelake.streaming import queues
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 QUERY = "the"
 PAGE, TARGET, ANCHOR = 2, 5, 7
 POLYGON = [(0.45, 0.45), (0.75, 0.4), (0.8, 0.7), (0.6, 0.62), (0.4, 0.75)]
 ERASER = (0.55, 0.55, 0.06, 0.05)
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL where there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---------------------------------------------------------------- search
 
 _PAGES = "p AS (SELECT source AS fingerprint, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS page_index, doc_id, text FROM documents)"
@@ -103,17 +88,47 @@ def search_unified(spark, sf):
     return search.unified(_pdf(spark, sf), _txt(spark, sf), _hw(spark, sf), scope=_SCOPE).drop("query", "rect")
 
 
+def _phrases(spark, sf) -> DataFrame:
+    """The first two words of every benchmark item."""
+    words = F.split("text", " ")
+    return B.read(spark, sf, "benchmark").select(F.lower(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))).alias("query")).distinct()
+
+
 @query(
     f"WITH {_PAGES}, {_BLOCKS}, q AS (SELECT DISTINCT lower(list_extract(string_split(text, ' '), 1) || ' ' || list_extract(string_split(text, ' '), 2)) AS phrase FROM benchmark) "
     "SELECT phrase, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT fingerprint) AS BIGINT) AS books FROM b JOIN q ON strpos(lower(b.text), phrase) > 0 GROUP BY phrase"
 )
 def search_batch_phrases(spark, sf):
-    words = F.split("text", " ")
-    phrases = B.read(spark, sf, "benchmark").select(F.lower(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))).alias("query")).distinct()
-    hits = search.positioned_hits(B.blocks(B.pages(B.read(spark, sf, "documents"))), phrases, "PDF")
+    paged = B.pages(B.read(spark, sf, "documents"))
+    index = textindex.open_index(spark, shared_folder(spark, "index"))
+    textindex.refresh(index, paged.select("fingerprint", "page_index", F.lit(0).alias("revision")), B.blocks(paged))
+    hits = textindex.find(index, _phrases(spark, sf))
     return hits.groupBy(F.col("query").alias("phrase")).agg(F.count("*").alias("hits"), F.countDistinct("fingerprint").alias("books"))
 
 
+_EDITED = "p2 AS (SELECT fingerprint, page_index, CASE WHEN doc_id % 5 = 0 THEN reverse(text) || chr(10) || 'of the ' || upper(substring(text, 1, 200)) ELSE text END AS text FROM p WHERE doc_id % 7 <> 0)"
+
+
+@query(
+    f"WITH {_PAGES}, {_EDITED}, {_BLOCKS.replace('FROM p)', 'FROM p2)')}, q AS (SELECT DISTINCT lower(list_extract(string_split(text, ' '), 1) || ' ' || list_extract(string_split(text, ' '), 2)) AS phrase FROM benchmark UNION SELECT unnest(['of the', 'f t', 'th'])) "
+    "SELECT phrase, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT fingerprint || '-' || page_index) AS BIGINT) AS pages FROM b JOIN q ON strpos(lower(b.text), phrase) > 0 GROUP BY phrase"
+)
+def search_refreshed(spark, sf):
+    """An index brought up to date after edits and deletions of pages."""
+    docs = B.read(spark, sf, "documents")
+    index = textindex.open_index(spark, shared_folder(spark, "index"))
+    paged = index.kept(B.pages(docs))
+    revised = lambda rows: rows.select("fingerprint", "page_index", F.xxhash64("text").alias("revision"))
+    textindex.refresh(index, revised(paged), B.blocks(paged))
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.reverse("text"), F.lit("\nof the "), F.upper(F.substring("text", 1, 200)))).otherwise(F.col("text"))
+    edited = paged.filter("doc_id % 7 <> 0").withColumn("text", text)
+    textindex.refresh(index, revised(edited), B.blocks(edited))
+    more = spark.createDataFrame([("of the",), ("f t",), ("th",)], "query string")
+    hits = textindex.find(index, _phrases(spark, sf).union(more).distinct())
+    pages = F.countDistinct(F.struct("fingerprint", "page_index"))
+    return hits.groupBy(F.col("query").alias("phrase")).agg(F.count("*").alias("hits"), pages.alias("pages"))
+
+
 @query("SELECT conv_id, CAST(n AS BIGINT) AS hits, CAST((n + 2) % n AS BIGINT) AS cursor FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
 def hit_cursor(spark, sf):
     n = B.read(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("hits"))
@@ -590,3 +605,7 @@ def backup_due(spark, sf):
 def backups_to_prune(spark, sf):
     rows = B.read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("modified_at"), F.concat(F.lit("doc-"), F.col("o_orderkey")).alias("file_name"), F.lit(True).alias("automatic"))
     return storage.pruned(rows, 7, ["o_custkey"]).select("o_custkey", "o_orderkey")
+
+
+# These modules add their own queries.
+from pagelake.plans import canvas, edits, upkeep  # noqa: E402, F401
