@@ -1,10 +1,11 @@
 """A stored index of words and their places, kept up to date by page revisions, for tables of phrases.
 
-A line in lower case is cut at its spaces, and every word of it is posted: (term, fingerprint, page_index, ord, pos).
-As nothing but single spaces lies between neighbouring words, a phrase stands in a line just where a word ends with its first
-word, the next ones equal its next ones, and one begins with its last. So phrases are found anywhere, also
-inside words, without looking at the texts again. Which words end, begin or go on like a phrase's is asked of the distinct
-terms only, by their first, last or any letters, up to three, in an equi-join for each length.
+A line in lower case is cut at its spaces, and every word of it is posted with the one that follows: (term, next, fingerprint,
+page_index, ord, pos). As nothing but single spaces lies between neighbouring words, a phrase stands in a line just where a
+word ends with its first word, the next ones equal its next ones, and one begins with its last. So phrases are found anywhere, also
+inside words, without looking at the texts again. Which terms end like a phrase's first word, equal or begin like its third
+and later ones, or hold a phrase of one word is asked of the distinct terms only, by their last, first or any letters, up to
+three, in an equi-join for each length; its second word is compared with what follows.
 
 The index consists of tables in one store: a refresh adds the postings of pages whose revision has changed, with the refresh's
 number, and writes the list of pages with the number that counts for each; postings of other numbers are out of
@@ -20,7 +21,7 @@ from pagelake.functions import text as T
 from pagelake.sources.stores import Stores
 
 #: Letters by which words are looked up; matches and pages that are broadcast.
-LETTERS, BROADCAST_ROWS = 3, 200_000
+LETTERS, BROADCAST_ROWS = 3, 500_000
 PAGE = ["fingerprint", "page_index"]
 #: How a word of a phrase meets a term.
 EQUAL, END, START, INSIDE = "equal", "end", "start", "inside"
@@ -31,9 +32,10 @@ def open_index(spark: SparkSession, root: str, buckets: int = 16) -> Stores:
 
 
 def tokens(blocks: DataFrame) -> DataFrame:
-    """(term, fingerprint, page_index, ord, pos) of blocks (fingerprint, page_index, ord, text)."""
+    """(term, next, fingerprint, page_index, ord, pos) of blocks (fingerprint, page_index, ord, text); the last word of a line has no next."""
     lines = blocks.filter("text is not null").select(*PAGE, "ord", F.split(T.fold("text"), " ").alias("terms"))
-    return lines.select(F.posexplode("terms").alias("pos", "term"), *PAGE, "ord").select("term", *PAGE, "ord", "pos")
+    pairs = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.get("terms", i + 1).alias("next")))
+    return lines.select(F.posexplode(pairs).alias("pos", "t"), *PAGE, "ord").select("t.term", "t.next", *PAGE, "ord", "pos")
 
 
 def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
@@ -57,8 +59,8 @@ def refresh(index: Stores, pages: DataFrame, blocks: DataFrame) -> int:
         changed = blocks.join(few, _same(blocks, fresh, PAGE), "left_semi")
     else:
         listed, changed = now.withColumn("number", F.lit(number)), blocks
-    posted = index.kept(tokens(changed).withColumn("number", F.lit(number)))
-    edit.write("postings", posted.withColumn("__b", index.bucket("postings")).sortWithinPartitions("__b", "term").drop("__b"), add=True)
+    posted = tokens(changed).withColumn("number", F.lit(number))
+    posted = edit.write("postings", posted.withColumn("__b", index.bucket("postings")).sortWithinPartitions("__b", "term").drop("__b"), add=True)
     edit.write("terms", posted.select("term").distinct(), add=True)
     edit.write("pages", listed)
     return edit.commit()
@@ -115,9 +117,9 @@ def _keys(terms: DataFrame, asked: list[tuple[str, int]]) -> DataFrame:
 
 
 def _matches(terms: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(query, size, i, term): the terms that each word of a phrase may be."""
+    """(query, size, i, term): the terms that each word of a phrase may be, but for second words."""
     # At most one length of whole words and three each of the others.
-    asked = sorted({(r["how"], 0 if r["how"] == EQUAL else min(r["n"], LETTERS)) for r in pieces.select("how", F.least(F.length("key"), F.lit(LETTERS)).alias("n")).distinct().collect()})
+    asked = sorted({(r["how"], 0 if r["how"] == EQUAL else r["n"]) for r in pieces.select("how", F.least(F.length("key"), F.lit(LETTERS)).alias("n")).distinct().collect()})
     if not asked:
         return pieces.select("query", "size", "i", F.col("word").alias("term")).limit(0)
     met = _keys(terms, asked).join(pieces, ["how", "key"])
@@ -129,13 +131,26 @@ def _matches(terms: DataFrame, pieces: DataFrame) -> DataFrame:
 def find(index: Stores, phrases: DataFrame, version: int | None = None) -> DataFrame:
     """(query, fingerprint, page_index, ord): the lines that hold each phrase (query) of a table."""
     version = index.version() if version is None else version
-    matches = index.kept(_matches(index.read("terms", version).distinct(), _pieces(phrases)))
-    few = F.broadcast(matches) if matches.count() <= BROADCAST_ROWS else matches
-    places = current(index, index.read("postings", version).join(few, "term"), version)
-    line = ["query", *PAGE, "ord"]
-    single = places.filter("size = 1").select(line).distinct()
-    starts = places.filter("size > 1").groupBy(*line, "size", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n"))
-    return single.unionByName(starts.filter("n = size").select(line).distinct())
+    pieces = index.kept(_pieces(phrases))
+    matches = index.kept(_matches(index.read("terms", version).distinct(), pieces.filter("i <> 1")))
+    seconds = pieces.filter("i = 1").select("query", F.col("word").alias("second"))
+    postings, line = index.read("postings", version), ["query", *PAGE, "ord"]
+    few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    def places(which: str) -> DataFrame:
+        return postings.join(few(matches.filter(which)), "term")
+
+    heads = current(index, places("i = 0"), version).join(few(seconds), "query", "left")
+    then = F.when(F.col("size") == 2, F.startswith("next", F.col("second"))).otherwise(F.col("next") == F.col("second"))
+    heads = heads.filter((F.col("size") == 1) | then).select(*line, "size", F.col("pos").alias("start"))
+    short = heads.filter("size <= 2").select(line).distinct()
+    if not pieces.filter("i > 1").limit(1).count():
+        return short
+    here = [*line, "start"]
+    rest = places("i > 1").withColumn("start", F.col("pos") - F.col("i")).select(*here, "size", "number")
+    heads = heads.filter("size > 2").drop("size")
+    after = current(index, rest, version).join(heads, _same(rest, heads, here), "left_semi").groupBy(*here, "size").agg(F.count("*").alias("n"))
+    return short.unionByName(after.filter("n = size - 2").select(line).distinct())
 
 
 def hits(index: Stores, phrases: DataFrame, blocks: DataFrame, source: str) -> DataFrame:

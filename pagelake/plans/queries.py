@@ -99,8 +99,8 @@ def _phrases(spark, sf) -> DataFrame:
     "SELECT phrase, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT fingerprint) AS BIGINT) AS books FROM b JOIN q ON strpos(lower(b.text), phrase) > 0 GROUP BY phrase"
 )
 def search_batch_phrases(spark, sf):
-    paged = B.pages(B.read(spark, sf, "documents"))
     index = textindex.open_index(spark, shared_folder(spark, "index"))
+    paged = index.kept(B.pages(B.read(spark, sf, "documents")))
     textindex.refresh(index, paged.select("fingerprint", "page_index", F.lit(0).alias("revision")), B.blocks(paged))
     hits = textindex.find(index, _phrases(spark, sf))
     return hits.groupBy(F.col("query").alias("phrase")).agg(F.count("*").alias("hits"), F.countDistinct("fingerprint").alias("books"))
