@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import re
 import tempfile
 import uuid
@@ -117,9 +118,10 @@ def words_bytes(text: str | None) -> list[bytes]:
 # ---------------------------------------------------------------- hashed shingles
 
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_PLACE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+#: Bytes of a word that are mixed eight at a time; longer words get a cryptographic hash.
+_LANES = 64
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -133,33 +135,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint64)
-    out[0] = 1
-    np.cumprod(np.full(n - 1, _PLACE, dtype=np.uint64), out=out[1:])
-    return out
-
-
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word of all texts, offsets of each text's words)."""
+    """(64-bit hash of every word of all texts, offsets of each text's words).
+
+    A word's hash takes in eight bytes at a time, each time mixed with all before: words of up to eight bytes have different hashes if they are equally long,
+    and no rule makes longer ones collide, as it does where a hash is a sum over places.
+    """
     parts = [(t or "").encode().lower() for t in texts]
-    buf = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
+    raw = b"\n".join(parts) + b"\n"
+    buf = np.frombuffer(raw, dtype=np.uint8)
     space = _IS_SPACE[buf]
     first = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     ends = np.cumsum(np.array([len(p) + 1 for p in parts], dtype=np.int64)) if parts else np.zeros(0, np.int64)
     offsets = np.concatenate(([0], np.searchsorted(first, ends))).astype(np.int64)
     if not len(first):
         return np.zeros(0, dtype=np.uint64), offsets
-    stop = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-    length = stop - first
-    place = np.arange(len(buf), dtype=np.int64)
-    place -= np.repeat(np.concatenate(([0], first)), np.diff(np.concatenate(([0], first, [len(buf)]))))
-    power = _powers(int(length.max()) + 1)
-    value = _BYTE[buf]
-    value[space] = 0
-    place[space] = 0
-    value *= power[place]
-    return mix64(np.add.reduceat(value, first) + length.astype(np.uint64) * _STEP[63]), offsets
+    length = np.flatnonzero(space & np.concatenate(([False], ~space[:-1]))) - first
+    eight = np.ndarray(len(buf), "<u8", raw + b"\0" * 8, 0, (1,))  # the eight bytes from each place on
+    state = mix64(length.astype(np.uint64) * _STEP[63])
+    state = mix64(state ^ (eight[first] & _MASK[np.minimum(length, 8)]))
+    more = np.flatnonzero((length > 8) & (length <= _LANES))
+    for at in range(8, _LANES, 8):
+        more = more[length[more] > at]
+        if not len(more):
+            break
+        state[more] = mix64((state[more] * _STEP[62]) ^ (eight[first[more] + at] & _MASK[np.minimum(length[more] - at, 8)]))
+    for i in np.flatnonzero(length > _LANES).tolist():
+        state[i] = int.from_bytes(hashlib.blake2b(raw[first[i] : first[i] + length[i]], digest_size=8).digest(), "little")
+    return state, offsets
 
 
 def shingle_sets(texts: list[str | None], k: int = 5, block_chars: int = 300_000) -> Iterator[np.ndarray]:

@@ -9,7 +9,8 @@ hosts, those on ``few_pages`` and a ``high_share``. What is on fewer pages is le
 Pass 2 parses again, deletes template subtrees, elements that are never content (scripts, forms,
 menus, ...) or whose class, id or role says so (adverts, notices, comments, ...), and reads the
 blocks of the article that is left: all outermost ``article`` elements, else all ``main`` ones, in page order, else
-the whole body. A class or id counts as a whole word, and not around an article that only so would be lost. Inside ``article`` or ``main`` only containers (divisions, lists, tables, ...) can be
+the whole body. A form that holds an article or most of the page's text is read like any other element. A class or id counts as a whole word, not of a paragraph
+or heading with text of its own, and neither of nor around an article that only so would be lost. Inside ``article`` or ``main`` only containers (divisions, lists, tables, ...) can be
 template subtrees: a sentence that many articles quote is still their text. Where removal would leave
 nothing but headings of a page that has more, the page is read without it.
 
@@ -48,6 +49,8 @@ BLOCK = frozenset(
 )
 CONTAINERS = frozenset("div section ul ol dl table figure details center blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A class or id of these says how they look rather than what they are, where they have text of their own.
+OWN_TEXT = HEADINGS | {"p"}
 #: An open element of the key closes when one of the value starts.
 CLOSED_BY = {
     "p": BLOCK - frozenset("html body caption td th tr tbody thead tfoot".split()),
@@ -63,10 +66,10 @@ CLOSED_BY = {
 #: An end tag closes only elements inside these.
 SCOPE = frozenset("table td th article main section div body html".split())
 #: Words that mark an element that is not content, what may stand before and behind one in a class or id, and of comments.
-MARKS = "ads? adverts? advertisements? advertising banner breadcrumbs? comments? commentlist consent cookies? disqus footer header menu modal nav navbar navigation newsletter notices? pagination pager popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widgets?".split()
-BEFORE = "ad ads article blog bottom cookie gdpr global left main mobile newsletter page post primary right secondary site social sticky story top user".split()
-BEHIND = "area articles banner bar block box buttons? consent container form holder icons links list menu notice panel popup posts section slot stories thread unit widget wrap wrapper".split()
-MARKED = re.compile(rf"(?:(?:{'|'.join(BEFORE)})[_-])?(?:{'|'.join(MARKS)})(?:[_-](?:{'|'.join(BEHIND)}))*")
+MARKS = "ads? adverts? advertisements? advertising banner breadcrumbs? comments? commentlist consent cookies? cookiebar disqus footer header menu modal nav navbar navigation newsletter notices? pagination pager popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widgets?".split()
+BEFORE = "ad ads article blog bottom cookie gdpr global left main mobile newsletter page post primary reader readers right secondary site social sticky story top user".split()
+BEHIND = "area articles banner bar block body bottom box buttons? consent container content form holder icons inline left links list menu notice panel popup posts right section slot stories thread top unit widget wrap wrapper".split()
+MARKED = re.compile(rf"(?:(?:{'|'.join(BEFORE)})[_-])?(?:{'|'.join(MARKS)})(?:[_-](?:{'|'.join(BEHIND)}))*(?:[_-]?\d+)?")
 #: Headers of an article hold its title.
 TITLES = re.compile(r"(?:article|blog|post|story|entry|main)[_-]header")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
@@ -78,12 +81,13 @@ ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
 class Node:
-    __slots__ = ("attrs", "hash", "items", "tag")
+    __slots__ = ("attrs", "hash", "items", "tag", "wraps")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs = tag, attrs
         self.items: list[Node | str] = []
         self.hash = 0
+        self.wraps = False
 
 
 #: Tags whose start can close an open element, and those at which the search for it ends.
@@ -163,7 +167,7 @@ def parse(page: str) -> Node:
             if not open_.end(name) and name == "br":
                 stack[-1].items.append(Node("br", ""))
             continue
-        if name == "html":
+        if name == "html" or name == "head" and open_.places.get("head"):
             continue
         open_.start(name)
         node = Node(name, m[3])
@@ -175,13 +179,43 @@ def parse(page: str) -> Node:
             at = end.end() if end else size
         elif name not in VOID and not m[3].endswith("/"):
             open_.push(node)
+    mark_wrapping_forms(root)
     return root
 
 
+def mark_wrapping_forms(root: Node) -> None:
+    """Sets ``wraps`` of forms that hold an article or more than half of the page's text: some sites put whole pages into one."""
+    forms: list[tuple[Node, int, bool]] = []
+    letters, tops = 0, 0
+    begun: list[tuple[Node, int, int]] = []
+    todo: list[tuple[Node | str, bool]] = [(root, False)]
+    while todo:
+        item, done = todo.pop()
+        if isinstance(item, str):
+            letters += len(item) - item.count(" ")
+        elif done:
+            form, was, had = begun.pop()
+            forms.append((form, letters - was, tops > had))
+        else:
+            tops += item.tag in ("article", "main")
+            if item.tag == "form":
+                begun.append((item, letters, tops))
+                todo.append((item, True))
+            if item.tag == "form" or item.tag not in NEVER:
+                todo += [(c, False) for c in reversed(item.items)]
+    for form, own, holds in forms:
+        form.wraps = holds or 2 * own > letters
+
+
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
 
 
+def has_words(node: Node) -> bool:
+    """Whether an element holds text of its own, not only in links or other elements."""
+    return any(isinstance(c, str) and c.strip() for c in node.items)
+
+
 def is_marked(node: Node) -> bool:
     """Whether attributes say that an element is hidden or not content; a class counts as a whole, so has-sidebar is none."""
     if not node.attrs.strip():
@@ -193,6 +227,8 @@ def is_marked(node: Node) -> bool:
         return True
     if node.tag in ("body", "html", "main"):
         return False
+    if node.tag in OWN_TEXT and has_words(node):
+        return False
     names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
     return any(MARKED.fullmatch(x) for x in names) and not any(TITLES.fullmatch(x) for x in names)
 
@@ -257,7 +293,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
 def articles(root: Node, marks: bool = True) -> list[Node]:
     """The outermost ``article`` elements in page order, else the ``main`` elements; none within something that is dropped.
 
-    Without ``marks``, classes and ids of what is around them don't count.
+    Without ``marks``, classes and ids don't count, neither theirs nor those of what is around them.
     """
     found: dict[str, list[Node]] = {"article": [], "main": []}
     todo = [(root, False)]
@@ -267,14 +303,24 @@ def articles(root: Node, marks: bool = True) -> list[Node]:
             found[n.tag].append(n)
         if n.tag != "article":
             for c in reversed(n.items):
-                if isinstance(c, Node) and c.tag not in NEVER and not ((marks or c.tag == "article") and is_marked(c)):
+                if isinstance(c, Node) and (c.tag not in NEVER or c.wraps) and not (marks and is_marked(c)):
                     todo.append((c, in_main or n.tag == "main"))
     return found["article"] or found["main"]
 
 
 def text_blocks(root: Node, template: frozenset[int] = frozenset()) -> list[tuple[str, bool]]:
     """(text, whether it is a heading) of the article's blocks."""
-    tops = articles(root) or articles(root, marks=False)
+    tops = articles(root)
+    blocks = blocks_of(tops, template) if tops else []
+    if all(heading for _, heading in blocks) and (more := articles(root, marks=False)) and more != tops:
+        # The only article has a name that would drop it, or lies in something that has.
+        blocks = blocks_of(more, template) or blocks
+        tops = tops or more
+    return blocks if tops else blocks_of([], template, root)
+
+
+def blocks_of(tops: list[Node], template: frozenset[int], root: Node | None = None) -> list[tuple[str, bool]]:
+    """The blocks of these articles, else of the whole page."""
     order, inside = tops or [root], bool(tops)
     blocks: list[tuple[str, bool]] = []
     current: list[str] = []
@@ -310,7 +356,7 @@ def text_blocks(root: Node, template: frozenset[int] = frozenset()) -> list[tupl
 
 def dropped_in(n: Node, inside: bool) -> bool:
     """Inside an article a header holds its own heading and stays."""
-    return (n.tag in NEVER and not (inside and n.tag == "header")) or is_marked(n)
+    return (n.tag in NEVER and not n.wraps and not (inside and n.tag == "header")) or (is_marked(n) and not n.wraps)
 
 
 # ---------------------------------------------------------------- Spark

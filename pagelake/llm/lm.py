@@ -5,9 +5,9 @@ words and the pairs. The arc of a token w out of a state h holds the probability
 (c(h w) + ``prior`` p(w | h')) / (c(h) + ``prior``), h' being h without its first word; the failure arc
 to h' holds prior / (c(h) + prior), which is what the same formula gives where c(h w) is 0. So each
 state's probabilities sum to one. The lowest order is the add-``alpha`` unigram model, which gives every
-training word its count and an unknown word the rest. Reading a text from left to right, the automaton is
-in the state of the last two tokens if training texts have them, else in that of the last one or the root, so
-each token's weight follows from the counts of the word, pair and triple that end at it and of their contexts.
+training word its count and an unknown word the rest. A text is read from left to right by the automaton: while its
+state has no arc for a token it goes along failure arcs, then it takes the arc, adds the weights and is in
+the state of the last two tokens, or of the last one or the root where training texts don't have these.
 
 The model is never in one place. Texts lie in chunks of about ``chunk_bytes``; a chunk is one row with its distinct
 words as 64-bit hashes and its tokens as numbers of these. A chunk asks for each of its distinct n-grams
@@ -15,7 +15,8 @@ once: sorted hashes are cut into parts by their leading bits, and each part trav
 one of the chunk's own training counts. A part, of bounded size, sums the counts of all chunks, and each chunk gets
 back a block of totals in the order in which it asked. An n-gram has one entry a chunk at most, so no key
 is hot, and there are as many parts as the number of tokens calls for. The hashes are asked in ``passes`` ranges,
-one after the other, so that only one range is on disk at a time.
+one after the other, so that only one range is on disk at a time. With the totals a chunk builds the states and arcs that its own
+texts can reach, and walks through them.
 
 Tokens are words with A-Z lower-cased, then one end. Texts are held out when the CRC-32 of their
 id, as text, is divisible by ``folds``. Nulls and edge cases: a null or empty text is one end
@@ -125,6 +126,68 @@ class Chunk:
         return np.concatenate([of_token[self.second], of_token[self.third]])
 
 
+class Automaton:
+    """The part of the model that a chunk's texts can reach: states, weighted arcs, failure arcs.
+
+    A pair's state has the number of the pair, a word's state that of the word. The arc of a word out of a pair's state has the
+    number of the triple, out of a word's state that of the pair, out of the root that of the word; a positive weight says that there is none.
+    An arc leads to the state of the last pair, from the root to that of the word. A failure arc leads from a pair's state
+    to its last word's, from there to the root.
+    """
+
+    NO_ARC = 1.0
+
+    def __init__(self, chunk: Chunk, first: np.ndarray, at: np.ndarray, of_word: np.ndarray, of_gram: np.ndarray, base: np.ndarray, prior: float):
+        n, pairs = len(chunk.word), int(chunk.second.sum())
+        pair, triple = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        pair[chunk.second], triple[chunk.third] = at[:pairs], at[pairs:]
+        place = np.concatenate([np.flatnonzero(chunk.second), np.flatnonzero(chunk.third)])[first] if len(first) else first
+        longer = first >= pairs
+        word, before = chunk.word[place], chunk.word[place - 1]
+        # Of a pair its own, of a triple its last pair's.
+        own = np.where(longer, of_gram[pair[place]], of_gram) if len(first) else of_gram
+        p = (own + prior * base[word]) / (of_word[before] + prior)
+        context = of_gram[pair[place - 1]] if len(first) else of_gram
+        p = np.where(longer, (of_gram + prior * p) / (context + prior), p)
+        self.arc = np.where(of_gram > 0, np.log10(p), self.NO_ARC).tolist()
+        self.fail_pair = np.log10(prior / (of_gram + prior)).tolist()
+        self.last = word.tolist()
+        self.root_arc = np.log10(base).tolist()
+        self.known = (of_word > 0).tolist()
+        self.fail_word = np.log10(prior / (of_word + prior)).tolist()
+        self.tokens = (chunk.word, pair, triple)
+        self.sizes = chunk.sizes.tolist()
+
+    def scores(self) -> list[float]:
+        """The log10 probability of each text: one walk from left to right that carries the state."""
+        arc, fail_pair, last, root_arc, known, fail_word = self.arc, self.fail_pair, self.last, self.root_arc, self.known, self.fail_word
+        out, at = [], 0
+        for size in self.sizes:
+            total = 0.0
+            order, state = 0, 0
+            for word, pair, triple in zip(*(x[at : at + size].tolist() for x in self.tokens), strict=True):
+                if order == 2:
+                    weight = arc[triple]
+                    if weight <= 0:
+                        total += weight
+                        state = pair
+                        continue
+                    total += fail_pair[state]
+                    order, state = 1, last[state]
+                if order == 1:
+                    weight = arc[pair]
+                    if weight <= 0:
+                        total += weight
+                        order, state = 2, pair
+                        continue
+                    total += fail_word[state]
+                total += root_arc[word]
+                order, state = (1, word) if known[word] else (0, 0)
+            out.append(total)
+            at += size
+        return out
+
+
 def asked(chunks: DataFrame, bits: int, word_bits: int, passes: int, turn: int) -> DataFrame:
     """Blocks of distinct n-grams in range ``turn`` of the hashes, with the chunk's own training counts; words come with the first."""
 
@@ -193,20 +256,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found[kind] = np.concatenate([np.zeros(0, np.int64), *(widened(totals, n) for _, _, totals, n in mine)])
         of_word = np.empty(len(c.words), np.int64)
         of_word[np.argsort(c.words.view(np.uint64))] = found[WORD]
-        of_gram = found[GRAM][np.unique(c.grams(), return_inverse=True)[1]]
-        c1, c2, c3 = of_word[c.word], np.zeros(len(c.word)), np.zeros(len(c.word))
-        pairs = int(c.second.sum())
-        c2[c.second], c3[c.third] = of_gram[:pairs], of_gram[pairs:]
-        before = lambda x: np.concatenate([np.zeros(1), x[:-1]])
-        base = (c1 + alpha) / scale
-        # The arcs out of a state that training texts don't have are those of its failure state.
-        p = np.where(c.second, (c2 + prior * base) / (before(c1) + prior), base)
-        p = np.where(c.third, (c3 + prior * p) / (before(c2) + prior), p)
+        _, first, at = np.unique(c.grams(), return_index=True, return_inverse=True)
+        of_gram = found[GRAM]
+        base = (of_word + alpha) / scale
+        machine = Automaton(c, first, at, of_word, of_gram, base, prior)
         n = len(c.sizes)
         of_text = lambda values: np.bincount(c.text, values, n)
         return pa.table({
-            "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": c.sizes, "n_known": of_text(c1 > 0).astype(np.int64),
-            "base_score": of_text(np.log10(base)), "score": of_text(np.log10(p)),
+            "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": c.sizes, "n_known": of_text(of_word[c.word] > 0).astype(np.int64),
+            "base_score": of_text(np.log10(base)[c.word]), "score": np.array(machine.scores()),
         })
 
     scored = chunks.groupBy("chunk").cogroup(answers.select("chunk", "kind", "part", "turn", "totals", "size").groupBy("chunk")).applyInArrow(score, SCORED)

@@ -3,8 +3,8 @@
 One pass finds candidates in every whole text: the three base kinds, and bare strings that look
 random. Candidate values travel as hashes. Three partial aggregations count, for each hash, the
 documents, repositories and owners that hold it, so a value that is everywhere reaches the last
-one as one row a task. A value seen as a secret by at most ``max_owners`` owners looks live; one
-that more owners share is a widely copied example. The verdicts go back to the documents:
+one as one row a task. A secret of one owner looks live, in however many of the owner's repositories; so does one of up to
+``max_owners`` owners in at most ``max_repos`` repositories. What is spread more widely is an example. The verdicts go back to the documents:
 
 - ``live``: the value of a base candidate that looks live;
 - ``sighted``: a bare string whose value is a live-looking secret somewhere else in the corpus. Bare are whole
@@ -115,9 +115,15 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("documents").alias("documents"), F.max("secret").alias("secret"))
 
 
-def judged(scanned: DataFrame, max_owners: int) -> DataFrame:
-    """(uid, added, n_live, n_example): what the method adds to each row that has secrets or sightings."""
-    secret = ownership(scanned).filter("secret").select("hash", (F.col("owners") <= max_owners).alias("live"))
+def judged(scanned: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """(uid, added, n_live, n_example, owners, repos): what the method adds to each row that has secrets or sightings.
+
+    A value that one owner holds, in however many repositories, is that owner's. One that up to ``max_owners`` hold is live as long as it
+    lies in no more than ``max_repos`` repositories; whatever is copied more widely is an example.
+    """
+    own = F.col("owners") == 1
+    few = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    secret = ownership(scanned).filter("secret").select("hash", (own | few).alias("live"), "owners", "repos")
     # A secret that very many rows hold is dealt over SALTS tasks; the verdicts, one row a hash, go to all of them.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     each = scanned.select("uid", F.pmod("uid", F.lit(SALTS)).cast("int").alias("salt"), F.inline("found")).join(secret.select("*", salts), ["hash", "salt"])
@@ -127,6 +133,8 @@ def judged(scanned: DataFrame, max_owners: int) -> DataFrame:
         F.collect_list(span).alias("added"),
         F.count_if(F.col("live") & counted).alias("n_live"),
         F.count_if(~F.col("live") & counted).alias("n_example"),
+        F.max(F.when(counted, F.col("owners"))).alias("owners"),
+        F.max(F.when(counted, F.col("repos"))).alias("repos"),
     )
 
 
@@ -135,11 +143,11 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s.kind), s.start, s.end)), ",")
 
 
-def find_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo: Column | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
+def find_secrets(docs: DataFrame, max_owners: int = 2, max_repos: int = 4, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo: Column | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, and the most owners and repositories that hold one of its secrets."""
     scratch = Scratch(docs.sparkSession, "secrets")
     scanned = scratch.save(scan(docs, id_col, text_col, F.col(owner_col), F.col(owner_col) if repo is None else repo), "scanned")
-    rows = scanned.join(judged(scanned, max_owners), "uid", "left")
+    rows = scanned.join(judged(scanned, max_owners, max_repos), "uid", "left")
     of_kind = lambda k: F.filter("base", lambda s: s.kind == k)
     count = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
     every = F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
@@ -150,10 +158,12 @@ def find_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", t
         _joined(every).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        F.coalesce("owners", F.lit(0)).alias("most_owners"),
+        F.coalesce("repos", F.lit(0)).alias("most_repos"),
     )
 
 
-def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo: Column | None = None) -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = 2, max_repos: int = 4, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo: Column | None = None) -> DataFrame:
     """The same rows and columns; live-looking values in the text, overlapping ones as one, are replaced by ``mask``, widely copied examples stay."""
     scratch = Scratch(docs.sparkSession, "redact")
     names = docs.columns
@@ -161,15 +171,28 @@ def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = 2, id_col:
     row = free_name("row", names)
     whole = docs.select(*own, F.struct(*own).alias(row))
     scanned = scratch.save(scan(whole, id_col, text_col, F.col(owner_col), F.col(owner_col) if repo is None else repo, row), "scanned")
-    live = judged(scanned, max_owners).filter("n_live > 0 or size(added) > 0").select("uid", "added")
+    live = judged(scanned, max_owners, max_repos).filter("n_live > 0 or size(added) > 0").select("uid", "added")
     rows = scanned.select("uid", "kept").join(live, "uid", "left")
-    # Front to back: a span that begins inside what is already masked only makes the masked part longer.
-    text = F.col(f"kept.{quoted(text_col)}")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, s: F.when(
-        s.start >= a.at,
-        F.struct(F.concat(a.out, F.substring(text, a.at + 1, s.start - a.at), F.lit(mask)).alias("out"), s.end.alias("at")),
-    ).otherwise(F.struct(a.out.alias("out"), F.greatest(a.at, s.end).alias("at")))
-    done = lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text)))
-    cleaned = F.when(F.col("added").isNull(), text).otherwise(F.aggregate(F.array_sort("added"), start, step, done))
-    return rows.select(*(cleaned.alias(c) if c == text_col else F.col(f"kept.{quoted(c)}").alias(c) for c in names))
+    columns = [F.col(f"kept.{quoted(c)}").alias(f"k{i}") for i, c in enumerate(names)]
+    flat = rows.select(*columns, F.array_sort("added").alias("added"))
+    place = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, spans = batch.columns[:-1], batch.column(len(names))
+            texts = [x.as_py() if not s.is_valid else masked(x.as_py(), s.as_py(), mask) for x, s in zip(columns[place], spans, strict=True)]
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    clean = flat.mapInArrow(run, StructType(flat.schema.fields[:-1]))
+    return clean.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)))
+
+
+def masked(text: str, spans: list[dict], mask: str) -> str:
+    """text with a mask in the place of sorted spans; one that begins inside what is already masked only makes the masked part longer."""
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], mask]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
