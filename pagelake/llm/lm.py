@@ -136,56 +136,60 @@ class Automaton:
     """
 
     NO_ARC = 1.0
+    #: Tokens whose arcs are looked up at once.
+    SLICE = 1 << 16
 
     def __init__(self, chunk: Chunk, first: np.ndarray, at: np.ndarray, of_word: np.ndarray, of_gram: np.ndarray, base: np.ndarray, prior: float):
         n, pairs = len(chunk.word), int(chunk.second.sum())
-        pair, triple = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        pair, triple = np.zeros(n, np.int32), np.zeros(n, np.int32)
         pair[chunk.second], triple[chunk.third] = at[:pairs], at[pairs:]
         place = np.concatenate([np.flatnonzero(chunk.second), np.flatnonzero(chunk.third)])[first] if len(first) else first
         longer = first >= pairs
-        word, before = chunk.word[place], chunk.word[place - 1]
-        # Of a pair its own, of a triple its last pair's.
+        # Of a pair its own count, of a triple its last pair's.
         own = np.where(longer, of_gram[pair[place]], of_gram) if len(first) else of_gram
-        p = (own + prior * base[word]) / (of_word[before] + prior)
-        context = of_gram[pair[place - 1]] if len(first) else of_gram
-        p = np.where(longer, (of_gram + prior * p) / (context + prior), p)
-        self.arc = np.where(of_gram > 0, np.log10(p), self.NO_ARC).tolist()
-        self.fail_pair = np.log10(prior / (of_gram + prior)).tolist()
-        self.last = word.tolist()
-        self.root_arc = np.log10(base).tolist()
-        self.known = (of_word > 0).tolist()
-        self.fail_word = np.log10(prior / (of_word + prior)).tolist()
-        self.tokens = (chunk.word, pair, triple)
-        self.sizes = chunk.sizes.tolist()
+        p = (own + prior * base[chunk.word[place]]) / (of_word[chunk.word[place - 1]] + prior)
+        del own
+        if len(first):
+            higher = place[longer]
+            p[longer] = (of_gram[longer] + prior * p[longer]) / (of_gram[pair[higher - 1]] + prior)
+        self.arc = np.where(of_gram > 0, np.log10(p), self.NO_ARC)
+        self.fail_pair = np.log10(prior / (of_gram + prior))
+        self.root_arc = np.log10(base)
+        self.known = of_word > 0
+        self.fail_word = np.log10(prior / (of_word + prior))
+        self.goes_on, self.word, self.pair, self.triple = chunk.second, chunk.word, pair, triple
+
+    def steps(self) -> Iterator[tuple]:
+        """For each token: whether it goes on a text, its arcs' weights out of a pair's state, a word's and the root, and the failure arcs of the pair's and the word's state that it may lead to, and whether the latter is there."""
+        for at in range(0, len(self.word), self.SLICE):
+            word, pair, triple = (x[at : at + self.SLICE] for x in (self.word, self.pair, self.triple))
+            tables = (self.goes_on[at : at + self.SLICE], *((t[i] if len(t) else np.zeros(len(i))) for t, i in ((self.arc, triple), (self.arc, pair), (self.root_arc, word), (self.fail_pair, pair), (self.fail_word, word), (self.known, word))))
+            yield from zip(*(t.tolist() for t in tables), strict=True)
 
     def scores(self) -> list[float]:
-        """The log10 probability of each text: one walk from left to right that carries the state."""
-        arc, fail_pair, last, root_arc, known, fail_word = self.arc, self.fail_pair, self.last, self.root_arc, self.known, self.fail_word
-        out, at = [], 0
-        for size in self.sizes:
-            total = 0.0
-            order, state = 0, 0
-            for word, pair, triple in zip(*(x[at : at + size].tolist() for x in self.tokens), strict=True):
-                if order == 2:
-                    weight = arc[triple]
-                    if weight <= 0:
-                        total += weight
-                        state = pair
-                        continue
-                    total += fail_pair[state]
-                    order, state = 1, last[state]
-                if order == 1:
-                    weight = arc[pair]
-                    if weight <= 0:
-                        total += weight
-                        order, state = 2, pair
-                        continue
-                    total += fail_word[state]
-                total += root_arc[word]
-                order, state = (1, word) if known[word] else (0, 0)
-            out.append(total)
-            at += size
-        return out
+        """The log10 probability of each text: one walk from left to right that carries the state, its order and its failure arcs."""
+        out: list[float] = []
+        total, order, down, root = 0.0, 0, 0.0, 0.0
+        for goes_on, of_pair, of_word, of_root, pair_fails, word_fails, known in self.steps():
+            if not goes_on:
+                out.append(total)
+                total, order = 0.0, 0
+            if order == 2:
+                if of_pair <= 0:
+                    total += of_pair
+                    down, root = pair_fails, word_fails
+                    continue
+                total += down
+                order = 1
+            if order == 1:
+                if of_word <= 0:
+                    total += of_word
+                    order, down, root = 2, pair_fails, word_fails
+                    continue
+                total += root
+            total += of_root
+            order, root = int(known), word_fails
+        return [*out, total][1:]
 
 
 def asked(chunks: DataFrame, bits: int, word_bits: int, passes: int, turn: int) -> DataFrame:
