@@ -20,7 +20,7 @@ hash of its text, so documents of different ids never meet in one.
 
 Nulls and edge cases: a null or blank text has no words: its fingerprint is empty, 1 like another
 empty one and 0 like any other; documents are ordered by id, null first, and rows of equal id by text hash; rows with equal id and text
-are one document, returned once for each row; other columns are ignored; an empty table gives an
+are one document, returned once for each row; very long texts are counted whole; other columns are ignored; an empty table gives an
 empty result. A document that is alone follows itself.
 """
 

@@ -2,14 +2,16 @@
 
 Every vector is represented by the order of its ``prefix`` nearest pivots. Pivots come from a
 bounded sample: the ``sample`` vectors with the smallest hash of their id, of which the first
-``pivots`` are used. Vectors of unequal norm are lifted by one coordinate to the largest
+``pivots`` are the pivots. Vectors of unequal norm are lifted by one coordinate to the largest
 norm, so that nearest means largest inner product. A vector meets those with its own number of
-components; the sample is of the commonest number, other blocks take as pivots their vectors with the smallest ids. All vectors are indexed, in blocks of about ``block``; a block posts
+components; the sample is of the commonest number. All vectors are indexed, in blocks of about ``block``; a block posts
 (vector, rank) in its pivots' inverted files. A query walks the files of its own nearest pivots;
 the footrule distance of two prefixes (absent pivots at rank ``prefix``) is a constant less
 2 (prefix - max of both ranks) for every pivot they share, so what the files add up ranks a block
-by footrule. The best ``keep`` share of each block is ranked again by the exact inner product of
-the original vectors in double precision. Queries meet all blocks in blocks of their own, so a task holds
+by footrule. The best share of each block is ranked again by the exact inner product of
+the original vectors in double precision. How large a share is measured on the sample: ``PROBES`` of its vectors are searched in a block made
+of it, exactly and by footrule, and the share is what keeps ``target`` of the nearest, as many of them as a block of the table holds on average. Where vectors have
+many components or no structure it grows, up to the whole block; ``keep`` sets it, and ``keep`` = 1 is the exact search. Blocks of other numbers of components are ranked as a whole. Queries meet all blocks in blocks of their own, so a task holds
 one block of each; blocks are dealt by hash, so equal vectors don't meet in one of them.
 
 Nulls and edge cases: vectors that are null, zero, or hold null or
@@ -63,18 +65,39 @@ class Block:
         self.rank = by % order.shape[1]
         self.start = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
 
-    def search(self, q: np.ndarray, order: np.ndarray, keep: int) -> np.ndarray:
-        """Rows of the ``keep`` smallest footrule distances to a query's prefix."""
-        if keep >= self.n:
-            return np.arange(self.n)
+    def gains(self, order: np.ndarray) -> np.ndarray:
+        """What each row's footrule distance to a query's prefix is less than the largest one."""
         spans = [slice(self.start[p], self.start[p + 1]) for p in order]
         rows = np.concatenate([self.row[s] for s in spans])
         gain = np.concatenate([self.prefix - np.maximum(self.rank[s], r) for r, s in enumerate(spans)])
-        total = np.bincount(rows, gain, self.n)
-        return np.argpartition(-total, keep - 1)[:keep]
+        return np.bincount(rows, gain, self.n)
+
+    def search(self, order: np.ndarray, keep: int) -> np.ndarray:
+        """Rows of the ``keep`` smallest footrule distances to a query's prefix."""
+        return np.arange(self.n) if keep >= self.n else np.argpartition(-self.gains(order), keep - 1)[:keep]
+
+
+#: Vectors of the sample that are searched to measure the share.
+PROBES = 128
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = 256, prefix: int = 32, keep: float = 0.35, sample: int = 4096, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def measured_share(x: np.ndarray, pivots: np.ndarray, longest: float, prefix: int, k: int, target: float) -> float:
+    """The least share of a block, best by footrule first, that holds ``target`` of the k nearest of its probes."""
+    if len(x) <= k + 1:
+        return 1.0
+    index = Block(x, pivots, longest, prefix)
+    asked = np.arange(len(x))[-PROBES:]
+    places = []
+    for i, order in zip(asked, prefixes(x[asked], pivots, longest, prefix, False), strict=True):
+        rank = np.empty(len(x), np.int64)
+        rank[np.argsort(-index.gains(order), kind="stable")] = np.arange(len(x))
+        score = x @ x[i]
+        score[i] = -np.inf
+        places.append(rank[np.argpartition(-score, k - 1)[:k]])
+    return float(np.quantile(np.concatenate(places) + 1, target, method="higher") / len(x))
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = 256, prefix: int = 32, keep: float | None = None, target: float = 0.97, sample: int = 4096, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score. ``queries`` is a condition on the column vec_id."""
     scratch = Scratch(vectors.sparkSession, "permutation-index")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & valid("v"))
@@ -85,8 +108,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = 256,
     sizes = scratch.save(sizes.select("d", "n", "squares", parts(F.col("n")).alias("blocks"), parts(F.col("asked")).alias("teams")), "sizes")
     common = sizes.orderBy(F.desc("n"), "d").first()
     d, longest = (common["d"], float(np.sqrt(common["squares"]))) if common else (1, 1.0)
-    picked = rows.filter(F.col("d") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(sample).select("v").limit(pivots).collect()  # at most ``pivots`` vectors
-    pivot_data = vectors.sparkSession.sparkContext.broadcast(lifted(np.array([r["v"] for r in picked], dtype=np.float64).reshape(-1, d), longest))
+    picked = rows.filter(F.col("d") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(sample).select("v").collect()  # at most ``sample`` vectors
+    drawn = np.array([r["v"] for r in picked], dtype=np.float64).reshape(-1, d)
+    centres = lifted(drawn[:pivots], longest)
+    held = max(1, ceil(k * min(1.0, len(drawn) / common["n"]))) if common else k
+    share = keep if keep is not None else measured_share(drawn, centres, longest, min(prefix, len(centres)), held, target)
+    pivot_data = vectors.sparkSession.sparkContext.broadcast(centres)
     dealt = rows.join(bounded(sizes.select("d", "blocks", "teams"), BROADCAST_ROWS), "d")
     deal = lambda parts, seed: F.pmod(F.xxhash64("uid", F.lit(seed)), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
@@ -100,18 +127,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = 256,
             return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in columns})
         data, asked_data = np.stack(x["v"].to_numpy()).astype(np.float64), np.stack(q["v"].to_numpy()).astype(np.float64)
         ids, uids = x["vec_id"].to_numpy(), x["uid"].to_numpy()
-        centre, most_long = pivot_data.value, longest
-        if data.shape[1] != d:
-            most_long = float(np.sqrt(np.einsum("ij,ij->i", data, data).max()))
-            centre = lifted(data[np.lexsort((uids, ids))[:pivots]], most_long)
-        width = min(prefix, len(centre))
-        index = Block(data, centre, most_long, width)
-        orders = prefixes(asked_data, centre, most_long, width, False)
-        out = []
         # The best of a block, and enough of them to lose none of the k to the query itself.
-        most = max(k + 1, ceil(keep * len(x)))
+        most = max(k + 1, ceil(share * len(x))) if data.shape[1] == d else len(x)
+        if most < len(x):
+            width = min(prefix, len(pivot_data.value))
+            index = Block(data, pivot_data.value, longest, width)
+            orders = prefixes(asked_data, pivot_data.value, longest, width, False)
+        else:
+            index, orders = None, asked_data
+        out = []
         for uid, name, v, order in zip(q["uid"].to_numpy(), q["vec_id"].to_numpy(), asked_data, orders, strict=True):
-            rows_ = index.search(v, order, most)
+            rows_ = index.search(order, most) if index else np.arange(len(x))
             rows_ = rows_[uids[rows_] != uid]
             score = np.einsum("ij,j->i", data[rows_], v)
             best = np.lexsort((ids[rows_], -score))[:k]

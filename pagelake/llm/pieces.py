@@ -13,7 +13,8 @@ text is committed word by word, and words that repeat are looked up.
 Characters without a piece become their UTF-8 byte pieces. Nulls and edge cases: a null text has
 no ids, like the empty one; decoding maps ids to bytes, replaces invalid UTF-8 and takes off the
 space that encoding puts in front; a text that holds the space mark itself (U+2581) decodes to spaces;
-repeated rows are encoded each; other columns are ignored; an empty table gives an empty result.
+repeated rows are encoded each; a very long text takes time in proportion to it, also one without any space, of which only the window
+and the ids are held; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -161,32 +162,44 @@ class Model:
 
     def _path(self, text: str) -> Iterator[int]:
         """Token ids of a text without inner word boundaries; unknown characters are -1 - code point. Holds a window of positions only."""
-        usable, longest, compatible = self.usable, self.longest, self.compatible
+        usable, longest, good, compatible = self.usable, self.longest, self.good, self.compatible
         last: dict[int, int] = {}  # position -> token that ends there
         begin: dict[int, int] = {}  # position -> where that token starts
         done, n = 0, len(text)
         for i in range(1, n + 1):
-            for j in range(i - 1, max(done, i - longest) - 1, -1):
+            for j in range(i - 1, (i - longest if i - longest > done else done) - 1, -1):
                 t = usable.get(text[j:i])
-                if t is not None and (j == 0 or (j in last and (last[j] < 0 or compatible(last[j], t)))):
-                    break
+                if t is not None:
+                    if j == 0:
+                        break
+                    before = last.get(j)
+                    if before is not None:
+                        if before < 0:
+                            break
+                        fits = good.get(before * 65536 + t)
+                        if fits or fits is None and compatible(before, t):
+                            break
             else:
                 j, t = i - 1, -1 - ord(text[i - 1])
             last[i], begin[i] = t, j
-            if i % LONG == 0 or i == n:
-                # The boundary that all paths of positions in the window share.
-                ends = {i} if i == n else set(range(max(done + 1, i - longest + 1), i + 1))
+            if i == n:
+                common = n
+            elif i % LONG:
+                continue
+            else:  # the boundary that all paths of positions in the window share
+                ends = set(range(max(done + 1, i - longest + 1), i + 1))
                 while len(ends) > 1:
                     top = max(ends)
                     ends.remove(top)
                     ends.add(begin.get(top, done))
                 (common,) = ends
-                out = []
-                p = common
-                while p > done:
-                    out.append(last[p])
-                    p = begin[p]
-                yield from reversed(out)
+            out = []
+            p = common
+            while p > done:
+                out.append(last[p])
+                p = begin[p]
+            yield from reversed(out)
+            if i < n:
                 for p in range(done, common):
                     last.pop(p, None)
                     begin.pop(p, None)
@@ -194,31 +207,8 @@ class Model:
 
     def word(self, text: str) -> bytes:
         """Ids of a word as little-endian unsigned 32-bit bytes."""
-        if len(text) > LONG:
-            return b"".join([self.packed[t] if t >= 0 else self._fallback(chr(-1 - t)) for t in self._path(text)])
-        # The same trellis for a word that fits the window as a whole.
-        usable, good, compatible, longest = self.usable, self.good, self.compatible, self.longest
-        last, begin = [0], [0]
-        for i in range(1, len(text) + 1):
-            for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
-                t = usable.get(text[j:i])
-                if t is not None:
-                    if j == 0 or last[j] < 0:
-                        break
-                    fits = good.get(last[j] * 65536 + t)
-                    if fits or fits is None and compatible(last[j], t):
-                        break
-            else:
-                j, t = i - 1, -1 - ord(text[i - 1])
-            last.append(t)
-            begin.append(j)
-        out = []
-        i = len(text)
-        while i:
-            t = last[i]
-            out.append(self.packed[t] if t >= 0 else self._fallback(text[i - 1]))
-            i = begin[i]
-        return b"".join(out[::-1])
+        packed, fallback = self.packed, self._fallback
+        return b"".join([packed[t] if t >= 0 else fallback(chr(-1 - t)) for t in self._path(text)])
 
     def _fallback(self, char: str) -> bytes:
         return b"".join([self.bytes.get(b, self.unknown).to_bytes(4, "little") for b in char.encode("utf-8", "surrogatepass")])

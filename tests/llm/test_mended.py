@@ -153,3 +153,50 @@ def test_the_walk_equals_the_formula(spark):
 
     for p, score in zip(parts, got, strict=True):
         assert score == pytest.approx(sum(log10(probability(p[max(0, i - 2) : i + 1])) for i in range(len(p))), abs=1e-9)
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+
+def recall(spark, x, every=40, k=20, **options):
+    from pagelake.llm import permutation_index
+
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found: dict[int, set] = {}
+    for r in permutation_index.nearest(rows, F.col("vec_id") % every == 0, k, **options).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    shares = []
+    for q, got in found.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        least = np.partition(score, -k)[-k]
+        shares.append(len([i for i in got if score[i] >= least - 1e-9]) / k)
+    assert len(found) == len(range(0, len(x), every))
+    return float(np.mean(shares))
+
+
+@pytest.mark.parametrize("kind", ["many components", "few components", "clusters", "norms"])
+def test_the_share_follows_the_data(spark, kind):
+    r = np.random.default_rng(5)
+    if kind == "many components":
+        x = r.normal(size=(6000, 256))
+    elif kind == "few components":
+        x = r.normal(size=(5000, 8))
+    elif kind == "clusters":
+        x = r.normal(size=(50, 64))[r.integers(0, 50, 5000)] + 0.2 * r.normal(size=(5000, 64))
+    else:
+        x = r.normal(size=(5000, 48)) * r.lognormal(0, 1, (5000, 1))
+    assert recall(spark, x) >= 0.9
+
+
+def test_the_whole_block_is_exact(spark):
+    x = np.random.default_rng(6).normal(size=(1500, 128))
+    assert recall(spark, x, keep=1.0, block=400) == 1
+
+
+def test_repeated_ids_are_candidates_each(spark):
+    from pagelake.llm import permutation_index
+
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (1, [0.25, 1.0]), (2, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    got = permutation_index.nearest(rows, F.col("vec_id") == 0, 20).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 0.5), (1, 0.5), (1, 0.25)]
