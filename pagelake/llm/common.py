@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +89,24 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def lean(run):
+    """run, a function of a task's batches, that gives unused memory back to the system when the task ends.
+
+    Python workers stay for the next stages, beside a JVM that may need the room.
+    """
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def quoted(name: str) -> str:
     """A column's name for functions that parse names."""
     return "`" + name.replace("`", "``") + "`"

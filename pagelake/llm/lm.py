@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import _STEP, Scratch, mix64, text_blocks, word_hashes
+from pagelake.llm.common import _STEP, lean, mix64, Scratch, text_blocks, word_hashes
 
 #: Weight of the next lower order, in occurrences of the state.
 PRIOR = 32.0
@@ -100,7 +100,7 @@ def coded(rows: DataFrame, chunk_bytes: int) -> DataFrame:
         if parts:
             yield made()
 
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, CODED)
+    return rows.select("doc_id", "held_out", "text").mapInArrow(lean(run), CODED)
 
 
 class Chunk:
@@ -217,7 +217,7 @@ def asked(chunks: DataFrame, bits: int, word_bits: int, passes: int, turn: int)
                 out += blocks(GRAM, row["chunk"], keys, np.bincount(at, c.at_grams(train)[mine], len(keys)), bits)
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True) if out else [[]] * 5, ASKED_TYPES, strict=True)], schema=ASKED_TYPES)
 
-    return chunks.select("chunk", "held_out", "sizes", "words", "tokens").mapInArrow(run, ASKED)
+    return chunks.select("chunk", "held_out", "sizes", "words", "tokens").mapInArrow(lean(run), ASKED)
 
 
 def answered(blocks: DataFrame) -> DataFrame:

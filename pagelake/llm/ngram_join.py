@@ -30,7 +30,7 @@ least num/den. The join is exact; every stage is a shuffle on an evenly spread k
 Nulls and edge cases: a null or blank text has an empty set, links with nothing and is its own
 component; fewer than five words make one shingle of the whole sequence; rows with equal doc_id
 are one node of the result and each row is returned; rows with a null doc_id have a null
-component and link with nothing; other columns are ignored; an empty table gives an empty result.
+component and link with nothing; a very long text is shingled whole; shingles are compared as 64-bit hashes that mix all bytes of their words; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import Scratch, bounded, components, mix64, shingle_sets
+from pagelake.llm.common import bounded, components, lean, mix64, Scratch, shingle_sets
 
 SHINGLE = 5
 #: A hash in the extended prefixes of at most so many nodes is rare.
@@ -139,7 +139,7 @@ def shingled(docs: DataFrame, num: int, den: int, k: int = SHINGLE) -> DataFrame
                 names=["doc_id", "n", "s1", "s2", "bits", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bits binary, prefix array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, s1 long, s2 long, bits binary, prefix array<long>")
 
 
 @cache
@@ -158,7 +158,7 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
                     part = s[at : at + 100_000].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(s))), pa.array(part)], names=["doc_id", "n", "token"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, token long")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, token long")
 
 
 def full_prefixes(gathered: DataFrame, num: int, den: int) -> DataFrame:
@@ -197,7 +197,7 @@ def full_prefixes(gathered: DataFrame, num: int, den: int) -> DataFrame:
             if sigs:
                 yield made(sigs, docs)
 
-    return gathered.mapInArrow(run, "sig long, doc long")
+    return gathered.mapInArrow(lean(run), "sig long, doc long")
 
 
 def entries(nodes: DataFrame, docs: DataFrame, num: int, den: int, k: int, rare: int, scratch: Scratch) -> DataFrame:
@@ -231,7 +231,7 @@ def possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
             yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
 
     fit = pairs.filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
-    return fit.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return fit.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(lean(run), "a long, b long")
 
 
 def family_pairs(scratch: Scratch, long_: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
@@ -291,7 +291,7 @@ def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, k: int = SH
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, k: int = SHINGLE, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

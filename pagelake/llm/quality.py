@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pagelake.llm.common import Scratch, bounded, quoted, text_blocks
+from pagelake.llm.common import bounded, lean, quoted, Scratch, text_blocks
 
 BITS = 20
 RATIOS = 6
@@ -143,7 +143,8 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str, tex
     reach the driver.
     """
     picked = labels.select(F.col("doc_id").cast("long").alias("__id"), (1 - F.col("quality").cast("int")).alias("is_low"), F.col("toxic").cast("int").alias("is_toxic"))
-    picked = picked.dropna().dropDuplicates(["__id"]).orderBy(F.xxhash64("__id")).limit(sample)
+    # Of several labels of one id the smallest counts.
+    picked = picked.dropna().groupBy("__id").agg(F.min(F.struct("is_low", "is_toxic")).alias("v")).select("__id", "v.*").orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "__id").select("__id", "is_low", "is_toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +154,7 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str, tex
                 hashed = pa.array([h for h, _ in found], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], hashed, pa.array([r.tolist() for _, r in found], pa.list_(pa.float64()))], names=["id", "is_low", "is_toxic", "hashed", "ratios"])
 
-    seen = scratch.save(rows.mapInArrow(run, "id long, is_low int, is_toxic int, hashed array<int>, ratios array<double>"), "labelled")
+    seen = scratch.save(rows.mapInArrow(lean(run), "id long, is_low int, is_toxic int, hashed array<int>, ratios array<double>"), "labelled")
     n, low, toxic = seen.agg(F.count("*"), F.avg("is_low"), F.avg("is_toxic")).first()
     if not n:
         return NONE, NONE
@@ -173,7 +174,7 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, id_col: str, tex
             hashed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[good], pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], hashed, batch.column(4)], names=batch.schema.names)
 
-    got = seen.mapInArrow(cut, seen.schema).toPandas().sort_values("id", kind="stable").drop_duplicates("id")
+    got = seen.mapInArrow(lean(cut), seen.schema).toPandas().sort_values("id", kind="stable").drop_duplicates("id")
     hashed, ratios = [np.asarray(h, dtype=np.int32) for h in got["hashed"]], np.stack(got["ratios"].to_numpy())
     return tuple(fit(hashed, ratios, got[c].to_numpy().astype(np.float64)) for c in ("is_low", "is_toxic"))
 
@@ -192,7 +193,7 @@ def scores(docs: DataFrame, models, text_col: str, keep: list[str]) -> DataFrame
 
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = StructType([*(StructField(c, rows.schema[c].dataType) for c in keep), StructField("low", DoubleType()), StructField("toxic", DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _sigmoid(x: Column | str) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pagelake.llm.common import Scratch, free_name, quoted
+from pagelake.llm.common import free_name, lean, quoted, Scratch
 
 #: Fixed values of the contract: kinds in their order, patterns and least lengths.
 KINDS = ["assign", "access", "hex", "live", "sighted"]
@@ -104,7 +104,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner: Column, repo: Colum
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = StructType.fromDDL(SCANNED)
-    return rows.mapInArrow(run, schema.add("kept", docs.schema[keep].dataType) if keep else schema)
+    return rows.mapInArrow(lean(run), schema.add("kept", docs.schema[keep].dataType) if keep else schema)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = 2, max_rep
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    clean = flat.mapInArrow(run, StructType(flat.schema.fields[:-1]))
+    clean = flat.mapInArrow(lean(run), StructType(flat.schema.fields[:-1]))
     return clean.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)))
 
 
