@@ -52,7 +52,7 @@ def test_run_and_queries(spark, folder):
     import __spark_entry__ as entry
 
     assert corpus_pipeline.run(spark, folder).count() > 100
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in entry.queries() if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in entry.queries() if q.startswith("op")}
     assert "pipeline" in entry.queries()
 
 
