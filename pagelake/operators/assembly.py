@@ -71,3 +71,11 @@ def gesture_points(samples: DataFrame) -> DataFrame:
     """Points of gestures that were not cancelled: samples (gesture, at, seq, phase, x, y), earlier ones of an event first."""
     undone = samples.filter("phase = 'CANCEL'").select("gesture").distinct()
     return samples.filter("phase <> 'CANCEL'").join(undone, "gesture", "left_anti").orderBy("gesture", "at", "seq")
+
+
+def visible_pages(books: DataFrame, marks: DataFrame) -> DataFrame:
+    """(fingerprint, page_index): the marked pages of books (fingerprint, page_count, only_marks) that show those only, all pages of the others."""
+    n = F.col("page_count")
+    every = books.filter(~F.col("only_marks") & (n > 0)).select("fingerprint", F.explode(F.sequence(F.lit(0), n - 1)).alias("page_index"))
+    some = marks.select("fingerprint", "page_index").distinct().join(books.filter("only_marks").select("fingerprint", "page_count"), "fingerprint")
+    return every.unionByName(some.select("fingerprint", F.col("page_index").cast("int").alias("page_index")))

@@ -161,3 +161,21 @@ def edit_history(edits: DataFrame) -> DataFrame:
         return pd.DataFrame({"fingerprint": [log["fingerprint"].iloc[0]], "page_index": [log["page_index"].iloc[0]], "value": [now], "can_undo": [bool(undo)], "can_redo": [bool(redo)]})
 
     return edits.groupBy("fingerprint", "page_index").applyInPandas(fold, "fingerprint string, page_index int, value array<string>, can_undo boolean, can_redo boolean")
+
+
+def without(strokes: DataFrame, selected: DataFrame) -> DataFrame:
+    """Strokes that are not selected (fingerprint, page_index, ord)."""
+    keys = ["fingerprint", "page_index", "ord"]
+    return strokes.join(selected.select(keys).distinct(), keys, "left_anti")
+
+
+def inked_pages(strokes: DataFrame) -> DataFrame:
+    """(fingerprint, page_index) of pages with a stroke that has points."""
+    return strokes.filter(F.size("points") > 0).select("fingerprint", "page_index").distinct()
+
+
+def shape_corners(samples: DataFrame) -> DataFrame:
+    """(gesture, first, last): a shape is drawn between a gesture's first and last sample (gesture, at, seq, x, y)."""
+    point = F.struct("x", "y")
+    order = F.struct("at", "seq")
+    return samples.groupBy("gesture").agg(F.min_by(point, order).alias("first"), F.max_by(point, order).alias("last"))

@@ -158,3 +158,40 @@ def recovered(state: Export | None, pending_: Export | None, length: int | None,
         return state, None
     began_here = pending_.working_length == state.working_length
     return (state, state.working_length) if began_here and excess >= 0 else again
+
+
+# ---------------------------------------------------------------- recognised lines
+
+
+def recognised_blocks(lines: DataFrame) -> DataFrame:
+    """Lines (left, top, right, bottom in pixels, or null; width and height of the bitmap) with a box and text; boxes as shares of the bitmap, inside it."""
+    share = lambda side, size: F.least(F.greatest(F.col(side) / F.greatest(F.col(size), F.lit(1)).cast("double"), F.lit(0.0)), F.lit(1.0))
+    blank = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "") == ""
+    boxed = lines.filter(F.col("left").isNotNull() & F.col("top").isNotNull() & F.col("right").isNotNull() & F.col("bottom").isNotNull() & ~blank)
+    return boxed.withColumns({side: share(side, size) for side, size in (("left", "width"), ("top", "height"), ("right", "width"), ("bottom", "height"))})
+
+
+def completed(pages: DataFrame) -> DataFrame:
+    """(fingerprint, completed): pages that have an entry, an empty one included."""
+    return pages.groupBy("fingerprint").agg(F.countDistinct("page_index").alias("completed"))
+
+
+def page_texts(blocks: DataFrame) -> DataFrame:
+    """(fingerprint, page_index, text): the blocks of a page, joined by a space in their order."""
+    each = blocks.groupBy("fingerprint", "page_index").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("b"))
+    return each.select("fingerprint", "page_index", F.array_join(F.transform("b", lambda x: x.text), " ").alias("text"))
+
+
+def natural_widths(runs: DataFrame) -> DataFrame:
+    """(line, natural_width): the widths of a line's font runs, at font size 1."""
+    return runs.groupBy("line").agg(F.sum("width").alias("natural_width"))
+
+
+def reported(steps: DataFrame, every: int = 5) -> DataFrame:
+    """Progress (page, total, force) that is shown: every fifth page, the last, and what is forced."""
+    return steps.filter(F.col("force") | (F.col("page") % every == 0) | (F.col("page") == F.col("total")))
+
+
+def import_legacy(pages: DataFrame, legacy: DataFrame, keys: list[str] = ("fingerprint",)) -> DataFrame:
+    """Pages of documents, and those of an older cache (same columns) for documents that have none yet."""
+    return pages.unionByName(legacy.join(pages.select(*keys).distinct(), list(keys), "left_anti").select(pages.columns))

@@ -98,3 +98,102 @@ def newest(rows: DataFrame, keep: int, scope: list[str], order: list[Column]) ->
 
 def toc(outline: DataFrame) -> DataFrame:
     return outline.orderBy("page_index", "created_at", "ord")
+
+
+#: Titles of entries whose title is blank, by kind.
+DEFAULT_TITLES = {"NOTE": "Notebook", "PDF": "PDF"}
+
+
+def titled(title: Column, kind: Column) -> Column:
+    """A trimmed title, or the kind's default."""
+    t = F.trim(title)
+    return F.when(F.coalesce(t, F.lit("")) != "", t).otherwise(F.when(kind == "NOTE", DEFAULT_TITLES["NOTE"]).otherwise(DEFAULT_TITLES["PDF"]))
+
+
+def changed_folders(folders: DataFrame, changes: DataFrame) -> DataFrame:
+    """(id, name, created_seq, deleted) after changes (seq, op, id, value): create_folder, rename_folder, delete_folder.
+
+    A blank name is refused; a folder that is deleted stays so, and is kept here for those that moved entries into it.
+    """
+    f = changes.filter(F.col("op").isin("create_folder", "rename_folder", "delete_folder"))
+    name = F.when(F.trim("value") != "", F.trim("value"))
+    made = f.groupBy(F.col("id").cast("string").alias("id")).agg(
+        F.min(F.when((F.col("op") == "create_folder") & name.isNotNull(), F.col("seq"))).alias("created_seq"),
+        F.max_by(name, F.when((F.col("op") != "delete_folder") & name.isNotNull(), F.col("seq"))).alias("new_name"),
+        F.max(F.col("op") == "delete_folder").alias("gone"),
+    )
+    old = folders.select(F.col("id").cast("string").alias("id"), "name")
+    both = old.join(made, "id", "full_outer")
+    known = F.col("name").isNotNull()
+    out = both.select("id", F.coalesce("new_name", "name").alias("name"), F.when(known, F.lit(None)).otherwise(F.col("created_seq")).cast("long").alias("created_seq"), F.coalesce("gone", F.lit(False)).alias("deleted"), (known | F.col("created_seq").isNotNull()).alias("there"))
+    return out.filter("there").drop("there")
+
+
+def changed(entries: DataFrame, folders: DataFrame, changes: DataFrame) -> DataFrame:
+    """Entries (fingerprint, title, kind, favorite, folder_id, last_opened_at, last_page, custom_cover) after changes (seq, op, id, value, at).
+
+    create (value: kind) adds a notebook or document unless it is there; rename, favorite (toggle), touch, last_page, move (value: folder), set_cover and clear_cover
+    change one field. For each field the last change counts, toggles by their number, so a book's changes are one
+    partial aggregate and need no order in a task. Changes of books that are not there (yet) change nothing; a folder that isn't there when an entry moves into
+    it, or is deleted afterwards, is none.
+    """
+    born = changes.filter("op = 'create'").groupBy("id").agg(F.min_by(F.struct("value", "at", "seq"), "seq").alias("v"))
+    born = born.join(entries.select(F.col("fingerprint").alias("id")), "id", "left_anti").select(
+        F.col("id").alias("fingerprint"), titled(F.lit(None).cast("string"), F.col("v.value")).alias("title"), F.col("v.value").alias("kind"), F.lit(False).alias("favorite"), F.lit(None).cast("string").alias("folder_id"),
+        F.col("v.at").alias("last_opened_at"), F.lit(0).alias("last_page"), F.lit(False).alias("custom_cover"), F.col("v.seq").alias("__since"),
+    )
+    every = entries.withColumn("__since", F.lit(None).cast("long")).unionByName(born)
+    since = every.select(F.col("fingerprint").alias("id"), "__since")
+    known = changes.join(since, "id").filter(F.col("__since").isNull() | (F.col("seq") > F.col("__since")))
+    of = lambda *ops: F.when(F.col("op").isin(*ops), F.col("seq"))
+    last = known.groupBy(F.col("id").alias("fingerprint")).agg(
+        F.max_by(F.struct("value"), of("rename")).alias("renamed"),
+        F.count_if(F.col("op") == "favorite").alias("toggles"),
+        F.max_by("at", of("touch")).alias("touched"),
+        F.max_by(F.col("value").try_cast("int"), of("last_page")).alias("page"),
+        F.max_by(F.struct("value", "seq"), of("move")).alias("moved"),
+        F.max_by(F.col("op") == "set_cover", of("set_cover", "clear_cover")).alias("cover"),
+    )
+    valid = changed_folders(folders, changes).filter("not deleted").select(F.col("id").alias("__folder"), "created_seq")
+    both = every.join(last, "fingerprint", "left")
+    target = F.when(F.col("moved").isNotNull(), F.col("moved.value")).otherwise(F.col("folder_id"))
+    both = both.withColumn("__target", target).join(valid, F.col("__target") == F.col("__folder"), "left")
+    there = F.col("__folder").isNotNull() & (F.col("created_seq").isNull() | (F.col("moved.seq") > F.col("created_seq")))
+    return both.select(
+        "fingerprint",
+        F.when(F.col("renamed").isNotNull(), titled(F.col("renamed.value"), F.col("kind"))).otherwise(F.col("title")).alias("title"),
+        "kind",
+        (F.col("favorite") != (F.coalesce("toggles", F.lit(0)) % 2 == 1)).alias("favorite"),
+        F.when(there, F.col("__target")).alias("folder_id"),
+        F.coalesce("touched", "last_opened_at").alias("last_opened_at"),
+        F.coalesce(F.greatest("page", F.lit(0)), "last_page").alias("last_page"),
+        F.coalesce("cover", "custom_cover").alias("custom_cover"),
+    )
+
+
+def page_writes(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """(fingerprint, writes): how often the resume page was written; a page that is the same already is not."""
+    steps = changes.filter("op = 'last_page'").select(F.col("id").alias("fingerprint"), "seq", F.col("value").try_cast("int").alias("page"))
+    steps = steps.join(entries.select("fingerprint", "last_page"), "fingerprint")
+    before = F.greatest(F.lag("page").over(Window.partitionBy("fingerprint").orderBy("seq")), F.lit(0))
+    first = F.lag(F.lit(1)).over(Window.partitionBy("fingerprint").orderBy("seq")).isNull()
+    was = F.when(first, F.col("last_page")).otherwise(before)
+    return steps.withColumn("new", F.col("page") != was).groupBy("fingerprint").agg(F.count_if("new").alias("writes"))
+
+
+def marked(bookmarks: DataFrame, toggles: DataFrame) -> DataFrame:
+    """(fingerprint, page_index) of bookmarks after toggles of the same columns: those with an odd number of both."""
+    both = bookmarks.select("fingerprint", "page_index").distinct().unionByName(toggles.select("fingerprint", "page_index"))
+    return both.groupBy("fingerprint", "page_index").agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
+
+
+def current(handles: DataFrame, entries: DataFrame, fields: list[str]) -> DataFrame:
+    """Handles (fingerprint, fields) with what the library has now, else as they are."""
+    now = entries.select("fingerprint", F.lit(True).alias("__there"), *(F.col(f).alias(f"__{f}") for f in fields))
+    out = handles.join(now, "fingerprint", "left")
+    return out.select("fingerprint", *(F.when(F.col("__there"), F.col(f"__{f}")).otherwise(F.col(f)).alias(f) for f in fields))
+
+
+def stickers(items: DataFrame) -> DataFrame:
+    """Newest first."""
+    return items.orderBy(F.desc("created_at"), "ord")

@@ -79,3 +79,14 @@ def pruned(files: DataFrame, keep: int = KEPT_BACKUPS, scope: list[str] = ()) ->
 def reserve(size: Column, least: int, share: int) -> Column:
     """Free space to leave: a constant or a share of the file."""
     return F.greatest(F.lit(least).cast("long"), F.floor(size / share))
+
+
+def clutter(classified: DataFrame) -> DataFrame:
+    """(root, top_name, class): legacy folders, then folders of jobs that nobody knows."""
+    return classified.filter(F.col("class").isin("legacy", "orphan")).select("root", "top_name", "class").distinct()
+
+
+def cleaned(plan: DataFrame, results: DataFrame) -> DataFrame:
+    """One row: bytes freed, folders that failed, folders handled, from a plan and what happened (root, top_name, ok)."""
+    done = plan.filter("action = 'delete'").join(results, ["root", "top_name"])
+    return done.agg(F.coalesce(F.sum(F.when(F.col("ok"), F.col("bytes"))), F.lit(0)).alias("freed"), F.count_if(~F.col("ok")).alias("failed"), F.count("*").alias("handled"))

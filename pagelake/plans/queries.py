@@ -520,15 +520,46 @@ def stroke_duplicate(spark, sf):
     return _mean(ink.duplicate(s, s))
 
 
-@query()
+_HEIGHT = f"greatest(greatest(q.b - q.t, CAST({ink.LINE_HEIGHTS[0]} AS DOUBLE)), greatest(n.b - n.t, CAST({ink.LINE_HEIGHTS[1]} AS DOUBLE)))"
+#: Strokes join the nearest fitting line one after the other.
+_LINES = f"""{_XY},
+    sb AS (SELECT page_index, ord, greatest(min(x) - 0.008, 0.0) AS l, greatest(min(y) - 0.012, 0.0) AS t, least(max(y) + 0.012, 1.0) AS b, row_number() OVER (PARTITION BY page_index ORDER BY ord) AS i FROM e GROUP BY page_index, ord),
+    g AS (
+        SELECT page_index, i, ord, l, t, b, 1 AS line, [{{'t': t, 'b': b}}] AS lines FROM sb WHERE i = 1
+        UNION ALL
+        SELECT page_index, i, ord, l, t, b, CAST(coalesce(pick, len(lines) + 1) AS INTEGER),
+               CASE WHEN pick IS NULL THEN list_append(lines, {{'t': t, 'b': b}}) ELSE list_transform(lines, lambda q, k: CASE WHEN k = pick THEN {{'t': least(q.t, t), 'b': greatest(q.b, b)}} ELSE q END) END
+        FROM (SELECT n.page_index, n.i, n.ord, n.l, n.t, n.b, g.lines,
+                     list_sort(list_filter(list_transform(g.lines, lambda q, k: {{'away': abs((n.t + n.b - q.t - q.b) / 2), 'k': k,
+                         'fits': least(q.b, n.b) - greatest(q.t, n.t) > {ink.LINE_OVERLAP} OR abs((n.t + n.b - q.t - q.b) / 2) <= greatest(CAST({ink.LINE_REACH} AS DOUBLE), CAST({ink.LINE_SHARE} AS DOUBLE) * {_HEIGHT})}}), lambda z: z.fits))[1].k AS pick
+              FROM g JOIN sb n ON n.page_index = g.page_index AND n.i = g.i + 1)),
+    corner AS (SELECT page_index, line, CAST(row_number() OVER (PARTITION BY page_index ORDER BY min(t), arg_min(l, l), line) - 1 AS INTEGER) AS place FROM g GROUP BY page_index, line)"""
+
+
+@query(f"WITH RECURSIVE {_LINES} SELECT page_index, ord, corner.place AS line, CAST(row_number() OVER (PARTITION BY page_index, line ORDER BY ord) - 1 AS INTEGER) AS place FROM g JOIN corner USING (page_index, line)")
 def line_clusters(spark, sf):
     return ink.line_clusters(_strokes(spark, sf)).drop("fingerprint")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_XY}, q AS (SELECT page_index, ord, pt, x * 1000 AS px, y * 1400 AS py, pt * 8 AS ms FROM e),
+    r AS (
+        SELECT page_index, ord, pt, px AS sx, py AS sy, px AS rx, py AS ry, CAST(0.5 AS DOUBLE) AS sp, CAST(0 AS DOUBLE) AS v, ms, true AS keep, least(greatest(px / 1000, 0), 1) AS lx, least(greatest(py / 1400, 0), 1) AS ly, CAST(0.5 AS DOUBLE) AS lp FROM q WHERE pt = 0
+        UNION ALL
+        SELECT page_index, ord, pt, sx, sy, px, py, sp, v, ms, keep, CASE WHEN keep THEN nx ELSE lx END, CASE WHEN keep THEN ny ELSE ly END, CASE WHEN keep THEN np ELSE lp END FROM (
+            SELECT *, abs(lx - nx) > 0.00002 OR abs(ly - ny) > 0.00002 OR abs(lp - np) > 0.004 AS keep FROM (
+                SELECT *, least(greatest(sx / 1000, 0), 1) AS nx, least(greatest(sy / 1400, 0), 1) AS ny, least(greatest(sp, 0.01), 1) AS np FROM (
+                    SELECT page_index, ord, pt, px, py, ms, v, lx, ly, lp, bx + (px - bx) * alpha AS sx, bh + (py - bh) * alpha AS sy, bp + (0.5 - bp) * CAST(0.38 AS DOUBLE) AS sp FROM (
+                        SELECT *, CAST(0.42 AS DOUBLE) + least(greatest(v / CAST(1.9 AS DOUBLE), 0), 1) * CAST(0.36 AS DOUBLE) AS alpha FROM (
+                            SELECT q.page_index, q.ord, q.pt, q.px, q.py, q.ms, r.lx, r.ly, r.lp, r.sx AS bx, r.sy AS bh, r.sp AS bp,
+                                   r.v + (sqrt((q.px - r.rx) ** 2 + (q.py - r.ry) ** 2) / greatest(q.ms - r.ms, 1) - r.v) * CAST(0.32 AS DOUBLE) AS v
+                            FROM r JOIN q ON q.page_index = r.page_index AND q.ord = r.ord AND q.pt = r.pt + 1))))))
+    SELECT page_index, ord, CAST(row_number() OVER (PARTITION BY page_index, ord ORDER BY pt) - 1 AS INTEGER) AS place, round(lx, 5) AS x, round(ly, 5) AS y, round(lp, 5) AS pressure, CAST(ms AS BIGINT) AS time_ms FROM r WHERE keep"""
+)
 def ink_smooth(spark, sf):
     s = _strokes(spark, sf).withColumn("points", F.transform("points", lambda p: F.struct((p.x * 1000).alias("x"), (p.y * 1400).alias("y"), p.pressure.alias("pressure"), (p.time_ms * 8).alias("time_ms"))))
-    return s.select("page_index", "ord", G.smoothed("points", 1000.0, 1400.0).alias("points")).select("page_index", "ord", F.size("points").alias("n"))
+    points = s.select("page_index", "ord", F.posexplode(G.smoothed("points", 1000.0, 1400.0)).alias("place", "p"))
+    return points.select("page_index", "ord", "place", *(F.round(f"p.{c}", 5).alias(c) for c in ("x", "y", "pressure")), F.col("p.time_ms").alias("time_ms"))
 
 
 # ---------------------------------------------------------------- ledger and events
@@ -538,13 +569,45 @@ def _events(spark, sf):
     return ledger.with_event_columns(B.task_events(B.read(spark, sf, "events")).withColumn("status", F.lit(None).cast("string")), F.lit("task-0"))
 
 
-@query()
+_TASK = "{{'status': {status}, 'quality': {quality}, 'progress': {progress}, 'crashes': {crashes}, 'crashed': {crashed}}}"
+
+
+def _task(status="x.status", quality="x.quality", progress="x.progress", crashes="x.crashes", crashed="x.crashed") -> str:
+    return _TASK.format(status=status, quality=quality, progress=progress, crashes=crashes, crashed=crashed)
+
+
+_STRIKE = f"least(CASE WHEN x.crashed > 0 AND ms - x.crashed BETWEEN 0 AND {ledger.CRASH_GAP_MS} THEN x.crashes ELSE 0 END + 1, {ledger.CRASHES})"
+#: Each user's events drive the tasks of one queue; all tasks have one name, so pauses and ends are about the first.
+_QUEUES = f"""
+    ev AS (SELECT CAST(user_id AS VARCHAR) AS queue, event_type AS kind, epoch_ns(ts) // 1000000 AS ms, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    qs AS (
+        SELECT DISTINCT queue, CAST(0 AS BIGINT) AS i, [{_task("CAST('' AS VARCHAR)", "CAST(0 AS INTEGER)", "CAST(0 AS INTEGER)", "CAST(0 AS INTEGER)", "CAST(0 AS BIGINT)")}][1:0] AS tasks FROM ev
+        UNION ALL
+        SELECT ev.queue, ev.i, CASE kind
+            WHEN 'signup' THEN list_append(tasks, {_task("'waiting'", "CAST(CASE WHEN k = 0 THEN 2200 ELSE least(greatest(k, 1200), 3200) END AS INTEGER)", "CAST(0 AS INTEGER)", "CAST(0 AS INTEGER)", "CAST(0 AS BIGINT)")})
+            WHEN 'view' THEN CASE WHEN len(list_filter(tasks, lambda x: x.status IN ('running', 'pausing', 'cancelling'))) > 0 THEN tasks
+                ELSE list_transform(tasks, lambda x, n: CASE WHEN n = list_position(list_transform(tasks, lambda y: y.status), 'waiting') THEN {_task("'running'")} ELSE x END) END
+            WHEN 'click' THEN list_transform(tasks, lambda x, n: CASE WHEN n = 1 AND x.status IN ('running', 'waiting') THEN {_task("CASE x.status WHEN 'running' THEN 'pausing' ELSE 'paused' END")} ELSE x END)
+            WHEN 'purchase' THEN list_transform(tasks, lambda x, n: CASE WHEN n > 1 THEN x WHEN x.status = 'pausing' THEN {_task("'paused'", crashes="CAST(0 AS INTEGER)", crashed="CAST(0 AS BIGINT)")} ELSE {_task("'done'", progress="CAST(100 AS INTEGER)", crashes="CAST(0 AS INTEGER)", crashed="CAST(0 AS BIGINT)")} END)
+            ELSE list_transform(tasks, lambda x: CASE x.status WHEN 'pausing' THEN {_task("'paused'", crashes="CAST(0 AS INTEGER)", crashed="CAST(0 AS BIGINT)")}
+                WHEN 'running' THEN {_task(f"CASE WHEN {_STRIKE} = {ledger.CRASHES} THEN 'failed' ELSE 'waiting' END", crashes=f"CAST({_STRIKE} AS INTEGER)", crashed="CAST(ms AS BIGINT)")} ELSE x END) END
+        FROM qs JOIN ev ON ev.queue = qs.queue AND ev.i = qs.i + 1),
+    ls AS (SELECT queue, unnest(tasks) AS x, unnest(range(0, len(tasks))) AS ord FROM (SELECT * FROM qs QUALIFY row_number() OVER (PARTITION BY queue ORDER BY i DESC) = 1))"""
+
+
+@query(
+    f"WITH RECURSIVE {_QUEUES} SELECT queue, CAST(ord AS INTEGER) AS ord, 'task-0' AS task, x.status AS status, x.quality AS quality, CAST(0 AS INTEGER) AS page, x.progress AS progress, false AS paused_by_global, x.crashes AS crashes, x.crashed AS crashed_at, false AS paused_all FROM ls"
+)
 def queue_final_state(spark, sf):
-    """An ordered fold: each user's events drive one task."""
+    """Each user's events drive the tasks of one queue."""
     return ledger.final_states(_events(spark, sf))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_QUEUES} SELECT count(*) AS total, "
+    + ", ".join(f"count(*) FILTER (WHERE x.status IN ({', '.join(repr(v) for v in states)})) AS {name}" for name, states in (("running", ledger.ACTIVE), *((v, (v,)) for v in ("waiting", "paused", "done", "failed", "cancelled"))))
+    + " FROM ls"
+)
 def queue_counts(spark, sf):
     return ledger.counters(ledger.final_states(_events(spark, sf)))
 
@@ -608,4 +671,4 @@ def backups_to_prune(spark, sf):
 
 
 # These modules add their own queries.
-from pagelake.plans import canvas, edits, upkeep  # noqa: E402, F401
+from pagelake.plans import canvas, columns, edits, files, requests, shelf, upkeep  # noqa: E402, F401

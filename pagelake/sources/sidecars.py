@@ -159,6 +159,11 @@ def queue_entries(spark: SparkSession, path: str, backup: str) -> DataFrame:
     raise ValueError(f"no readable queue manifest at {path} or {backup}")
 
 
+def queue_rows(rows: DataFrame) -> DataFrame:
+    """Entries of queue manifests (several queues' files)."""
+    return _list(rows, "queue", "entries", DEFAULTS["queue"])
+
+
 def imports(spark: SparkSession, path: str) -> DataFrame:
     """Binary files by content hash; equal contents are one document."""
     rows = spark.read.format("binaryFile").load(path)
@@ -181,6 +186,52 @@ def to_paged_json(rows: DataFrame, item: Column) -> DataFrame:
     return docs.select("fingerprint", F.to_json(F.struct("pages")).alias("value"))
 
 
+def to_list_json(rows: DataFrame, name: str, item: Column, parts: int = 1, key: str = "fingerprint") -> DataFrame:
+    """(name, value): an index such as the library's as ``parts`` files {name: [items]} of rows with ``ord``; together they are the whole list."""
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int")
+    lists = rows.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))).alias("items"))
+    value = F.to_json(F.struct(F.transform("items", lambda i: i.item).alias(name)))
+    return lists.select(F.concat(F.lit(f"{name}-"), F.col("part")).alias("name"), value.alias("value"))
+
+
+def library_item() -> Column:
+    """An entry of the library index, from a row of library_entries()."""
+    kinds = [(f.name, f.dataType) for f in _fields("library", "entries")]
+    return F.struct(*(F.col(_snake(n)).cast(k).alias(n) for n, k in kinds))
+
+
+def _fields(shape: str, field: str) -> list:
+    """Fields of an item of a list in a file shape."""
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(SHAPES[shape][len("struct<") : -1])[field].dataType.elementType.fields
+
+
+def to_queue_json(entries: DataFrame, queue: str = "queue") -> DataFrame:
+    """(name, value): a queue's manifest of rows of queue_entries() with a column that names their queue."""
+    item = F.struct(*(F.col(_snake(f.name)).cast(f.dataType).alias(f.name) for f in _fields("queue", "entries")))
+    held = F.col("paused_all") if "paused_all" in entries.columns else F.lit(False)
+    lists = entries.groupBy(queue).agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))).alias("items"), F.max(held).alias("held"))
+    value = F.to_json(F.struct(F.transform("items", lambda i: i.item).alias("entries"), F.col("held").alias("pausedAll")))
+    return lists.select(F.col(queue).cast("string").alias("name"), value.alias("value"))
+
+
+def to_journal_json(pages: DataFrame, job: str = "fingerprint") -> DataFrame:
+    """(name, value): page journals <job>/page_000001, ... of rows of journal_pages()."""
+    line = lambda r: F.array(r.text, *(r[n].cast("string") for n in "ltrb"))
+    value = F.to_json(F.struct("width", "height", F.transform("lines", line).alias("lines")))
+    return pages.select(F.concat(F.col(job), F.lit("/page_"), F.lpad((F.col("page_index") + 1).cast("string"), 6, "0")).alias("name"), value.alias("value"))
+
+
+def to_navigation_json(links: DataFrame, outline: DataFrame) -> DataFrame:
+    """(fingerprint, value): links and outline of each document."""
+    shaped = lambda field: F.struct(*(F.col(_snake(f.name)).cast(f.dataType).alias(f.name) for f in _fields("navigation", field)))
+    listed = lambda rows, field: rows.groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("ord", shaped(field).alias("item")))).alias(field))
+    both = listed(links, "links").join(listed(outline, "outline"), "fingerprint", "full_outer")
+    items = lambda c: F.coalesce(F.transform(c, lambda i: i.item), F.array().cast(both.schema[c].dataType.elementType["item"].dataType.simpleString().join(["array<", ">"])))
+    return both.select("fingerprint", F.to_json(F.struct(items("links").alias("links"), items("outline").alias("outline"))).alias("value"))
+
+
 def publish(df: DataFrame, root: str, version: int) -> str:
     """Writes a new version of a table and then names it; readers never see half of one, and the previous version stays as backup."""
     spark = df.sparkSession
