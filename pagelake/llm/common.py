@@ -89,20 +89,25 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def lean(run):
-    """run, a function of a task's batches, that gives unused memory back to the system when the task ends.
+def give_back() -> None:
+    """Gives memory that Python and Arrow no longer use back to the system.
 
     Python workers stay for the next stages, beside a JVM that may need the room.
     """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run):
+    """run, a function of a task's batches, that gives memory back when the task ends."""
 
     @wraps(run)
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return wrapped
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import _STEP, lean, mix64, Scratch, text_blocks, word_hashes
+from pagelake.llm.common import _STEP, Scratch, give_back, lean, mix64, text_blocks, word_hashes
 
 #: Weight of the next lower order, in occurrences of the state.
 PRIOR = 32.0
@@ -231,12 +231,14 @@ def answered(blocks: DataFrame) -> DataFrame:
         ends = np.cumsum([len(k) for k in keys])
         totals = [narrow(x) for x in np.split(sums[at], ends[:-1])]
         distinct = [int((sums > 0).sum())] + [0] * (len(keys) - 1)
+        del known, at, sums
+        give_back()
         return pa.table([table["kind"], table["part"], table["chunk"], pa.array(totals, pa.binary()), pa.array([len(k) for k in keys], pa.int32()), pa.array(distinct, pa.int64())], schema=ANSWERED_TYPES)
 
     return blocks.groupBy("kind", "part").applyInArrow(run, ANSWERED)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, alpha: float = 0.1, prior: float = PRIOR, chunk_bytes: int = 8_000_000, passes: int = 2, part_keys: int = PART_KEYS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, alpha: float = 0.1, prior: float = PRIOR, chunk_bytes: int = 4_000_000, passes: int = 3, part_keys: int = PART_KEYS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     scratch = Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out(id_col, folds).alias("held_out"))
@@ -261,9 +263,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         of_word = np.empty(len(c.words), np.int64)
         of_word[np.argsort(c.words.view(np.uint64))] = found[WORD]
         _, first, at = np.unique(c.grams(), return_index=True, return_inverse=True)
-        of_gram = found[GRAM]
         base = (of_word + alpha) / scale
-        machine = Automaton(c, first, at, of_word, of_gram, base, prior)
+        machine = Automaton(c, first, at, of_word, found.pop(GRAM), base, prior)
+        del first, at
+        give_back()
         n = len(c.sizes)
         of_text = lambda values: np.bincount(c.text, values, n)
         return pa.table({
