@@ -233,10 +233,10 @@ def to_navigation_json(links: DataFrame, outline: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, version: int) -> str:
-    """Writes a new version of a table and then names it; readers never see half of one, and the previous version stays as backup."""
+    """Writes a new version of a single table and then names it; readers never see half of one, the version before stays, and a version that is there is an error. For several tables see stores."""
     spark = df.sparkSession
     path = f"{root}/v{version:06d}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.parquet(path)
     spark.createDataFrame([(version, path)], "version int, path string").coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return path
 
