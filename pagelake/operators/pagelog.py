@@ -300,10 +300,14 @@ def apply_log(stores: Stores, log: DataFrame) -> tuple[int, DataFrame]:
     library = edit.read(LIBRARY, buckets)
     good, refused = checked(asked, library)
     mapped = stores.kept(mappings(good))  # every table needs them
-    mapped_runs = stores.kept(runs(mapped, library))
+    edited = mapped.select("fingerprint")
+    mapped_runs = stores.kept(runs(mapped, library.join(edited, "fingerprint", "left_semi")))
     there = stores.tables(edit.base)
-    for name, follow in FOLLOW.items():
+    for name, follow in {**FOLLOW, LIBRARY: lambda rows, moves: moved_library(rows, mapped, moves)}.items():
         if name in there:
-            edit.write(name, follow(edit.read(name, buckets), mapped_runs), buckets)
-    edit.write(LIBRARY, moved_library(library, mapped, mapped_runs), buckets)
+            rows = edit.read(name, buckets)
+            # Other books of these buckets stay as they are, whether the library knows them or not.
+            others = rows.join(edited, rows["fingerprint"].eqNullSafe(edited["fingerprint"]), "left_anti")
+            moves = follow(rows.join(edited, "fingerprint", "left_semi").select(rows.columns), mapped_runs)
+            edit.write(name, others.unionByName(moves.select(rows.columns)), buckets)
     return edit.commit(), refused

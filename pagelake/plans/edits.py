@@ -76,14 +76,14 @@ def page_log_refused(spark, sf):
 
 
 def _stores(spark, sf) -> dict[str, DataFrame]:
-    """Nine stores of books 0 to 99, from general tables."""
+    """Nine stores of those of books 0 to 99 that have events, from general tables."""
     item = lambda df, book, page, id_: df.select((F.col(book) % 100).cast("string").alias("fingerprint"), page.cast("int").alias("page_index"), F.col(id_).cast("long").alias("ord"), F.concat_ws("-", F.lit(id_), F.col(id_)).alias("id"))
     read = lambda name: B.read(spark, sf, name)
     turns = read("conversations").select((F.col("conv_id") % 100).cast("string").alias("fingerprint"), "conv_id", "turn", F.concat_ws("-", "conv_id", "turn", "role").alias("id"))
     books = _books(spark, sf).filter(F.col("fingerprint").cast("int") < 100)
     marks = read("labels").filter("quality = 1").select((F.col("doc_id") % 100).cast("string").alias("fingerprint"), (F.col("doc_id") * 3 % 100).cast("int").alias("m"))
     marks = marks.groupBy("fingerprint").agg(F.array_sort(F.collect_set("m")).alias("bookmarks"))
-    return {
+    stores = {
         "ink": item(read("embeddings"), "vec_id", F.col("label") * 11, "vec_id"),
         "text": turns.select("fingerprint", F.col("turn").cast("int").alias("page_index"), F.col("turn").cast("long").alias("ord"), "id"),
         "image": item(read("orders"), "o_orderkey", F.col("o_custkey") % 100, "o_orderkey"),
@@ -94,6 +94,7 @@ def _stores(spark, sf) -> dict[str, DataFrame]:
         "pages": books.select("fingerprint", F.explode(F.sequence(F.lit(0), F.col("page_count") - 1)).alias("page_index")).select("fingerprint", "page_index", (F.col("page_index") * 2).alias("source_page"), F.concat(F.lit("P"), F.col("page_index") % 4).alias("template")),
         "library": books.join(marks, "fingerprint", "left").select("fingerprint", "page_count", F.coalesce("bookmarks", F.array().cast("array<int>")).alias("bookmarks"), (F.col("fingerprint").cast("int") % 100).alias("last_page")),
     }
+    return {name: rows.join(books.select("fingerprint"), "fingerprint", "left_semi") for name, rows in stores.items()}
 
 
 def _summary(stores: dict[str, DataFrame]) -> DataFrame:
