@@ -125,6 +125,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = 256,
         columns = ["query_uid", "query_id", "vec_id", "uid", "score"]
         if not len(q) or not len(x):
             return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in columns})
+        x = x.sort_values(["vec_id", "uid"])  # so that equal footrule distances are cut alike in every run
         data, asked_data = np.stack(x["v"].to_numpy()).astype(np.float64), np.stack(q["v"].to_numpy()).astype(np.float64)
         ids, uids = x["vec_id"].to_numpy(), x["uid"].to_numpy()
         # The best of a block, and enough of them to lose none of the k to the query itself.
