@@ -643,7 +643,10 @@ def jump_history(spark, sf):
 def _files(spark, sf):
     p = B.read(spark, sf, "pages")
     kind = F.col("page_id") % 5
-    name = F.when(kind == 0, F.concat(F.lit("queue-"), F.col("page_id"))).when(kind == 1, F.md5("url")).when(kind == 2, F.concat(F.lit("queue-00000000-0000-0000-0000-"), F.lpad(F.col("page_id").cast("string"), 12, "0"))).otherwise(F.concat(F.lit("file-"), F.col("page_id")))
+    # Every page is a folder of its own: urls repeat, and ids may have more digits than a UUID's last group.
+    digits = F.lpad(F.hex("page_id"), 16, "0")
+    stranger = F.concat(F.lit("queue-00000000-0000-0000-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 12))
+    name = F.when(kind == 0, F.concat(F.lit("queue-"), F.col("page_id"))).when(kind == 1, F.md5(F.concat_ws("|", "page_id", "url"))).when(kind == 2, stranger).otherwise(F.concat(F.lit("file-"), F.col("page_id")))
     root = F.when(kind == 4, "fonts").otherwise("cache")
     return p.select(root.alias("root"), name.alias("top_name"), F.length("html").cast("long").alias("bytes"), (kind != 3).alias("is_dir"), F.lit(False).alias("is_symlink"), "page_id")
 
