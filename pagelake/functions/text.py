@@ -37,6 +37,13 @@ def fold(text: Column | str) -> Column:
     return F.lower(F.translate(_c(text), "İΣς", "iσσ"))
 
 
+def upper(text: Column | str) -> Column:
+    """text in upper case, letter by letter; letters whose capitals are several (as of ß) stay."""
+    t = _c(text)
+    letters = F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c))
+    return F.when(F.length(F.upper(t)) == F.length(t), F.upper(t)).otherwise(F.array_join(letters, ""))
+
+
 def find_ci(text: Column | str, query: Column | str) -> Column:
     """0-based position of query in text without regard to case, or -1; a blank query is nowhere.
 

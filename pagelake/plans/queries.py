@@ -120,7 +120,7 @@ def search_refreshed(spark, sf):
     paged = index.kept(B.pages(docs))
     revised = lambda rows: rows.select("fingerprint", "page_index", F.xxhash64("text").alias("revision"))
     textindex.refresh(index, revised(paged), B.blocks(paged))
-    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.reverse("text"), F.lit("\nof the "), F.upper(F.substring("text", 1, 200)))).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.reverse("text"), F.lit("\nof the "), T.upper(F.substring("text", 1, 200)))).otherwise(F.col("text"))
     edited = paged.filter("doc_id % 7 <> 0").withColumn("text", text)
     textindex.refresh(index, revised(edited), B.blocks(edited))
     more = spark.createDataFrame([("of the",), ("f t",), ("th",)], "query string")
