@@ -108,16 +108,16 @@ def indexes_read_back(spark, sf):
         F.lit(0).alias("note_page_count"), null("array<string>").alias("page_templates"), null("array<int>").alias("pdf_page_order"), "favorite", "folder_id", "trashed_at",
     )
     folders = B.read(spark, sf, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.lit(0).cast("long").alias("createdAt"))
-    parts = S.to_list_json(entries, "entries", S.library_item(), parts=16).unionByName(S.to_list_json(folders, "folders", F.struct("id", "name", "createdAt"), key="id"))
+    parts = S.to_list_json(entries, "entries", S.library_item(), parts=S.parts(entries, 16)).unionByName(S.to_list_json(folders, "folders", F.struct("id", "name", "createdAt"), key="id"))
     library = _stored(root, "library", parts)
     stickers = B.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_suppkey").cast("string").alias("id"), F.concat("s_suppkey", F.lit(".png")).alias("fileName"), F.col("s_nationkey").cast("long").alias("createdAt"))
-    kept = _stored(root, "stickers", S.to_list_json(stickers, "items", F.struct("id", "fileName", "createdAt"), parts=4, key="id"))
+    kept = _stored(root, "stickers", S.to_list_json(stickers, "items", F.struct("id", "fileName", "createdAt"), parts=S.parts(stickers, 4), key="id"))
     media = stickers.filter("ord % 3 <> 0").select(F.col("fileName").alias("file_name"))
     tasks = B.read(spark, sf, "orders").filter("o_orderstatus <> 'F'").select(
         F.concat(F.lit("q"), F.col("o_custkey") % BOOKS).alias("queue"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("id"), F.lit("n").alias("name"), F.lit("u").alias("input_uri"), *(F.lit("").alias(c) for c in ("tree_uri", "output_uri", "stage", "error")), F.lit("paused").alias("status"), F.lit(2200).alias("quality"),
         (F.col("o_custkey") % 101).cast("int").alias("progress"), *(F.lit(0).alias(c) for c in ("page", "total", "unexpected_restarts", "last_unexpected_restart_at", "created_at")), F.lit(False).alias("paused_by_global"),
     )
-    queues = _stored(root, "queues", S.to_queue_json(tasks))
+    queues = _stored(root, "queues", S.to_queue_json(tasks, parts=S.parts(tasks, BOOKS)))
     out = [
         S.library_entries(library).select(F.lit("library").alias("kind"), F.col("fingerprint").alias("id"), F.col("last_opened_at").alias("n")),
         S.library_folders(library).select(F.lit("folder").alias("kind"), "id", F.length("name").cast("long").alias("n")),

@@ -28,6 +28,8 @@ FORMAT = "sidecarfiles"
 SCHEMA = "name string, value string, error string"
 ENDING = ".json"
 SHARES = 16
+#: Bytes of files that go to Spark at once, and files that a writing task takes at once.
+BATCH_BYTES, BATCH_FILES = 8 << 20, 64
 _NAME = re.compile(r"[^/\0]+(?:/[^/\0]+)*")
 
 
@@ -139,6 +141,22 @@ def read_share(root: str, p: Share) -> Iterator[tuple]:
             yield name, value, error
 
 
+def batches(rows: Iterator[tuple]) -> Iterator:
+    """Arrow batches of (name, value, error), cut by their bytes, as Spark cuts by a number of rows only."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    of = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], ["name", "value", "error"])
+    for row in rows:
+        held.append(row)
+        size += len(row[1])
+        if size >= BATCH_BYTES or len(held) >= 10_000:
+            yield of()
+            held, size = [], 0
+    if held:
+        yield of()
+
+
 class Reader(DataSourceReader):
     def __init__(self, root: str, at: int | None, shares: int):
         self.root, self.at, self.shares = root, at, shares
@@ -148,8 +166,8 @@ class Reader(DataSourceReader):
         folders = manifest(self.root, at)["folders"]
         return [Share(folders, i, self.shares) for i in range(self.shares)]
 
-    def read(self, partition: Share) -> Iterator[tuple]:
-        return read_share(self.root, partition)
+    def read(self, partition: Share) -> Iterator:
+        return batches(read_share(self.root, partition))
 
 
 class StreamReader(DataSourceStreamReader):
@@ -167,8 +185,8 @@ class StreamReader(DataSourceStreamReader):
         new = [f for f in manifest(self.root, end["version"])["folders"] if f not in before]
         return [Share(new, i, self.shares) for i in range(self.shares)] if new else []
 
-    def read(self, partition: Share) -> Iterator[tuple]:
-        return read_share(self.root, partition)
+    def read(self, partition: Share) -> Iterator:
+        return batches(read_share(self.root, partition))
 
 
 # ---------------------------------------------------------------- writing
@@ -268,7 +286,13 @@ def read(spark: SparkSession, path: str, at: int | None = None) -> DataFrame:
 
 def write(rows: DataFrame, path: str, overwrite: bool = False) -> int:
     """Adds files (name, value), or begins anew with them; the new version."""
-    rows.select("name", "value").write.format(FORMAT).option("path", path).mode("overwrite" if overwrite else "append").save()
+    conf, batch = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(batch)
+    conf.set(batch, str(BATCH_FILES))
+    try:
+        rows.select("name", "value").write.format(FORMAT).option("path", path).mode("overwrite" if overwrite else "append").save()
+    finally:
+        conf.set(batch, before)
     return version(path)
 
 

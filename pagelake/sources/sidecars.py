@@ -186,6 +186,15 @@ def to_paged_json(rows: DataFrame, item: Column) -> DataFrame:
     return docs.select("fingerprint", F.to_json(F.struct("pages")).alias("value"))
 
 
+#: Items of a part of an index: one value holds them, and a task that gathers parts holds up to 128 of them at once.
+ITEMS = 2000
+
+
+def parts(rows: DataFrame, least: int = 1) -> int:
+    """Into how many files an index of rows goes, so that none grows with the index."""
+    return max(least, -(-rows.count() // ITEMS))
+
+
 def to_list_json(rows: DataFrame, name: str, item: Column, parts: int = 1, key: str = "fingerprint") -> DataFrame:
     """(name, value): an index such as the library's as ``parts`` files {name: [items]} of rows with ``ord``; together they are the whole list."""
     part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int")
@@ -207,13 +216,22 @@ def _fields(shape: str, field: str) -> list:
     return StructType.fromDDL(SHAPES[shape][len("struct<") : -1])[field].dataType.elementType.fields
 
 
-def to_queue_json(entries: DataFrame, queue: str = "queue") -> DataFrame:
-    """(name, value): a queue's manifest of rows of queue_entries() with a column that names their queue."""
+def to_queue_json(entries: DataFrame, queue: str = "queue", parts: int = 1) -> DataFrame:
+    """(name, value): a queue's manifest of rows of queue_entries() with a column that names their queue.
+
+    With ``parts`` all entries, in the order of queues and places, are cut into about so many files, <queue>.000000, ...: a queue's files are its
+    entries in order, and no file has entries of two queues.
+    """
     item = F.struct(*(F.col(_snake(f.name)).cast(f.dataType).alias(f.name) for f in _fields("queue", "entries")))
     held = F.col("paused_all") if "paused_all" in entries.columns else F.lit(False)
-    lists = entries.groupBy(queue).agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))).alias("items"), F.max(held).alias("held"))
+    rows, name = entries.select(F.col(queue).alias("__queue"), "ord", item.alias("item"), held.alias("held")), F.col("__queue").cast("string")
+    keys = ["__queue"]
+    if parts > 1:
+        rows = rows.repartitionByRange(parts, "__queue", "ord").withColumn("part", F.spark_partition_id())
+        keys, name = [*keys, "part"], F.concat(name, F.lit("."), F.lpad(F.col("part").cast("string"), 6, "0"))
+    lists = rows.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct("ord", "item"))).alias("items"), F.max("held").alias("held"))
     value = F.to_json(F.struct(F.transform("items", lambda i: i.item).alias("entries"), F.col("held").alias("pausedAll")))
-    return lists.select(F.col(queue).cast("string").alias("name"), value.alias("value"))
+    return lists.select(name.alias("name"), value.alias("value"))
 
 
 def to_journal_json(pages: DataFrame, job: str = "fingerprint") -> DataFrame:
