@@ -23,6 +23,8 @@ from pagelake.sources.stores import Stores
 #: Letters by which words are looked up; matches and pages that are broadcast.
 LETTERS, BROADCAST_ROWS = 3, 500_000
 PAGE = ["fingerprint", "page_index"]
+#: Postings lie in this order, in which equal values are neighbours, and are packed by this codec.
+ORDER, CODEC = ["term", "next", *PAGE, "ord", "pos"], "zstd"
 #: How a word of a phrase meets a term.
 EQUAL, END, START, INSIDE = "equal", "end", "start", "inside"
 
@@ -60,7 +62,7 @@ def refresh(index: Stores, pages: DataFrame, blocks: DataFrame) -> int:
     else:
         listed, changed = now.withColumn("number", F.lit(number)), blocks
     posted = tokens(changed).withColumn("number", F.lit(number))
-    posted = edit.write("postings", posted.withColumn("__b", index.bucket("postings")).sortWithinPartitions("__b", "term").drop("__b"), add=True)
+    posted = edit.write("postings", posted, add=True, order=ORDER, codec=CODEC)
     edit.write("terms", posted.select("term").distinct(), add=True)
     edit.write("pages", listed)
     return edit.commit()
@@ -77,7 +79,7 @@ def compact(index: Stores) -> int:
     edit = index.edit()
     rows = current(index, edit.read("postings"), edit.base)
     edit.read("pages")
-    edit.write("postings", rows.withColumn("__b", index.bucket("postings")).sortWithinPartitions("__b", "term").drop("__b"))
+    edit.write("postings", rows, order=ORDER, codec=CODEC)
     edit.write("terms", rows.select("term").distinct())
     return edit.commit()
 
@@ -137,17 +139,16 @@ def find(index: Stores, phrases: DataFrame, version: int | None = None) -> DataF
     postings, line = index.read("postings", version), ["query", *PAGE, "ord"]
     few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-    def places(which: str) -> DataFrame:
-        return postings.join(few(matches.filter(which)), "term")
-
-    heads = current(index, places("i = 0"), version).join(few(seconds), "query", "left")
+    # Only postings that also have the second word go on to be compared with the list of pages.
+    firsts = few(index.kept(matches.filter("i = 0").join(seconds, "query", "left"))).withColumnRenamed("term", "first")
     then = F.when(F.col("size") == 2, F.startswith("next", F.col("second"))).otherwise(F.col("next") == F.col("second"))
-    heads = heads.filter((F.col("size") == 1) | then).select(*line, "size", F.col("pos").alias("start"))
+    heads = postings.join(firsts, (F.col("term") == F.col("first")) & ((F.col("size") == 1) | then))
+    heads = current(index, heads.select(*line, "size", F.col("pos").alias("start"), "number"), version).drop("number")
     short = heads.filter("size <= 2").select(line).distinct()
     if not pieces.filter("i > 1").limit(1).count():
         return short
     here = [*line, "start"]
-    rest = places("i > 1").withColumn("start", F.col("pos") - F.col("i")).select(*here, "size", "number")
+    rest = postings.join(few(matches.filter("i > 1")), "term").withColumn("start", F.col("pos") - F.col("i")).select(*here, "size", "number")
     heads = heads.filter("size > 2").drop("size")
     after = current(index, rest, version).join(heads, _same(rest, heads, here), "left_semi").groupBy(*here, "size").agg(F.count("*").alias("n"))
     return short.unionByName(after.filter("n = size - 2").select(line).distinct())

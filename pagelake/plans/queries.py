@@ -117,7 +117,7 @@ def search_refreshed(spark, sf):
     """An index brought up to date after edits and deletions of pages."""
     docs = B.read(spark, sf, "documents")
     index = textindex.open_index(spark, shared_folder(spark, "index"))
-    paged = index.kept(B.pages(docs))
+    paged = index.kept(B.pages(docs), textindex.CODEC)
     revised = lambda rows: rows.select("fingerprint", "page_index", F.xxhash64("text").alias("revision"))
     textindex.refresh(index, revised(paged), B.blocks(paged))
     text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.reverse("text"), F.lit("\nof the "), T.upper(F.substring("text", 1, 200)))).otherwise(F.col("text"))
@@ -125,8 +125,8 @@ def search_refreshed(spark, sf):
     textindex.refresh(index, revised(edited), B.blocks(edited))
     more = spark.createDataFrame([("of the",), ("f t",), ("th",)], "query string")
     hits = textindex.find(index, _phrases(spark, sf).union(more).distinct())
-    pages = F.countDistinct(F.struct("fingerprint", "page_index"))
-    return hits.groupBy(F.col("query").alias("phrase")).agg(F.count("*").alias("hits"), pages.alias("pages"))
+    pages = hits.groupBy(F.col("query").alias("phrase"), "fingerprint", "page_index").agg(F.count("*").alias("hits"))
+    return pages.groupBy("phrase").agg(F.sum("hits").alias("hits"), F.count("*").alias("pages"))
 
 
 @query("SELECT conv_id, CAST(n AS BIGINT) AS hits, CAST((n + 2) % n AS BIGINT) AS cursor FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
