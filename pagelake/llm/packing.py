@@ -22,10 +22,14 @@ ids are unique: the task's number in the high bits, the sequence's in the low on
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +41,24 @@ from pagelake.llm.common import lean
 
 #: Sequences shorter than this part of the capacity are made only at the end of a task.
 SHORTEST = 16
+#: GPT-2's split of a text into words, and the same without its lookahead, which regular expressions match in one pass.
+LOOKAHEAD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ONE_PASS = LOOKAHEAD.replace(r"\s+(?!\S)|", "")
+#: Unicode's White_Space, as ``\s`` is there; Python's own adds four controls.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Where the two differ: a run of white space before other characters leaves its last one to what follows.
+RUN = re.compile(f"[{WHITE}](?=[{WHITE}][^{WHITE}])")
+#: Texts with more runs than one in so many characters are split with the lookahead.
+RUN_CHARS = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """Byte-level BPE ids as the tokenizer file gives them; the ranks file holds the same vocabulary for a faster library."""
+    """Byte-level BPE ids as the tokenizer file gives them; the ranks file holds the same vocabulary for a faster library.
+
+    Words end before the last character of each run of white space, so a text cut there has the same words, and its parts
+    need no lookahead. This holds for GPT-2's pattern; others are matched as they are.
+    """
 
     def __init__(self, tokenizer_path: str, ranks_path: str, pattern: str):
         import base64
@@ -55,6 +72,7 @@ class Encoder:
         self.plain = Tokenizer.from_file(tokenizer_path)
         self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.one_pass = tiktoken.Encoding("ranks", pat_str=ONE_PASS, mergeable_ranks=ranks, special_tokens={}) if pattern == LOOKAHEAD else None
         stops = np.zeros(max(ranks.values()) + 2, dtype=bool)
         for token, i in ranks.items():
             stops[i] = token.rstrip(b" \"')")[-1:] in (b".", b"!", b"?", b"\n")
@@ -62,11 +80,23 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if any(t in text for t in self.special):
-            return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        try:
-            return np.array(self.fast.encode_ordinary(text), dtype="<u4")
-        except ValueError:  # the fast library's regular expressions give up on very long runs of spaces
-            return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            ids = self.plain.encode(text, add_special_tokens=False).ids
+        else:
+            try:
+                ids = self.words(text)
+            except ValueError:  # the fast library's regular expressions give up on very long runs of spaces
+                ids = self.plain.encode(text, add_special_tokens=False).ids
+        return np.array(array("I", ids), dtype="<u4")
+
+    def words(self, text: str) -> list[int]:
+        if not self.one_pass:
+            return self.fast.encode_ordinary(text)
+        cuts = [m.end() for m in RUN.finditer(text)]
+        if not cuts:
+            return self.one_pass.encode_ordinary(text)
+        if len(cuts) * RUN_CHARS > len(text):
+            return self.fast.encode_ordinary(text)
+        return [i for a, b in pairwise([0, *cuts, len(text)]) for i in self.one_pass.encode_ordinary(text[a:b])]
 
 
 @cache
@@ -79,42 +109,54 @@ def best_cuts(ends: np.ndarray, sentences: np.ndarray, total: int, capacity: int
 
     ends and sentences are positions after which a document or a sentence is complete.
     """
-    soft = np.unique(np.concatenate(([0], ends, sentences, [total])))
-    gaps = np.diff(soft)
-    inner = [np.arange(a + capacity, a + g, capacity) for a, g in zip(soft[:-1][gaps > capacity], gaps[gaps > capacity], strict=True)]
-    at = np.unique(np.concatenate([soft, soft + capacity, *inner]))
-    at = at[at <= total]
-    cost = np.full(len(at), float(broken_cost))
-    cost[np.searchsorted(at, sentences)] = sentence_cost
-    cost[np.searchsorted(at, ends)] = 0
-    cost[[0, -1]] = 0
-    exact: dict[int, list[int]] = {}
+    cost = np.full(total + 1, float(broken_cost))
+    cost[sentences] = sentence_cost
+    cost[ends] = 0
+    cost[[0, total]] = 0
+    soft = np.zeros(total + 1, dtype=bool)
+    soft[ends] = soft[sentences] = soft[[0, total]] = True
+    begin = np.flatnonzero(soft)
+    gaps = np.diff(begin)
+    soft[capacity:] |= soft[: max(0, total + 1 - capacity)].copy()
+    for a, g in zip(begin[:-1][gaps > capacity].tolist(), gaps[gaps > capacity].tolist(), strict=True):
+        soft[a + capacity : a + g : capacity] = True
+    at = np.flatnonzero(soft)
+    # pairs of indices whose distance needs no padding, by the later one
+    later, earlier = [], []
     k = max(1, capacity // SHORTEST)
     while k < capacity:
-        i = np.searchsorted(at, at - k)
-        for j in np.flatnonzero((at >= k) & (at[i] == at - k)).tolist():
-            exact.setdefault(j, []).append(int(i[j]))
+        j = np.flatnonzero(soft[np.maximum(at - k, 0)] & (at >= k))
+        later.append(j)
+        earlier.append(np.searchsorted(at, at[j] - k))
         k *= 2
-    pos, cut = at.tolist(), cost.tolist()
-    m = len(pos)
-    f, g, back = [0.0] * m, [0.0] * m, [0] * m
-    queue, head = [0], 0
-    for j in range(1, m):
-        p = pos[j]
-        while pos[queue[head]] < p - capacity:
-            head += 1
+    m = len(at)
+    js = np.concatenate([*later, [m]]).astype(np.int64)
+    order = np.argsort(js, kind="stable")
+    pairs = zip(js[order].tolist(), np.concatenate([*earlier, [0]]).astype(np.int64)[order].tolist(), strict=True)
+    late, early = next(pairs)
+    pos = at.tolist()
+    f, back = [0.0] * m, [0] * m
+    # indices of the queue and their f + position; -inf is what left the window, so that popping ends there
+    queue, least, head = [-1, 0], [-inf, 0.0], 1
+    for j, p, floor, extra in zip(range(1, m), pos[1:], (at[1:] - capacity).tolist(), cost[at[1:]].tolist(), strict=True):
         i = queue[head]
-        best = g[i] + capacity - p
-        if j in exact:
-            for e in exact[j]:
-                if f[e] + short_cost < best:
-                    best, i = f[e] + short_cost, e
+        while pos[i] < floor:
+            least[head] = -inf
+            head += 1
+            i = queue[head]
+        best = least[head] - floor
+        while late == j:
+            if f[early] + short_cost < best:
+                best, i = f[early] + short_cost, early
+            late, early = next(pairs)
         back[j] = i
-        f[j] = best = best + cut[j]
-        g[j] = best = best + p
-        while len(queue) > head and g[queue[-1]] >= best:
+        f[j] = best = best + extra
+        best += p
+        while least[-1] >= best:
+            least.pop()
             queue.pop()
         queue.append(j)
+        least.append(best)
     out, j = [], m - 1
     while j:
         out.append(pos[j])

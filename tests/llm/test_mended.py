@@ -1,14 +1,16 @@
 """Cases that earlier versions got wrong: colliding words, wrapped pages, many secrets, widely copied ones, walks of the automaton."""
 
+import random
 import time
 from collections import Counter
 from math import log10
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from pagelake.llm import common, html_text, lm, ngram_join, secrets
+from pagelake.llm import common, html_text, lm, ngram_join, packing, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -200,3 +202,28 @@ def test_repeated_ids_are_candidates_each(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (1, [0.25, 1.0]), (2, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
     got = permutation_index.nearest(rows, F.col("vec_id") == 0, 20).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(1, 0.5), (1, 0.5), (1, 0.25)]
+
+
+# ---------------------------------------------------------------- tokens of packing
+
+
+def packing_encoder():
+    args = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return packing.Encoder(*args)
+
+
+def test_ordinary_texts_need_no_lookahead():
+    encode = packing_encoder()
+    encode.fast = None
+    for text in ("", "One line.\nTwo don't lines, 12 words  ", ("word " * 50 + "\n\n") * 9 + "  end", " " * 300_000 + "x" * 200):
+        assert encode(text).tolist() == encode.plain.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_around_white_space():
+    encode = packing_encoder()
+    white = [*map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+    other = ["\x1c", "\x1f", "᠎", "​", "﻿", "²", "é", "日本", "😀", "'s", "'", "'ll", "don't", "x", "_", "-", "9", "<|endoftext|>"]
+    r = random.Random(5)
+    for _ in range(3000):
+        text = "".join(r.choice(white if r.random() < 0.6 else other) for _ in range(r.randint(0, 14))) + r.choice(["", "plain words " * 60])
+        assert encode(text).tolist() == encode.plain.encode(text, add_special_tokens=False).ids
