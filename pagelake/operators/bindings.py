@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,29 @@ def pages(documents: DataFrame) -> DataFrame:
     return placed.select(F.col("source").alias("fingerprint"), (F.col("start") + F.col("place")).cast("int").alias("page_index"), "text", "doc_id")
 
 
+#: Runs and ids that are broadcast; an id takes two bytes.
+LISTED_RUNS, LISTED_IDS = 200_000, 16_000_000
+
+
+def pages_in_place(documents: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """pages() without a shuffle of the texts: the ids of each run are broadcast as a sorted list, and a page's place is looked up there.
+
+    It is pages() itself where ids of a source repeat or are missing, or where the lists are too large. ``kept`` writes a table and reads it back.
+    """
+    if dict(documents.dtypes)["doc_id"] not in ("bigint", "int", "smallint", "tinyint"):
+        return pages(documents)
+    run, at = F.shiftright("doc_id", RUN.bit_length() - 1), F.col("doc_id").bitwiseAND(RUN - 1).cast("smallint")
+    # A set has at most RUN ids, also where one id fills the table.
+    listed = kept(documents.groupBy(F.col("source").alias("book"), run.alias("of")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(at)).alias("ids")))
+    sizes = listed.agg(F.count("*").alias("runs"), F.sum("n").alias("ids"), F.bool_or(F.col("n") != F.size("ids")).alias("repeated")).first()
+    if sizes["repeated"] or sizes["runs"] > LISTED_RUNS or (sizes["ids"] or 0) > LISTED_IDS:
+        return pages(documents)
+    before = Window.partitionBy("book").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = listed.select("book", "of", "ids", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = documents.select("source", "text", "doc_id").join(F.broadcast(starts), F.col("source").eqNullSafe(F.col("book")) & (run == F.col("of")))
+    return placed.select(F.col("source").alias("fingerprint"), (F.col("start") + F.array_position("ids", at) - 1).cast("int").alias("page_index"), "text", "doc_id")
+
+
 def blocks(paged: DataFrame) -> DataFrame:
     """The lines of a page are its positioned blocks."""
     lines = F.split("text", "\n")

@@ -10,18 +10,26 @@ three, in an equi-join for each length; its second word is compared with what fo
 The index consists of tables in one store: a refresh adds the postings of pages whose revision has changed, with the refresh's
 number, and writes the list of pages with the number that counts for each; postings of other numbers are out of
 date and are left out when read, until compact() writes them anew. All of it is one commit.
+
+Disk is the postings, about twice the compressed texts; what is shuffled are terms and hits, not texts or postings, but for sets of
+pages or matches beyond BROADCAST_ROWS.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
 from pagelake.sources.stores import Stores
 
-#: Letters by which words are looked up; matches and pages that are broadcast.
+#: Letters by which words are looked up; rows that are broadcast.
 LETTERS, BROADCAST_ROWS = 3, 500_000
+#: Characters whose postings a task sorts at once: about 270 MB of rows, so that a sort doesn't spill.
+SORTED_CHARS = 12 << 20
 PAGE = ["fingerprint", "page_index"]
 #: Postings lie in this order, in which equal values are neighbours, and are packed by this codec.
 ORDER, CODEC = ["term", "next", *PAGE, "ord", "pos"], "zstd"
@@ -47,6 +55,27 @@ def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return out
 
 
+def _among(index: Stores, rows: DataFrame, pages: DataFrame, names: list[str]) -> DataFrame:
+    """Rows whose values of names are those of a row of pages.
+
+    Pages are broadcast, 64 neighbours of a book as one row with a bit each, so that rows aren't shuffled.
+    """
+    slot, bit = F.shiftright("page_index", 6), F.coalesce(F.col("page_index").bitwiseAND(63), F.lit(0))
+    keys = [n for n in names if n != "page_index"]
+    packed = index.kept(pages.groupBy(*keys, slot.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")), CODEC)
+    if packed.count() > BROADCAST_ROWS:
+        return rows.join(pages, _same(rows, pages, names), "left_semi")
+    here = _same(rows, packed, keys) & slot.eqNullSafe(packed["slot"]) & (F.getbit(packed["bits"], bit) == 1)
+    return rows.join(F.broadcast(packed), here, "left_semi")
+
+
+def _parts(blocks: DataFrame) -> list[DataFrame]:
+    """blocks by pages, in as many parts as keep a task's text within SORTED_CHARS; each part reads the blocks anew."""
+    most = blocks.groupBy(F.spark_partition_id().alias("task")).agg(F.sum(F.length("text")).alias("chars")).agg(F.max("chars")).first()[0] or 0
+    n = -(-most // SORTED_CHARS)
+    return [blocks.filter(F.pmod(F.xxhash64(*PAGE), F.lit(n)) == i) for i in range(n)] if n > 1 else [blocks]
+
+
 def refresh(index: Stores, pages: DataFrame, blocks: DataFrame) -> int:
     """Brings the index up to date with pages (fingerprint, page_index, revision) and their blocks; returns its version."""
     edit = index.edit()
@@ -57,21 +86,19 @@ def refresh(index: Stores, pages: DataFrame, blocks: DataFrame) -> int:
         fresh = index.kept(now.join(old, _same(now, old, [*PAGE, "revision"]), "left_anti"))
         stays = old.join(now, _same(old, now, [*PAGE, "revision"]), "left_semi")
         listed = stays.unionByName(fresh.withColumn("number", F.lit(number)))
-        few = F.broadcast(fresh) if fresh.count() <= BROADCAST_ROWS else fresh
-        changed = blocks.join(few, _same(blocks, fresh, PAGE), "left_semi")
+        changed = _among(index, blocks, fresh, PAGE)
     else:
         listed, changed = now.withColumn("number", F.lit(number)), blocks
-    posted = tokens(changed).withColumn("number", F.lit(number))
+    posted = reduce(DataFrame.unionAll, (tokens(part) for part in _parts(changed))).withColumn("number", F.lit(number))
     posted = edit.write("postings", posted, add=True, order=ORDER, codec=CODEC)
-    edit.write("terms", posted.select("term").distinct(), add=True)
-    edit.write("pages", listed)
+    edit.write("terms", posted.select("term").distinct(), add=True, codec=CODEC)
+    edit.write("pages", listed, codec=CODEC)
     return edit.commit()
 
 
 def current(index: Stores, rows: DataFrame, version: int | None = None) -> DataFrame:
     """Postings whose number counts."""
-    pages = index.read("pages", version)
-    return rows.join(pages, _same(rows, pages, [*PAGE, "number"]), "left_semi")
+    return _among(index, rows, index.read("pages", version), [*PAGE, "number"])
 
 
 def compact(index: Stores) -> int:
@@ -80,7 +107,7 @@ def compact(index: Stores) -> int:
     rows = current(index, edit.read("postings"), edit.base)
     edit.read("pages")
     edit.write("postings", rows, order=ORDER, codec=CODEC)
-    edit.write("terms", rows.select("term").distinct())
+    edit.write("terms", rows.select("term").distinct(), codec=CODEC)
     return edit.commit()
 
 
@@ -119,36 +146,57 @@ def _keys(terms: DataFrame, asked: list[tuple[str, int]]) -> DataFrame:
 
 
 def _matches(terms: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(query, size, i, term): the terms that each word of a phrase may be, but for second words."""
+    """(how, word, term): the terms that each word may be, once for all phrases that have it."""
     # At most one length of whole words and three each of the others.
     asked = sorted({(r["how"], 0 if r["how"] == EQUAL else r["n"]) for r in pieces.select("how", F.least(F.length("key"), F.lit(LETTERS)).alias("n")).distinct().collect()})
     if not asked:
-        return pieces.select("query", "size", "i", F.col("word").alias("term")).limit(0)
-    met = _keys(terms, asked).join(pieces, ["how", "key"])
+        return pieces.select("how", "word", F.col("word").alias("term")).limit(0)
+    met = _keys(terms, asked).join(pieces.select("how", "key", "word").distinct(), ["how", "key"])
     t, w = F.col("term"), F.col("word")
     fits = F.when(F.col("how") == EQUAL, t == w).when(F.col("how") == END, F.endswith(t, w)).when(F.col("how") == START, F.startswith(t, w)).otherwise(F.contains(t, w))
-    return met.filter(fits).select("query", "size", "i", "term").distinct()
+    return met.filter(fits).select("how", "word", "term").distinct()
+
+
+def _meeting(index: Stores, version: int, matches: DataFrame, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """then(postings with the matches of their terms).
+
+    Where the matches are too many for one broadcast, some buckets of terms are met after the other, and each part is written before the next one.
+    """
+    total, buckets = matches.count(), index.buckets
+    if total <= BROADCAST_ROWS:
+        return then(index.read("postings", version).join(F.broadcast(matches), "term"))
+    # A tenth more, as buckets are not quite even.
+    n = next((n for n in range(2, buckets) if total * 1.1 * -(-buckets // n) / buckets <= BROADCAST_ROWS), buckets)
+    parts = []
+    for i in range(n):
+        some = range(i, buckets, n)
+        mine = matches.filter(index.bucket("postings").isin(*some))
+        few = F.broadcast(mine) if mine.count() <= BROADCAST_ROWS else mine
+        parts.append(index.kept(then(index.read("postings", version, some).join(few, "term")), CODEC))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def find(index: Stores, phrases: DataFrame, version: int | None = None) -> DataFrame:
     """(query, fingerprint, page_index, ord): the lines that hold each phrase (query) of a table."""
     version = index.version() if version is None else version
     pieces = index.kept(_pieces(phrases))
-    matches = index.kept(_matches(index.read("terms", version).distinct(), pieces.filter("i <> 1")))
-    seconds = pieces.filter("i = 1").select("query", F.col("word").alias("second"))
-    postings, line = index.read("postings", version), ["query", *PAGE, "ord"]
+    terms, line = index.kept(index.read("terms", version).distinct(), CODEC), ["query", *PAGE, "ord"]
     few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
     # Only postings that also have the second word go on to be compared with the list of pages.
-    firsts = few(index.kept(matches.filter("i = 0").join(seconds, "query", "left"))).withColumnRenamed("term", "first")
-    then = F.when(F.col("size") == 2, F.startswith("next", F.col("second"))).otherwise(F.col("next") == F.col("second"))
-    heads = postings.join(firsts, (F.col("term") == F.col("first")) & ((F.col("size") == 1) | then))
-    heads = current(index, heads.select(*line, "size", F.col("pos").alias("start"), "number"), version).drop("number")
+    firsts = pieces.filter("i = 0").select("query", "size", "how", "word")
+    firsts = few(index.kept(firsts.join(pieces.filter("i = 1").select("query", F.col("word").alias("second")), "query", "left")))
+    fits = F.when(F.col("size") == 1, True).when(F.col("size") == 2, F.startswith("next", F.col("second"))).otherwise(F.col("next") == F.col("second"))
+    begin = lambda met: met.join(firsts, ["how", "word"]).filter(fits).select(*line, "size", F.col("pos").alias("start"), "number")
+    heads = _meeting(index, version, index.kept(_matches(terms, pieces.filter("i = 0")), CODEC), begin)
+    heads = current(index, heads, version).drop("number")
     short = heads.filter("size <= 2").select(line).distinct()
     if not pieces.filter("i > 1").limit(1).count():
         return short
     here = [*line, "start"]
-    rest = postings.join(few(matches.filter("i > 1")), "term").withColumn("start", F.col("pos") - F.col("i")).select(*here, "size", "number")
+    later = few(index.kept(pieces.filter("i > 1").select("query", "size", "i", "how", "word")))
+    follow = lambda met: met.join(later, ["how", "word"]).withColumn("start", F.col("pos") - F.col("i")).select(*here, "size", "number")
+    rest = _meeting(index, version, index.kept(_matches(terms, pieces.filter("i > 1")), CODEC), follow)
     heads = heads.filter("size > 2").drop("size")
     after = current(index, rest, version).join(heads, _same(rest, heads, here), "left_semi").groupBy(*here, "size").agg(F.count("*").alias("n"))
     return short.unionByName(after.filter("n = size - 2").select(line).distinct())

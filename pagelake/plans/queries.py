@@ -117,7 +117,7 @@ def search_refreshed(spark, sf):
     """An index brought up to date after edits and deletions of pages."""
     docs = B.read(spark, sf, "documents")
     index = textindex.open_index(spark, shared_folder(spark, "index"))
-    paged = index.kept(B.pages(docs), textindex.CODEC)
+    paged = B.pages_in_place(docs, index.kept)
     revised = lambda rows: rows.select("fingerprint", "page_index", F.xxhash64("text").alias("revision"))
     textindex.refresh(index, revised(paged), B.blocks(paged))
     text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.reverse("text"), F.lit("\nof the "), T.upper(F.substring("text", 1, 200)))).otherwise(F.col("text"))
